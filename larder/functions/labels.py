@@ -33,15 +33,15 @@ def expand_abbreviations(c: Column, rules: Sequence[Rule] = fixed.ABBREVIATION_R
 
 def substitutions(c: Column, rules: Sequence[Rule] = fixed.ABBREVIATION_RULES) -> Column:
     """Array of (rule, old_text, new_text), one element per replaced fragment."""
-    steps = expansion_steps(c, rules)
+    def logged(name: str, replacement: str):
+        return lambda hit: F.struct(
+            F.lit(f"abbrev:{name}").alias("rule"), hit.alias("old_text"),
+            F.lit(replacement.strip()).alias("new_text"))
+
     found = []
-    for before, (name, pattern, replacement, any_case) in zip(steps, rules):
+    for before, (name, pattern, replacement, any_case) in zip(expansion_steps(c, rules), rules):
         hits = F.regexp_extract_all(before, F.lit(_java(pattern, any_case)), F.lit(0))
-        found.append(F.transform(hits, lambda h, name=name, replacement=replacement: F.struct(
-            F.lit(f"abbrev:{name}").alias("rule"),
-            h.alias("old_text"),
-            F.lit(replacement.strip()).alias("new_text"),
-        )))
+        found.append(F.transform(hits, logged(name, replacement)))
     return F.concat(*found)
 
 

@@ -28,11 +28,11 @@ class Index:
 
 def build_index(docs: DataFrame, key: str, fields: tuple[str, ...]) -> Index:
     """Word index over several text columns of one document per item."""
-    tagged = F.flatten(F.array(*[
-        F.transform(F.coalesce(text.index_tokens(F.col(f)), F.array().cast("array<string>")),
-                    lambda t, f=f: F.struct(t.alias("token"), F.lit(f).alias("field")))
-        for f in fields
-    ]))
+    def tagged_with(field: str):
+        tokens = F.coalesce(text.index_tokens(F.col(field)), F.array().cast("array<string>"))
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(field).alias("field")))
+
+    tagged = F.flatten(F.array(*[tagged_with(f) for f in fields]))
     each = docs.select(F.col(key).alias("item_id"), F.explode(tagged).alias("t"))
     postings = each.groupBy(F.col("t.token").alias("token"), "item_id").agg(
         *[F.count_if(F.col("t.field") == f).alias(f"tf_{f}") for f in fields])

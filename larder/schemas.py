@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (ArrayType, BooleanType, DateType, DoubleType, IntegerType, LongType,
+                               StringType, StructField, StructType, TimestampType)
 
 from larder.fixed import APP_NUTRIENTS
 
+_TYPES = {
+    "long": LongType(), "int": IntegerType(), "double": DoubleType(), "string": StringType(),
+    "boolean": BooleanType(), "date": DateType(), "timestamp": TimestampType(),
+    "array<int>": ArrayType(IntegerType()),
+}
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _schema(columns: str) -> StructType:
+    """``name type, …`` as a schema; unlike a DDL parse this needs no session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 NUTRIENT_DDL = ", ".join(f"{name} double" for name in APP_NUTRIENTS)
