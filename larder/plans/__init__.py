@@ -1,3 +1,3 @@
 """Registered queries: each operator applied to the standard tables."""
 
-from larder.plans import nutrients  # noqa: F401
+from larder.plans import nutrients, texts  # noqa: F401
