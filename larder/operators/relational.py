@@ -121,7 +121,7 @@ def differs(a: Column, b: Column) -> Column:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows chosen by a hash of their key: the same rows however data is laid out."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", key, F.lit(seed))), key).limit(n)
 
 
 def stacked(*frames: DataFrame) -> DataFrame:

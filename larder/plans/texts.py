@@ -265,19 +265,12 @@ def identity_tidy(spark, sf):
 
 
 @query("keyword_clean", """
-WITH k AS (SELECT l_orderkey AS id, list(concat(' ', p_name, CASE WHEN l_returnflag = 'A' THEN repeat('x', 40) ELSE ' ' END) ORDER BY l_suppkey, l_linenumber, l_partkey, l_returnflag) AS ks
-  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
-t AS (SELECT id, [lower(trim(x)) FOR x IN ks] AS ts FROM k),
-f AS (SELECT id, [x FOR x IN ts IF length(x) BETWEEN 1 AND 40] AS fs FROM t)
-SELECT id, array_to_string([x FOR x, i IN fs IF list_position(fs, x) = i][1:20], '; ') AS keywords FROM f""")
+WITH t AS (SELECT doc_id, [lower(trim(x, ' ')) FOR x IN regexp_split_to_array(text, '[.,]')] AS ts FROM documents),
+f AS (SELECT doc_id, [x FOR x IN ts IF length(x) BETWEEN 1 AND 40] AS fs FROM t)
+SELECT doc_id, array_to_string([x FOR x, i IN fs IF list_position(fs, x) = i][1:20], '; ') AS keywords FROM f""")
 def keyword_clean(spark, sf):
-    rows = roles.table(spark, sf, "lineitem").join(
-        roles.table(spark, sf, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
-    word = F.concat(F.lit(" "), "p_name", F.when(F.col("l_returnflag") == "A", F.repeat(F.lit("x"), 40)).otherwise(F.lit(" ")))
-    given = F.transform(F.array_sort(F.collect_list(F.struct(
-        "l_suppkey", "l_linenumber", "l_partkey", "l_returnflag", word.alias("k")))), lambda s: s["k"])
-    return rows.groupBy(F.col("l_orderkey").alias("id")).agg(given.alias("ks")).select(
-        "id", F.array_join(text.clean_keywords(F.col("ks")), "; ").alias("keywords"))
+    return roles.table(spark, sf, "documents").select(
+        "doc_id", F.array_join(text.clean_keywords(F.split("text", "[.,]")), "; ").alias("keywords"))
 
 
 _EMOJI = "CASE event_type WHEN 'view' THEN '🍗' WHEN 'click' THEN '🍗🍗' WHEN 'signup' THEN ':)' WHEN 'purchase' THEN '👍🏽' ELSE '' END"
@@ -304,7 +297,8 @@ def code_fence(spark, sf):
         "conv_id", "turn", F.md5(text.strip_code_fence(wrapped)).alias("digest"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", f"""
+WITH f AS ({roles.FOODS_SQL}) SELECT fdc_id, description FROM f ORDER BY md5(concat(fdc_id, ':', 7)), fdc_id LIMIT 20""")
 def sample(spark, sf):
     return seeded_sample(roles.foods(spark, sf).select("fdc_id", "description"), "fdc_id", 20, seed=7)
 
