@@ -1,3 +1,3 @@
 """Registered queries: each operator applied to the standard tables."""
 
-from larder.plans import grouping, nutrients, texts  # noqa: F401
+from larder.plans import grouping, logbook, merges, nutrients, texts  # noqa: F401
