@@ -120,7 +120,7 @@ def corrected_label(prep: Column, description: Column, base_name: Column, kind:
     says_raw = F.exists(stated, lambda w: w.isin(*fixed.RAW_WORDS))
     from_raw = F.coalesce(F.lower(description).contains("from raw"), F.lit(False))
     return (
-        F.when((prep == "cooked") & (F.size(named) == 1), F.element_at(named, 1))
+        F.when((prep == "cooked") & (F.size(named) == 1), F.get(named, F.lit(0)))
         .when(prep.isNull() & (kind == "ingredient") & ~from_raw & says_raw, F.lit("raw"))
         .otherwise(prep)
     )

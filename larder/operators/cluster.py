@@ -152,7 +152,7 @@ def _prep_of(members: Column) -> Column:
         return F.aggregate(members, F.lit(0).cast(kind), lambda t, m: t + m[c])
 
     named = F.array_distinct(F.filter(F.transform(members, lambda m: m["label"]), lambda x: x.isNotNull()))
-    label = F.when(F.size(named) == 1, F.element_at(named, 1)).when(
+    label = F.when(F.size(named) == 1, F.get(named, F.lit(0))).when(
         F.size(named) > 1, labels.parent_label(F.array_min(named)))
     return F.struct(
         label.alias("label"), total("n", "bigint").alias("n"),
@@ -174,7 +174,7 @@ def _absorb_vague(preps: Column) -> Column:
         return F.coalesce(p["label"].isin(*fixed.COOKED_METHODS), F.lit(False))
 
     loose = F.filter(preps, vague)
-    taken = F.element_at(loose, 1)
+    taken = F.get(loose, F.lit(0))
     absorbed = F.transform(F.filter(preps, lambda p: ~vague(p)), lambda p: F.when(method(p), F.struct(
         p["label"].alias("label"), (p["n"] + taken["n"]).alias("n"),
         *[(p[c] + taken[c]).alias(c) for c in fixed.MERGE_MACROS],
@@ -250,14 +250,20 @@ def link_table(keyed: DataFrame, split: DataFrame) -> DataFrame:
     return salted_join(rows, places, on, sizes).select("fdc_id", "merged_food_id", "prep_id")
 
 
+_KEPT = ("fdc_id", "base_key", "written", "kind", "prep_label", "description", "food_category",
+         "fat_percentage", "brand_flagged", "n_nutrients", *fixed.MERGE_MACROS)
+
+
 def cluster(foods: DataFrame, hold=lambda df: df) -> Clusters:
     """Items, preparations and links of a foods frame.
 
     Expects fdc_id, description, food_category, fat_percentage, brand_flagged,
     n_nutrients, base_name, food_kind, prep_label and the three macros. ``hold``
-    may store the one-row-per-item result that all three tables read.
+    may store the two results read more than once: the foods with their identity
+    key, and the one row per item behind all three tables.
     """
-    keyed = identified(foods)
+    extra = [c for c in ("source_version",) if c in foods.columns]
+    keyed = hold(identified(foods).select(*_KEPT, *extra))
     buckets = item_buckets(label_buckets(keyed), voted_kinds(key_votes(keyed)))
     split = hold(split_items(buckets))
     return Clusters(item_table(split), prep_table(split), link_table(keyed, split))

@@ -1,14 +1,16 @@
 """Ranked text search for a whole table of queries at once.
 
-The index is two tables, postings and document lengths. A query term is first
-resolved against the vocabulary (small next to the postings), then each matched
-term meets the postings by plain equality, so there is no scan per query and no
-cross join. Terms that occur almost everywhere are split over several tasks.
+The index is stored: postings, document lengths and the vocabulary with its document
+counts. A query term is first resolved against the vocabulary (small next to the
+postings), then each matched word meets the postings by plain equality, so there is
+no scan per query and no cross join. Words that occur almost everywhere are split
+over several tasks. What a term hits is stored once, then read for its document
+frequency and for the scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,16 +19,26 @@ from larder import fixed
 from larder.functions import dates, labels, text
 from larder.functions.maths import composite_rank
 from larder.operators.relational import salted_join, top_k, without
+from larder.session import materialise
+
+Hold = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # token, item_id, tf per column
-    lengths: DataFrame   # item_id, len
+    postings: DataFrame    # token, item_id, occurrences per column
+    lengths: DataFrame     # item_id, len
+    vocabulary: DataFrame  # token, n (documents)
     fields: tuple[str, ...]
 
 
-def build_index(docs: DataFrame, key: str, fields: tuple[str, ...]) -> Index:
+def _index(postings: DataFrame, lengths: DataFrame, fields: tuple[str, ...], hold: Hold) -> Index:
+    kept = hold(postings, "postings")
+    words = hold(kept.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    return Index(kept, hold(lengths, "lengths"), words, fields)
+
+
+def build_index(docs: DataFrame, key: str, fields: tuple[str, ...], hold: Hold = materialise) -> Index:
     """Word index over several text columns of one document per item."""
     def tagged_with(field: str):
         tokens = F.coalesce(text.index_tokens(F.col(field)), F.array().cast("array<string>"))
@@ -38,16 +50,16 @@ def build_index(docs: DataFrame, key: str, fields: tuple[str, ...]) -> Index:
         *[F.count_if(F.col("t.field") == f).alias(f"tf_{f}") for f in fields])
     sizes = sum((F.coalesce(F.size(text.index_tokens(F.col(f))), F.lit(0)) for f in fields), F.lit(0))
     lengths = docs.select(F.col(key).alias("item_id"), sizes.cast("bigint").alias("len"))
-    return Index(postings, lengths, fields)
+    return _index(postings, lengths, fields, hold)
 
 
-def build_gram_index(docs: DataFrame, key: str, column: str) -> Index:
+def build_gram_index(docs: DataFrame, key: str, column: str, hold: Hold = materialise) -> Index:
     """Trigram index over one text column."""
     grams = F.coalesce(text.all_trigrams(F.col(column)), F.array().cast("array<string>"))
     each = docs.select(F.col(key).alias("item_id"), F.explode(grams).alias("token"))
     postings = each.groupBy("token", "item_id").agg(F.count(F.lit(1)).alias(f"tf_{column}"))
     lengths = docs.select(F.col(key).alias("item_id"), F.size(grams).cast("bigint").alias("len"))
-    return Index(postings, lengths, (column,))
+    return _index(postings, lengths, (column,), hold)
 
 
 def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
@@ -56,10 +68,6 @@ def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
         "query_id", F.explode("ts").alias("term"), F.size("ts").alias("n_terms"))
 
 
-def _vocabulary(index: Index) -> DataFrame:
-    return index.postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-
-
 def prefix_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, token): words of the vocabulary each distinct term is a prefix of.
 
@@ -71,52 +79,49 @@ def prefix_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return wanted.join(keyed, "p").filter(F.col("token").startswith(F.col("term"))).select("term", "token")
 
 
-def term_scores(index: Index, matches: DataFrame, vocabulary: DataFrame,
-                weights: Mapping[str, float]) -> DataFrame:
-    """(term, item_id, score): Okapi BM25 of each term in each document that has it.
-
-    Occurrences are weighted by column; the document frequency is the term's own,
-    over every word it matched; the score is negated, so smaller is better.
-    """
+def term_hits(index: Index, matches: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """(term, item_id, f): weighted occurrences of each term in each document that has it."""
     frequency = sum((F.col(f"tf_{f}") * F.lit(float(weights.get(f, 1.0))) for f in index.fields), F.lit(0.0))
     postings = index.postings.select("token", "item_id", frequency.alias("f"))
-    hits = salted_join(postings, matches, ["token"], vocabulary, spread_by=["item_id"]).groupBy(
+    return salted_join(postings, matches, ["token"], index.vocabulary, spread_by=["item_id"]).groupBy(
         "term", "item_id").agg(F.sum("f").alias("f"))
+
+
+def _scored(terms: DataFrame, index: Index, matches: DataFrame, weights: Mapping[str, float],
+            hold: Hold) -> DataFrame:
+    """(query_id, item_id, rank, found, n_terms): Okapi BM25 summed over a query's terms.
+
+    The document frequency is the term's own, over every word it matched; the score
+    is negated, so smaller is better.
+    """
+    hits = hold(term_hits(index, matches, weights), "hits")
     seen = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     corpus = index.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
     odds = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    rarity = seen.crossJoin(F.broadcast(corpus)).select(
-        "term", "avg_len", F.when(odds <= 0, F.lit(fixed.BM25_IDF_FLOOR)).otherwise(odds).alias("idf"))
-    rows = salted_join(hits.join(index.lengths, "item_id"), rarity, ["term"], seen, spread_by=["item_id"])
+    asked = terms.join(seen, "term").crossJoin(F.broadcast(corpus)).select(
+        "query_id", "term", "n_terms", "avg_len",
+        F.when(odds <= 0, F.lit(fixed.BM25_IDF_FLOOR)).otherwise(odds).alias("idf"))
+    rows = salted_join(hits.join(index.lengths, "item_id"), asked, ["term"], seen, spread_by=["item_id"])
     norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("len") / F.col("avg_len"))
     score = -F.col("idf") * (F.col("f") * (fixed.BM25_K1 + 1)) / (F.col("f") + norm)
-    return rows.select("term", "item_id", score.alias("score"))
-
-
-def _gathered(terms: DataFrame, scored: DataFrame) -> DataFrame:
-    sizes = scored.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return salted_join(scored, terms, ["term"], sizes, spread_by=["item_id"]).groupBy(
-        "query_id", "item_id").agg(
-        F.sum("score").alias("rank"), F.count(F.lit(1)).alias("found"), F.max("n_terms").alias("n_terms"))
+    return rows.groupBy("query_id", "item_id").agg(
+        F.sum(score).alias("rank"), F.count(F.lit(1)).alias("found"), F.max("n_terms").alias("n_terms"))
 
 
-def prefix_hits(queries: DataFrame, index: Index,
-                weights: Mapping[str, float] = fixed.INDEX_WEIGHTS) -> DataFrame:
+def prefix_hits(queries: DataFrame, index: Index, weights: Mapping[str, float] = fixed.INDEX_WEIGHTS,
+                hold: Hold = materialise) -> DataFrame:
     """(query_id, item_id, rank): documents holding every term as a word prefix."""
     terms = query_terms(queries, text.query_tokens(F.col("text")))
-    vocabulary = _vocabulary(index)
-    scored = term_scores(index, prefix_matches(terms, vocabulary), vocabulary, weights)
-    return _gathered(terms, scored).filter(F.col("found") == F.col("n_terms")).select(
-        "query_id", "item_id", "rank")
+    matches = prefix_matches(terms, index.vocabulary)
+    return _scored(terms, index, matches, weights, hold).filter(
+        F.col("found") == F.col("n_terms")).select("query_id", "item_id", "rank")
 
 
-def gram_hits(queries: DataFrame, index: Index) -> DataFrame:
+def gram_hits(queries: DataFrame, index: Index, hold: Hold = materialise) -> DataFrame:
     """(query_id, item_id, rank): documents sharing any gram with the query."""
-    grams = F.array_distinct(F.transform(text.trigrams(F.col("text")), text.fold))
-    terms = query_terms(queries, grams)
-    vocabulary = _vocabulary(index)
+    terms = query_terms(queries, F.array_distinct(F.transform(text.trigrams(F.col("text")), text.fold)))
     exact = terms.select("term").distinct().withColumn("token", F.col("term"))
-    return _gathered(terms, term_scores(index, exact, vocabulary, {})).select("query_id", "item_id", "rank")
+    return _scored(terms, index, exact, {}, hold).select("query_id", "item_id", "rank")
 
 
 def recent_counts(log: DataFrame, foods: DataFrame, as_of: str, days: int = fixed.RANKING_DAYS) -> DataFrame:
@@ -147,11 +152,9 @@ def ranked(hits: DataFrame, queries: DataFrame, items: DataFrame, foods: DataFra
         .withColumn("name", text.shown_name(F.col("display_name"), F.col("description")))
         .withColumn("penalised", labels.is_penalised(F.col("display_name"), F.col("description")))
     )
-    sizes = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = salted_join(hits, facts, ["item_id"], sizes, spread_by=["query_id"])
     wanted = queries.select("query_id", F.lower(F.trim("text")).alias("_text"))
-    per_query = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = salted_join(rows, wanted, ["query_id"], per_query, spread_by=["item_id"])
+    # The large side comes first in both; the runtime splits what is skewed.
+    rows = hits.join(facts, "item_id").join(wanted, "query_id")
     score = composite_rank(F.col("rank"), F.col("commonness"), F.col("prep_type"), F.col("recent"),
                            F.lower("name") == F.col("_text"), F.col("penalised"))
     rows = rows.withColumn("score", F.round(score, 9)).select(
@@ -216,10 +219,10 @@ def search(queries: DataFrame, index: Index, grams: Index, items: DataFrame, foo
     0, 1 or 2 and ``rn`` the place within it.
     """
     recent = recent_counts(log, foods, as_of)
-    first = ranked(prefix_hits(queries, index), queries, items, foods, recent, k)
+    first = materialise(ranked(prefix_hits(queries, index), queries, items, foods, recent, k), "first")
     enough = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= fixed.FALLBACK_BELOW)
-    short = without(queries, enough, "query_id")
+    short = materialise(without(queries, enough, "query_id"), "short")
     fuzzy = ranked(gram_hits(short, grams), short, items, foods, recent, k)
     second = without(fuzzy, first, ["query_id", "food_id"])
     own = custom_search(queries, custom_foods, log, as_of)

@@ -1,3 +1,5 @@
 """Registered queries: each operator applied to the standard tables."""
 
-from larder.plans import grouping, logbook, merges, nutrients, texts  # noqa: F401
+from larder.plans import (  # noqa: F401
+    catalogue, grouping, logbook, merges, nutrients, plates, requests, searches, streams, texts,
+)

@@ -95,7 +95,7 @@ CUSTOM = {
     "name": "concat(CASE WHEN s_suppkey % 2 = 0 THEN 'Home ' ELSE 'home  ' END, 'dish ', s_nationkey)",
     "brand": "CASE WHEN s_nationkey < 12 THEN s_name END",
     "emoji": "CASE WHEN s_nationkey < 5 THEN 'x' END",
-    "energy_kcal": "s_acctbal / 10", "protein_g": "s_acctbal / 100",
+    "energy_kcal": "s_acctbal / 7.3", "protein_g": "s_acctbal / 73",
     "fat_g": "CASE WHEN s_nationkey > 20 THEN NULL ELSE s_acctbal / 200 END",
     "carb_g": "s_acctbal / 50",
     "serving_g": "CASE WHEN s_nationkey >= 3 THEN CAST(s_nationkey * 10 AS DOUBLE) END",

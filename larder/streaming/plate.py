@@ -4,6 +4,10 @@ State is keyed by session and item rather than by session, so a very busy sessio
 spread over tasks. What is kept per item does not depend on the order rows arrive in
 within a micro-batch: the first place, the latest reading, every shot, and whether a
 person changed or removed it. An empty reply brings no rows and writes no state.
+
+Because the merge is a plain aggregate, ``running_plate`` is one, and never leaves the
+JVM. ``expiring_plate`` keeps the same state in a stateful processor, for its expiry:
+a session that has been idle ends, and a late reply starts a new plate.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PLATE = ("session string, instance_id string, first_seen long, last_seen long, name string, "
@@ -62,11 +66,34 @@ class _Plate(StatefulProcessor):
         pass
 
 
-def plate_stream(events: DataFrame, idle_ms: int = 6 * 3600 * 1000) -> DataFrame:
-    """Changed plate rows, again whenever they change.
+def running_plate(events: DataFrame) -> DataFrame:
+    """Plate rows, emitted again whenever they change (update mode).
 
     ``events``: session, instance_id, kind (detected, edited, removed), seq, name,
-    grams, shot. A row marked removed is to be taken off the plate.
+    grams, shot (1 to 63). A row marked removed is to be taken off the plate.
+    """
+    detected, edited = F.col("kind") == "detected", F.col("kind") == "edited"
+    said = F.max(F.when(detected, F.struct("seq", "name", "grams")))
+    by_hand = F.max(F.when(edited, F.struct("seq", "grams")))
+    # Shots as bits of one number: a fixed-size state however often an item is seen.
+    bits = F.bit_or(F.when(detected, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("shot").cast("int"))))
+    state = events.groupBy("session", "instance_id").agg(
+        F.min(F.when(detected, F.col("seq"))).alias("first_seen"), said.alias("said"), by_hand.alias("by_hand"),
+        bits.alias("bits"), F.bool_or(F.col("kind") == "removed").alias("removed"))
+    shots = F.filter(F.sequence(F.lit(1), F.lit(63)), lambda s: F.call_function("getbit", F.col("bits"), s) == 1)
+    return state.filter(F.col("first_seen").isNotNull()).select(
+        "session", "instance_id", "first_seen", F.col("said.seq").alias("last_seen"), F.col("said.name").alias("name"),
+        F.coalesce("by_hand.grams", "said.grams").alias("grams"),
+        F.array_join(F.transform(shots, lambda s: s.cast("string")), ",").alias("shots"),
+        F.col("by_hand").isNotNull().alias("edited"), "removed")
+
+
+def expiring_plate(events: DataFrame, idle_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """The same rows from state that ends after ``idle_ms`` without any.
+
+    Needs the RocksDB state store. Drained with ``availableNow`` it also needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled=false``, since expiry by the
+    clock otherwise always asks for one more batch.
     """
     return events.groupBy("session", "instance_id").transformWithStateInPandas(
         statefulProcessor=_Plate(idle_ms), outputStructType=PLATE, outputMode="Update",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from larder.session import fresh_path
 
@@ -45,7 +45,7 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str =
 
 def latest_versions(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
     """The newest row per key over all micro-batches."""
-    full = StructType(schema.fields).add("batch_id", "int")
+    full = StructType([*schema.fields, StructField("batch_id", IntegerType())])
     rows = spark.read.schema(full).option("recursiveFileLookup", "true").parquet(path)
     rest = [c for c in schema.fieldNames() if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v")).select(*keys, "v.*")
