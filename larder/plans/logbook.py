@@ -138,7 +138,7 @@ def ingredients(spark, sf):
 
 def nutrition(spark, sf):
     return roles.table(spark, sf, "part").selectExpr(
-        "p_partkey AS food_id", "p_retailprice / 10 AS energy_kcal", "CASE WHEN p_size > 40 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS protein_g")
+        "p_partkey AS food_id", "sqrt(p_retailprice) AS energy_kcal", "CASE WHEN p_size > 40 THEN NULL ELSE sqrt(p_size) END AS protein_g")
 
 
 _TWO = ("energy_kcal", "protein_g")

@@ -79,7 +79,7 @@ def _log(d: str) -> dict[str, str]:
         "food_id": f"CASE WHEN event_type <> 'signup' THEN {k} END",
         "custom_food_id": f"CASE WHEN event_type = 'signup' THEN concat('c', {k} % 10) END",
         "logged_at": _STAMP[d], "local_date": _DATE[d],
-        "grams": "value * 10",
+        "grams": "value * 9.8765432101D" if d == "spark" else "value * 9.8765432101::DOUBLE",
         "portion_qty": "CASE WHEN event_type = 'purchase' THEN 2.0 END",
         "portion_label": "CASE WHEN event_type = 'purchase' THEN 'cup' END",
         "name": f"concat('food ', {k})", "emoji": "CASE WHEN event_type = 'view' THEN 'V' END",
