@@ -54,6 +54,6 @@ def macro_input(foods: DataFrame, rows: DataFrame, key: str = "fdc_id",
     """Foods with their three macros and how many nutrients each carries."""
     chosen = nutrients or {m: fixed.APP_NUTRIENTS[m] for m in fixed.MERGE_MACROS}
     macros = rows.groupBy(key).agg(*pivot_columns(chosen), F.count(F.lit(1)).alias("n_nutrients"))
-    return foods.join(macros, key, "left").withColumn(
+    return foods.drop(*chosen, "n_nutrients").join(macros, key, "left").withColumn(
         "n_nutrients", F.coalesce("n_nutrients", F.lit(0)).cast("bigint")
     )
