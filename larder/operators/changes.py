@@ -116,6 +116,18 @@ def apply_fields(current: DataFrame, values: DataFrame, key: str, fields: Sequen
     return Merge(snapshot, audit_rows(joined, key, rows, run_id), counts)
 
 
+def rewrite(df: DataFrame, key: str, values: dict[str, Column], version: str = "source_version",
+            run_id: str = "run", actor: str = "auto", hold: Hold = same) -> Merge:
+    """Recompute fields of every row from the row itself, logging each difference; no join."""
+    beside = hold(df.select("*", *[v.cast(df.schema[c].dataType).alias(f"_new_{c}") for c, v in values.items()]))
+    changed = {c: differs(F.col(c), F.col(f"_new_{c}")) for c in values}
+    snapshot = beside.select(*[F.col(f"_new_{c}").alias(c) if c in values else F.col(c) for c in df.columns])
+    rows = [change_row(c, F.col(c), F.col(f"_new_{c}"), changed[c], actor, F.col(version)) for c in values]
+    any_change = F.exists(F.array(*changed.values()), lambda x: x)
+    return Merge(snapshot, audit_rows(beside, key, rows, run_id),
+                 beside.agg(F.count_if(any_change).alias("updated")))
+
+
 def replace_children(current: DataFrame, incoming: DataFrame, parents: DataFrame,
                      key: str) -> DataFrame:
     """Swap the child rows of every parent given, including parents left without any."""
