@@ -152,13 +152,15 @@ def is_single_emoji(c: Column) -> Column:
 
 def leading_emoji(c: Column) -> Column:
     """Characters before the first letter, digit or blank, cut once 8 bytes are reached."""
-    lead = F.regexp_extract(F.trim(c), r"^[^\p{L}\p{Nd}\s]+", 0)
+    lead = F.trim(F.regexp_extract(F.trim(c), r"^[^\p{L}\p{Nd}\s]+", 0))
     chars = F.filter(F.split(lead, ""), lambda x: x != "")
     kept = F.filter(
         chars,
         lambda x, i: F.octet_length(F.array_join(F.slice(chars, F.lit(1), i), "")) < fixed.MAX_EMOJI_BYTES,
     )
-    return F.coalesce(F.trim(F.array_join(kept, "")), F.lit(""))
+    # Nearly every answer is one short emoji; only a longer one is counted out.
+    cut = F.when(F.octet_length(lead) <= fixed.MAX_EMOJI_BYTES, lead).otherwise(F.array_join(kept, ""))
+    return F.coalesce(cut, F.lit(""))
 
 
 def clean_keywords(c: Column) -> Column:

@@ -24,10 +24,12 @@ def labelled_portions(portions: DataFrame, key: str = "fdc_id") -> DataFrame:
 
 def default_servings(portions: DataFrame, key: str = "fdc_id") -> DataFrame:
     """(food_id, serving_g, serving_label): the first usable portion, without sorting the rest."""
-    usable = portions.filter(F.col("gram_weight") > 0).withColumn("label", text.portion_label(
-        F.col("measure_unit"), F.col("modifier"), F.col("portion_description"))).dropna(subset=["label"])
-    first = F.min(F.struct(F.col("seq_num").isNull().alias("last"), "seq_num", "label", "gram_weight"))
-    return usable.groupBy(F.col(key).alias("food_id")).agg(first.alias("f")).select(
+    label = text.portion_label(F.col("measure_unit"), F.col("modifier"), F.col("portion_description"))
+    rows = portions.filter(F.col("gram_weight") > 0).select(key, "seq_num", "gram_weight", label.alias("label"))
+    # Unlabelled portions are passed over inside the aggregate, so each label is built once.
+    first = F.min(F.when(F.col("label").isNotNull(), F.struct(
+        F.col("seq_num").isNull().alias("last"), "seq_num", "label", "gram_weight")))
+    return rows.groupBy(F.col(key).alias("food_id")).agg(first.alias("f")).filter(F.col("f").isNotNull()).select(
         "food_id", F.col("f.gram_weight").alias("serving_g"), F.col("f.label").alias("serving_label"))
 
 

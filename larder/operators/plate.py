@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larder import fixed
 from larder.functions import maths, structured, text
 from larder.operators.relational import without
+from larder.session import materialise
 
 SCALARS = ("name", "search_term", "emoji", "grams", "confidence", "kcal_100g", "protein_100g",
            "carb_100g", "fat_100g")
@@ -67,9 +68,12 @@ def collapsed(detections: DataFrame) -> DataFrame:
     ).select("session", "pos", "instance_id", "b.*", "shots")
 
 
-def normalise_detections(detections: DataFrame, staged: DataFrame) -> DataFrame:
-    """Cleaned, aliased to the plate, and collapsed to one row per item."""
-    return collapsed(aliased(cleaned(detections), staged))
+def normalise_detections(detections: DataFrame, staged: DataFrame, hold=materialise) -> DataFrame:
+    """Cleaned, aliased to the plate, and collapsed to one row per item.
+
+    The cleaned rows are stored, since finding aliases reads them several times.
+    """
+    return collapsed(aliased(hold(cleaned(detections), "cleaned"), staged))
 
 
 def readable_replies(replies: DataFrame, usable: DataFrame, key: str) -> DataFrame:

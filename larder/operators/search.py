@@ -32,9 +32,13 @@ class Index:
     fields: tuple[str, ...]
 
 
-def _index(postings: DataFrame, lengths: DataFrame, fields: tuple[str, ...], hold: Hold) -> Index:
+def _index(postings: DataFrame, ids: DataFrame, fields: tuple[str, ...], hold: Hold) -> Index:
+    """Lengths are summed from the stored postings: the texts are read and cut once."""
     kept = hold(postings, "postings")
     words = hold(kept.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    total = sum((F.col(f"tf_{f}") for f in fields), F.lit(0))
+    sums = kept.groupBy("item_id").agg(F.sum(total).alias("len"))
+    lengths = ids.join(sums, "item_id", "left").select("item_id", F.coalesce("len", F.lit(0)).alias("len"))
     return Index(kept, hold(lengths, "lengths"), words, fields)
 
 
@@ -48,9 +52,7 @@ def build_index(docs: DataFrame, key: str, fields: tuple[str, ...], hold: Hold =
     each = docs.select(F.col(key).alias("item_id"), F.explode(tagged).alias("t"))
     postings = each.groupBy(F.col("t.token").alias("token"), "item_id").agg(
         *[F.count_if(F.col("t.field") == f).alias(f"tf_{f}") for f in fields])
-    sizes = sum((F.coalesce(F.size(text.index_tokens(F.col(f))), F.lit(0)) for f in fields), F.lit(0))
-    lengths = docs.select(F.col(key).alias("item_id"), sizes.cast("bigint").alias("len"))
-    return _index(postings, lengths, fields, hold)
+    return _index(postings, docs.select(F.col(key).alias("item_id")), fields, hold)
 
 
 def build_gram_index(docs: DataFrame, key: str, column: str, hold: Hold = materialise) -> Index:
@@ -58,8 +60,7 @@ def build_gram_index(docs: DataFrame, key: str, column: str, hold: Hold = materi
     grams = F.coalesce(text.all_trigrams(F.col(column)), F.array().cast("array<string>"))
     each = docs.select(F.col(key).alias("item_id"), F.explode(grams).alias("token"))
     postings = each.groupBy("token", "item_id").agg(F.count(F.lit(1)).alias(f"tf_{column}"))
-    lengths = docs.select(F.col(key).alias("item_id"), F.size(grams).cast("bigint").alias("len"))
-    return _index(postings, lengths, (column,), hold)
+    return _index(postings, docs.select(F.col(key).alias("item_id")), (column,), hold)
 
 
 def query_terms(queries: DataFrame, terms: Column) -> DataFrame:

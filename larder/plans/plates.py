@@ -9,6 +9,7 @@ from larder.operators import plate
 from larder.plans import roles
 from larder.plans.registry import query
 from larder.plans.texts import sql_suffix
+from larder.session import materialise
 
 # Events as detections: a user is a session, the event its place in the reply.
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -127,7 +128,7 @@ WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.session = n.session AND b.instan
 
 @query("plate_merge", _PLATE)
 def plate_merge(spark, sf):
-    cleaned = plate.cleaned(detections(spark, sf))
+    cleaned = materialise(plate.cleaned(detections(spark, sf)), "cleaned")
     candidates = plate.aliased(cleaned, staged(spark, sf)).withColumns(
         {"food_id": F.lit(None).cast("bigint"), "serving_g": F.lit(None).cast("double")})
     clicks = roles.table(spark, sf, "events").filter("event_type = 'click'").groupBy(F.col("user_id").alias("session")).agg(
