@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from larder import fixed
 from larder.functions.maths import mutual_information
 from larder.operators.relational import top_k
+from larder.session import materialise
 
 HOT_BASKET = 2000
 MAX_HOT = 12
@@ -21,9 +22,9 @@ def resolved_ingredients(input_foods: DataFrame, foods: DataFrame) -> DataFrame:
     return coded.join(known, "code").select("recipe_id", "food_id").distinct()
 
 
-def _hot_recipes(rows: DataFrame, hot_basket: int) -> list:
+def _hot_recipes(basket: DataFrame, hot_basket: int) -> list:
     """The at most 12 largest recipes above the size where pairs are not spelled out."""
-    sizes = rows.groupBy("recipe_id").count().filter(F.col("count") > hot_basket)
+    sizes = basket.groupBy("recipe_id").count().filter(F.col("count") > hot_basket)
     return [r.recipe_id for r in sizes.orderBy(F.col("count").desc(), "recipe_id").limit(MAX_HOT).collect()]
 
 
@@ -93,15 +94,16 @@ def _with_hot(basket: DataFrame, small: DataFrame, freq: DataFrame, hot: list, k
 
 
 def food_pairs(ingredients: DataFrame, keep: int = fixed.MAX_PAIRS_PER_FOOD,
-               hot_basket: int = HOT_BASKET) -> DataFrame:
+               hot_basket: int = HOT_BASKET, hold=materialise) -> DataFrame:
     """(food_id, pair_food_id, n_recipes, score): the best partners of every food.
 
-    ``ingredients`` is (recipe_id, food_id), repeats allowed. Pairs are counted one
-    way and mirrored. Looking for huge recipes is the one action taken here; it
-    brings back at most 12 ids.
+    ``ingredients`` is (recipe_id, food_id), repeats allowed. The distinct rows are
+    stored, since the sizes, the frequencies and both sides of the join read them.
+    Pairs are counted one way and mirrored. Looking for huge recipes brings back at
+    most 12 ids.
     """
-    basket = ingredients.select("recipe_id", "food_id").distinct()
-    hot = _hot_recipes(ingredients, hot_basket)
+    basket = hold(ingredients.select("recipe_id", "food_id").dropna().distinct(), "baskets")
+    hot = _hot_recipes(basket, hot_basket)
     freq = basket.groupBy("food_id").agg(F.count(F.lit(1)).alias("n_food"))
     total = basket.agg(F.count_distinct("recipe_id").alias("n_recipes_all"))
     if hot:

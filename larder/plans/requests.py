@@ -211,15 +211,18 @@ def reply_parse(spark, sf):
                       F.md5(F.get("items", F.lit(0))["name"]).alias("digest"))
 
 
-@query("index_echo", """
-WITH e AS (SELECT o_orderkey AS batch, count(l_linenumber) AS n, list_sort(list(l_linenumber - 1)) AS got FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
-SELECT batch, n, CAST(got = [CAST(x AS INTEGER) FOR x IN range(0, n)] AS BIGINT) AS ok FROM e""")
+@query("index_echo", f"""
+WITH f AS ({roles.FOODS_SQL}), b AS (SELECT f.fdc_id, p_brand, (row_number() OVER (ORDER BY {_ORDER}) - 1) // 40 AS batch FROM f JOIN part ON p_partkey = f.fdc_id)
+SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, CAST(count(*) FILTER (WHERE p_brand = 'Brand#1') = 0 AS BIGINT) AS ok FROM b GROUP BY 1""")
 def index_echo(spark, sf):
-    """An order's lines as the records a batch echoed, checked against 0..n-1."""
-    record = F.create_map(F.lit("i"), (F.col("l_linenumber") - 1).cast("string"), F.lit("base"), F.lit("b"), F.lit("kind"), F.lit("dish"))
-    rows = roles.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(
+    """Every food in batches of 40, echoed back; one brand's foods are left out of the echo."""
+    rows = roles.foods(spark, sf).select("fdc_id", "description").join(
+        roles.table(spark, sf, "part").select(F.col("p_partkey").alias("fdc_id"), "p_brand"), "fdc_id")
+    record = F.when(F.col("p_brand") != "Brand#1", F.create_map(
+        F.lit("i"), F.col("i").cast("string"), F.lit("base"), F.lit("b"), F.lit("kind"), F.lit("dish")))
+    replies = scoring.to_batches(rows, scoring.sibling_order()).groupBy("batch").agg(
         F.count(F.lit(1)).alias("n"), F.to_json(F.struct(F.collect_list(record).alias("foods"))).alias("content"))
-    return scoring.check_canon(rows).select("batch", "n", F.col("ok").cast("bigint").alias("ok"))
+    return scoring.check_canon(replies).select("batch", "n", F.col("ok").cast("bigint").alias("ok"))
 
 
 @query("reply_rules", """
