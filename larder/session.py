@@ -41,26 +41,51 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a result that several branches read, and read it back.
 
     Unlike a cache this survives the loss of executors, and it cuts the lineage.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, fresh_path(df.sparkSession, name))
+
+
+class Workspace:
+    """Tables that one job writes for itself; those no result reads are removed at once."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, fresh_path(spark, name), 0
+
+    def path(self, name: str) -> str:
+        self.made += 1
+        return f"{self.root}/{self.made:03d}-{name}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, self.path(name))
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove a kept table once nothing lazy reads it any more."""
+        for file in df.inputFiles()[:1]:
+            folder = file.rpartition("/")[0]
+            if self.root.rpartition("/")[2] in folder:
+                remove(self.spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
