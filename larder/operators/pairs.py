@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from larder import fixed
 from larder.functions.maths import mutual_information
 from larder.operators.relational import top_k
 from larder.session import materialise
 
-HOT_BASKET = 2000
-MAX_HOT = 12
+#: Pairs that one task spells out of one recipe.
+TASK_PAIRS = 1 << 20
 
 
 def resolved_ingredients(input_foods: DataFrame, foods: DataFrame) -> DataFrame:
@@ -22,101 +22,106 @@ def resolved_ingredients(input_foods: DataFrame, foods: DataFrame) -> DataFrame:
     return coded.join(known, "code").select("recipe_id", "food_id").distinct()
 
 
-def _hot_recipes(basket: DataFrame, hot_basket: int) -> list:
-    """The at most 12 largest recipes above the size where pairs are not spelled out."""
-    sizes = basket.groupBy("recipe_id").count().filter(F.col("count") > hot_basket)
-    return [r.recipe_id for r in sizes.orderBy(F.col("count").desc(), "recipe_id").limit(MAX_HOT).collect()]
+def _rows(basket: DataFrame, keep: int) -> DataFrame:
+    """(recipe_id, food_id, n, first): with the food's recipes, and if it can be a partner.
 
-
-def _spelled_pairs(basket: DataFrame) -> DataFrame:
-    """(food_id, pair_food_id, n) with food_id < pair_food_id."""
-    other = basket.select("recipe_id", F.col("food_id").alias("pair_food_id"))
-    return (
-        basket.join(other, "recipe_id").filter(F.col("food_id") < F.col("pair_food_id"))
-        .groupBy("food_id", "pair_food_id").agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def _mirrored(pairs: DataFrame) -> DataFrame:
-    """Both directions of an undirected pair, without repeating the join."""
-    ways = F.array(
-        F.struct(F.col("food_id").alias("f"), F.col("pair_food_id").alias("p")),
-        F.struct(F.col("pair_food_id").alias("f"), F.col("food_id").alias("p")),
-    )
-    return pairs.select(F.inline(ways), "n").select(
-        F.col("f").alias("food_id"), F.col("p").alias("pair_food_id"), "n"
-    )
-
-
-def _with_hot(basket: DataFrame, small: DataFrame, freq: DataFrame, hot: list, keep: int) -> DataFrame:
-    """Add what a few huge recipes contribute, without spelling out their pairs.
-
-    Foods in the same set of huge recipes are one class: they share the same number
-    of huge recipes with any third food. Within one pair of classes the score then
-    only depends on how rare the partner is, so the ``keep`` + 1 best partners per
-    class hold every partner that can reach a food's first ``keep`` without also
-    being met in an ordinary recipe; those are counted exactly beside them.
+    Foods of exactly the same recipes tie as partners of any other, so only the keep + 1
+    smallest of them, which are marked, can be among its best.
     """
-    flags = [F.max(F.when(F.col("recipe_id") == h, 1).otherwise(0)).alias(f"h{i}")
-             for i, h in enumerate(hot)]
-    classes = (
-        basket.filter(F.col("recipe_id").isin(hot)).groupBy("food_id").agg(*flags)
-        .select("food_id", F.array(*[f"h{i}" for i in range(len(hot))]).alias("cls"))
-    )
-    rare = top_k(classes.join(freq, "food_id"), ["cls"], [F.col("n_food"), F.col("food_id")], keep + 1)
-    left = classes.select("cls").distinct()
-    right = rare.select(F.col("cls").alias("pair_cls"), F.col("food_id").alias("pair_food_id"),
-                        F.col("n_food").alias("n_pair"))
-    shared = F.aggregate(F.zip_with("cls", "pair_cls", lambda a, b: a * b), F.lit(0), lambda t, x: t + x)
-    # Both sides are bounded: at most 2^12 classes, keep + 1 foods of each.
-    options = left.join(F.broadcast(right), F.arrays_overlap(
-        F.transform("cls", lambda x, i: F.when(x == 1, i)), F.transform("pair_cls", lambda x, i: F.when(x == 1, i))
-    )).withColumn("shared", shared)
-    best = top_k(
-        options, ["cls"],
-        [(F.col("shared") / F.col("n_pair")).desc(), F.col("shared").desc(), F.col("pair_food_id")],
-        keep + 1,
-    ).select("cls", "pair_food_id")
-    candidates = classes.join(F.broadcast(best), "cls").filter(
-        F.col("food_id") != F.col("pair_food_id")
-    ).select("food_id", "pair_food_id", F.lit(0).cast("bigint").alias("n"))
-    counted = (
-        _mirrored(small).unionByName(candidates)
-        .groupBy("food_id", "pair_food_id").agg(F.max("n").alias("n"))
-    )
-    mine = classes.select("food_id", F.col("cls").alias("cls"))
-    theirs = classes.select(F.col("food_id").alias("pair_food_id"), F.col("cls").alias("pair_cls"))
-    return (
-        counted.join(mine, "food_id", "left").join(theirs, "pair_food_id", "left")
-        .select("food_id", "pair_food_id",
-                (F.col("n") + F.coalesce(shared, F.lit(0))).alias("n"))
-    )
-
-
-def food_pairs(ingredients: DataFrame, keep: int = fixed.MAX_PAIRS_PER_FOOD,
-               hot_basket: int = HOT_BASKET, hold=materialise) -> DataFrame:
+    same = [F.bit_xor(F.xxhash64("recipe_id", F.lit(seed))) for seed in (1, 2)]
+    foods = basket.groupBy("food_id").agg(
+        F.count(F.lit(1)).alias("n"), same[0].alias("c1"), same[1].alias("c2"))
+    first = top_k(foods, ["n", "c1", "c2"], [F.col("food_id")], keep + 1).select(
+        "food_id", F.lit(True).alias("first"))
+    counted = foods.join(first, "food_id", "left").select(
+        "food_id", "n", F.coalesce("first", F.lit(False)).alias("first"))
+    return basket.join(counted, "food_id")
+
+
+def _asked(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(partners, skipped, floor): where which partner is looked for.
+
+    In a recipe of more than ``keep`` foods the keep + 1 rarest score, with any food of
+    it, no less than 1 recipe in common with the last of them would: the rate is r, that
+    one's recipes. A food met in this recipe only is therefore among the best only if it
+    is one of them. One met in k recipes must reach k / n >= 1 / r, so of the n recipes
+    of a partner, smallest first, the last ones need not be searched: what shares only
+    those shares too few. Sizes are told apart by powers of two.
+    """
+    large = rows.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > keep)
+    within_large = rows.join(large, "recipe_id").withColumn("level", F.floor(F.log2("m")))
+    short = top_k(within_large, ["recipe_id"], [F.col("n"), F.col("food_id")], keep + 1).drop("rn")
+    rate = short.groupBy("recipe_id").agg(F.max("n").alias("r"))
+    able = within_large.filter(F.col("first") & (F.col("n") > 1))
+    up = Window.partitionBy("food_id").orderBy(F.col("level").desc())
+    left = able.groupBy("food_id", "level").agg(F.count(F.lit(1)).alias("c")).withColumn("left", F.sum("c").over(up))
+    judged = able.join(rate, "recipe_id").join(left.drop("c"), ["food_id", "level"])
+    columns = ["recipe_id", "food_id", "n"]
+    searched = judged.filter(F.col("r") * F.col("left") >= F.col("n")).select(*columns)
+    in_large = searched.unionByName(short.filter("first").select(*columns)).distinct()
+    small = rows.filter("first").join(large, "recipe_id", "left_anti").select(*columns)
+    skipped = able.select(*columns).join(in_large, ["recipe_id", "food_id"], "left_anti")
+    floor = within_large.join(rate, "recipe_id").groupBy("food_id").agg(F.min("r").alias("r"))
+    return small.unionByName(in_large), skipped, floor
+
+
+def _met(rows: DataFrame, partners: DataFrame) -> DataFrame:
+    """(food_id, n_food, pair_food_id, n_pair, n): recipes in which a food meets a partner.
+
+    Each recipe is cut into as many parts as its pairs need tasks; a part is a hash of
+    the food, so the same path serves recipes of every size.
+    """
+    asked = partners.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("p"))
+    work = rows.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("m")).join(asked, "recipe_id").select(
+        "recipe_id", F.ceil(F.col("m") * F.col("p") / TASK_PAIRS).cast("int").alias("parts"))
+    split = work.filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    mine = rows.join(split, "recipe_id", "left").select(
+        "recipe_id", "food_id", F.col("n").alias("n_food"), F.pmod(F.xxhash64("food_id"), parts).cast("int").alias("part"))
+    theirs = partners.join(split, "recipe_id", "left").select(
+        "recipe_id", F.col("food_id").alias("pair_food_id"), F.col("n").alias("n_pair"),
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return (mine.join(theirs, ["recipe_id", "part"]).filter("food_id != pair_food_id")
+            .groupBy("food_id", "n_food", "pair_food_id", "n_pair").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _completed(met: DataFrame, rows: DataFrame, skipped: DataFrame, floor: DataFrame) -> DataFrame:
+    """Adds the common recipes in which the partner was not searched.
+
+    Only to pairs that can still reach the floor, and from the side that has fewer
+    recipes to look through.
+    """
+    more = skipped.groupBy("food_id").agg(F.count(F.lit(1)).alias("s")).withColumnRenamed("food_id", "pair_food_id")
+    reach = F.col("n") + F.least("s", F.col("n_food") - F.col("n"))
+    open_ = met.join(more, "pair_food_id").join(floor, "food_id", "left").filter(
+        F.col("r").isNull() | (reach * F.col("r") >= F.col("n_pair"))).select("food_id", "pair_food_id", "n_food", "s")
+    places = rows.select("recipe_id", "food_id")
+    theirs = skipped.select("recipe_id", F.col("food_id").alias("pair_food_id"))
+    by_partner = open_.filter("s <= n_food").join(theirs, "pair_food_id").join(places, ["recipe_id", "food_id"])
+    by_food = open_.filter("s > n_food").join(places, "food_id").join(theirs, ["recipe_id", "pair_food_id"])
+    extra = by_partner.select("food_id", "pair_food_id").unionByName(by_food.select("food_id", "pair_food_id")).groupBy(
+        "food_id", "pair_food_id").agg(F.count(F.lit(1)).alias("extra"))
+    return met.join(extra, ["food_id", "pair_food_id"], "left").withColumn(
+        "n", F.col("n") + F.coalesce("extra", F.lit(0))).drop("extra")
+
+
+def food_pairs(ingredients: DataFrame, keep: int = fixed.MAX_PAIRS_PER_FOOD, hold=materialise) -> DataFrame:
     """(food_id, pair_food_id, n_recipes, score): the best partners of every food.
 
-    ``ingredients`` is (recipe_id, food_id), repeats allowed. The distinct rows are
-    stored, since the sizes, the frequencies and both sides of the join read them.
-    Pairs are counted one way and mirrored. Looking for huge recipes brings back at
-    most 12 ids.
+    ``ingredients`` is (recipe_id, food_id), repeats allowed. One path for recipes of
+    every size. The distinct rows are stored, since the counts and both sides of the
+    join read them; so are the partners to look for.
     """
     basket = hold(ingredients.select("recipe_id", "food_id").dropna().distinct(), "baskets")
-    hot = _hot_recipes(basket, hot_basket)
-    freq = basket.groupBy("food_id").agg(F.count(F.lit(1)).alias("n_food"))
+    rows = hold(_rows(basket, keep), "rows")
     total = basket.agg(F.count_distinct("recipe_id").alias("n_recipes_all"))
-    if hot:
-        small = _spelled_pairs(basket.filter(~F.col("recipe_id").isin(hot)))
-        pairs = _with_hot(basket, small, freq, hot, keep)
-    else:
-        pairs = _mirrored(_spelled_pairs(basket))
-    partner = freq.select(F.col("food_id").alias("pair_food_id"), F.col("n_food").alias("n_pair"))
-    scored = (
-        pairs.join(freq, "food_id").join(partner, "pair_food_id").crossJoin(F.broadcast(total))
-        .withColumn("score", mutual_information(
-            F.col("n"), F.col("n_food"), F.col("n_pair"), F.col("n_recipes_all")))
-    )
+    partners, skipped, floor = _asked(rows, keep)
+    partners, skipped = hold(partners, "partners"), hold(skipped, "skipped")
+    pairs = _met(rows, partners)
+    if not skipped.isEmpty():
+        pairs = _completed(hold(pairs, "met"), rows, skipped, floor)
+    scored = pairs.crossJoin(F.broadcast(total)).withColumn("score", mutual_information(
+        F.col("n"), F.col("n_food"), F.col("n_pair"), F.col("n_recipes_all")))
     order = [F.col("score").desc(), F.col("n").desc(), F.col("pair_food_id")]
     return top_k(scored, ["food_id"], order, keep).select(
         "food_id", "pair_food_id", F.col("n").alias("n_recipes"), "score"

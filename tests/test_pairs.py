@@ -30,12 +30,27 @@ def test_pairs_match_brute_force(spark):
     assert result(food_pairs(df, keep=5)) == brute(rows, 5)
 
 
-def test_huge_recipes_are_exact(spark):
+def test_twenty_huge_recipes_are_exact(spark):
+    """Foods of few and of many huge recipes, twins, and small recipes beside them."""
     rng = random.Random(4)
-    rows = [(rng.randint(10, 60), rng.randint(1, 80)) for _ in range(250)]
-    rows += [(1, f) for f in range(1, 71)] + [(2, f) for f in range(40, 81)] + [(3, f) for f in range(1, 81, 2)]
+    rows = [(rng.randint(100, 160), rng.randint(1, 120)) for _ in range(200)]
+    for recipe in range(1, 21):
+        share = rng.choice([0.05, 0.5, 0.9])
+        rows += [(recipe, f) for f in range(1, 121) if rng.random() < share]
+        rows += [(recipe, 1000 + 10 * recipe + i) for i in range(rng.choice([0, 3, 9]))]
+    rows += [(r, f) for f in range(500, 530) for r in (3, 5, 7)]
     df = spark.createDataFrame(rows, "recipe_id long, food_id long")
-    assert result(food_pairs(df, keep=6, hot_basket=30)) == brute(rows, 6)
+    for keep in (3, 6, 25):
+        assert result(food_pairs(df, keep=keep)) == brute(rows, keep)
+
+
+def test_recipes_are_split_over_tasks(spark, monkeypatch):
+    from larder.operators import pairs
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 50)
+    rng = random.Random(6)
+    rows = [(rng.randint(1, 12), rng.randint(1, 60)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "recipe_id long, food_id long")
+    assert result(food_pairs(df, keep=7)) == brute(rows, 7)
 
 
 def test_pairs_are_symmetric_when_nothing_is_cut(spark):
