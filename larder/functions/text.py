@@ -110,10 +110,10 @@ def dice(a: Column, b: Column) -> Column:
     )
 
 
-def slug(c: Column) -> Column:
-    """Lower ASCII letters and digits joined by single underscores, 40 characters at most."""
+def slug(c: Column, longest: int = fixed.MAX_ID_CHARS) -> Column:
+    """Lower ASCII letters and digits joined by single underscores, ``longest`` characters at most."""
     body = F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_")
-    return F.regexp_replace(F.left(F.regexp_replace(body, "^_", ""), F.lit(fixed.MAX_ID_CHARS)), "_+$", "")
+    return F.regexp_replace(F.left(F.regexp_replace(body, "^_", ""), F.lit(longest)), "_+$", "")
 
 
 # --- queries and grams ---------------------------------------------------------
@@ -150,24 +150,24 @@ def is_single_emoji(c: Column) -> Column:
     return F.coalesce((c != "") & ok, F.lit(False))
 
 
-def leading_emoji(c: Column) -> Column:
-    """Characters before the first letter, digit or blank, cut once 8 bytes are reached."""
+def leading_emoji(c: Column, most_bytes: int = fixed.MAX_EMOJI_BYTES) -> Column:
+    """Characters before the first letter, digit or blank, cut once ``most_bytes`` are reached."""
     lead = F.trim(F.regexp_extract(F.trim(c), r"^[^\p{L}\p{Nd}\s]+", 0))
     chars = F.filter(F.split(lead, ""), lambda x: x != "")
     kept = F.filter(
         chars,
-        lambda x, i: F.octet_length(F.array_join(F.slice(chars, F.lit(1), i), "")) < fixed.MAX_EMOJI_BYTES,
+        lambda x, i: F.octet_length(F.array_join(F.slice(chars, F.lit(1), i), "")) < most_bytes,
     )
     # Nearly every answer is one short emoji; only a longer one is counted out.
-    cut = F.when(F.octet_length(lead) <= fixed.MAX_EMOJI_BYTES, lead).otherwise(F.array_join(kept, ""))
+    cut = F.when(F.octet_length(lead) <= most_bytes, lead).otherwise(F.array_join(kept, ""))
     return F.coalesce(cut, F.lit(""))
 
 
-def clean_keywords(c: Column) -> Column:
-    """Trimmed, lower-case, distinct, at most 40 characters each and 20 in all."""
+def clean_keywords(c: Column, longest: int = fixed.LONGEST_KEYWORD, most: int = fixed.MAX_KEYWORDS) -> Column:
+    """Trimmed, lower-case, distinct; at most ``longest`` characters each and ``most`` in all."""
     tidy = F.transform(c, lambda k: F.lower(F.trim(k)))
-    fit = F.filter(tidy, lambda k: (F.length(k) > 0) & (F.length(k) <= fixed.LONGEST_KEYWORD))
-    return F.slice(F.array_distinct(fit), 1, fixed.MAX_KEYWORDS)
+    fit = F.filter(tidy, lambda k: (F.length(k) > 0) & (F.length(k) <= longest))
+    return F.slice(F.array_distinct(fit), 1, most)
 
 
 def tidy_identity(c: Column) -> Column:
@@ -190,8 +190,8 @@ def term_or_name(term: Column, name: Column) -> Column:
     return F.coalesce(blank_to_null(term), name)
 
 
-def clipped_error(c: Column) -> Column:
-    return F.left(c, F.lit(fixed.ERROR_TEXT_CHARS))
+def clipped_error(c: Column, longest: int = fixed.ERROR_TEXT_CHARS) -> Column:
+    return F.left(c, F.lit(longest))
 
 
 # --- display ---------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larder.operators.relational import differs, without
 
 Hold = Callable[[DataFrame], DataFrame]
+STAMP = "updated_at"
 
 
 def same(df: DataFrame) -> DataFrame:
@@ -49,10 +50,15 @@ def audit_rows(df: DataFrame, key: str, changes: Sequence[Column], run_id: str)
     """One row per change that happened; ``changes`` are nullable structs."""
     return df.select(F.col(key).alias("fdc_id"), F.inline(F.array_compact(F.array(*changes)))).select(
         "fdc_id", "field", "old_value", "new_value", "actor", "source_version",
-        F.lit(run_id).alias("run_id"),
+        F.lit(run_id).alias("run_id"), F.current_timestamp().alias("timestamp"),
     )
 
 
+def stamp_at(name: str, when: Column, old: Column) -> Column:
+    """The time of the last change of a row."""
+    return F.when(when, F.current_timestamp()).otherwise(old).alias(name)
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: str, tracked: Sequence[str],
            carried: Sequence[str] = (), version: str | None = None, run_id: str = "run",
            hold: Hold = same) -> Merge:
@@ -70,6 +76,8 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, tracked: Sequence[
 
     def value(c: str) -> Column:
         mine = F.col(f"old.{c}")
+        if c == STAMP:
+            return stamp_at(c, is_new | changed, mine)
         if c in updated:
             return F.when(is_new | changed, F.col(f"new.{c}")).otherwise(mine).alias(c)
         if c in incoming.columns:
@@ -102,13 +110,14 @@ def apply_fields(current: DataFrame, values: DataFrame, key: str, fields: Sequen
     joined = hold(current.join(new, key, "left"))
     locked = F.coalesce(F.col(unless), F.lit(False)) if unless else F.lit(False)
     live = F.col("new").isNotNull() & ~locked
+    any_change = F.exists(F.array(*[differs(F.col(c), F.col(f"new.{c}")) for c in fields]), lambda x: x)
     snapshot = joined.select(*[
-        F.when(live, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
+        F.when(live, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in fields
+        else stamp_at(c, live & any_change, F.col(c)) if c == STAMP else F.col(c)
         for c in current.columns
     ])
     rows = [change_row(c, F.col(c), F.col(f"new.{c}"), live & differs(F.col(c), F.col(f"new.{c}")),
                        actor, F.col(version)) for c in fields]
-    any_change = F.exists(F.array(*[differs(F.col(c), F.col(f"new.{c}")) for c in fields]), lambda x: x)
     counts = joined.agg(
         F.count_if(live & any_change).alias("updated"),
         F.count_if(F.col("new").isNotNull() & locked).alias("skipped_locked"),
@@ -121,9 +130,11 @@ def rewrite(df: DataFrame, key: str, values: dict[str, Column], version: str = "
     """Recompute fields of every row from the row itself, logging each difference; no join."""
     beside = hold(df.select("*", *[v.cast(df.schema[c].dataType).alias(f"_new_{c}") for c, v in values.items()]))
     changed = {c: differs(F.col(c), F.col(f"_new_{c}")) for c in values}
-    snapshot = beside.select(*[F.col(f"_new_{c}").alias(c) if c in values else F.col(c) for c in df.columns])
-    rows = [change_row(c, F.col(c), F.col(f"_new_{c}"), changed[c], actor, F.col(version)) for c in values]
     any_change = F.exists(F.array(*changed.values()), lambda x: x)
+    snapshot = beside.select(*[
+        F.col(f"_new_{c}").alias(c) if c in values else stamp_at(c, any_change, F.col(c)) if c == STAMP else F.col(c)
+        for c in df.columns])
+    rows = [change_row(c, F.col(c), F.col(f"_new_{c}"), changed[c], actor, F.col(version)) for c in values]
     return Merge(snapshot, audit_rows(beside, key, rows, run_id),
                  beside.agg(F.count_if(any_change).alias("updated")))
 
@@ -164,6 +175,8 @@ def merge_clusters(current: DataFrame, items: DataFrame, run_id: str = "run",
         if c == "source_version":
             theirs = F.col("new.source_version") if c in items.columns else F.lit(None)
             return F.when(refresh, F.coalesce(theirs, mine)).otherwise(mine).alias(c)
+        if c == STAMP:
+            return stamp_at(c, created | moved, mine)
         if c == "review_status":
             return F.when(created | moved, F.lit("pending")).otherwise(mine).alias(c)
         if c == "human_verified":

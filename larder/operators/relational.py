@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.session import materialise
 
-HOT_SHARE = 256
-
 
 def within(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Rows whose key some parent holds."""
@@ -43,14 +41,16 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
 
 
 def hot_keys(weights: DataFrame, keys: Sequence[str], weight: str = "n") -> DataFrame:
-    """Keys holding at least 1/256 of all rows, with the parts to split each into.
+    """Keys with more rows than a task's even share, with the parts to split each into.
 
-    There can be at most 256 of them, which is what makes them safe to broadcast.
+    A task's share is all rows by the shuffle partitions, so there are fewer such keys
+    than partitions, which bounds the broadcast.
     """
+    tasks = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = weights.agg(F.sum(weight).alias("_total"))
-    share = F.col(weight) * HOT_SHARE / F.col("_total")
+    share = F.col(weight) * tasks / F.col("_total")
     return (
-        weights.crossJoin(F.broadcast(total)).filter(share >= 1)
+        weights.crossJoin(F.broadcast(total)).filter(share > 1)
         .select(*keys, F.ceil(share).cast("int").alias("_parts"))
     )
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder import schemas
 from larder.functions import labels
 from larder.operators import changes, review, scoring
 from larder.plans import roles
 from larder.plans.registry import query
 from larder.schemas import ITEMS, conform
+from larder.session import fresh_path
 from larder.sources import tables
 
 CUT = "1999-01-01"
@@ -51,7 +53,25 @@ UNION ALL SELECT fdc_id, 'food_category', oc, nc, 'auto', nv FROM both_ WHERE oc
 UNION ALL SELECT fdc_id, 'source_version', ov, nv, 'auto', nv FROM both_ WHERE ov IS DISTINCT FROM nv
 UNION ALL SELECT fdc_id, 'ingest', NULL, description, 'auto', source_version FROM fresh""")
 def release_diff_audit(spark, sf):
-    return _upsert(spark, sf).audit.drop("run_id")
+    return _upsert(spark, sf).audit.drop("run_id", "timestamp")
+
+
+@query("audit_log_tail", f"""
+WITH {RELEASE_SQL}, log AS (
+SELECT fdc_id, 'description' AS field, od AS old_value, nd AS new_value FROM both_ WHERE od IS DISTINCT FROM nd
+UNION ALL SELECT fdc_id, 'food_category', oc, nc FROM both_ WHERE oc IS DISTINCT FROM nc
+UNION ALL SELECT fdc_id, 'source_version', ov, nv FROM both_ WHERE ov IS DISTINCT FROM nv
+UNION ALL SELECT fdc_id, 'ingest', NULL, description FROM fresh)
+SELECT *, (SELECT count(*) FROM log) AS logged FROM log ORDER BY fdc_id, field LIMIT 50""")
+def audit_log_tail(spark, sf):
+    """The audit rows of a merge, written in two parts, one of them twice, and read back."""
+    audit, path = _upsert(spark, sf).audit.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")), fresh_path(spark, "audit")
+    rows = schemas.conform(audit, schemas.AUDIT)
+    for part, when in (("fresh", "field = 'ingest'"), ("changed", "field != 'ingest'"), ("fresh", "field = 'ingest'")):
+        tables.append_log(rows.filter(when), path, part)
+    log = tables.read_log(spark, path, schemas.AUDIT)
+    total = log.agg(F.count(F.lit(1)).alias("logged"))
+    return tables.log_tail(log).select("fdc_id", "field", "old_value", "new_value").crossJoin(F.broadcast(total))
 
 
 @query("release_upsert", f"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
-from larder.operators.changes import latest_state
-
+from larder import fixed
+from larder.operators import scoring
 from larder.plans.registry import query
 from larder.session import fresh_path
 from larder.streaming import intake, plate
-from larder.streaming.sinks import append_rows, latest_versions, table_stream, write_versions
+from larder.streaming.sinks import latest_versions, read_batches, table_stream, write_batches
 
 EVENTS = StructType([
     StructField("event_id", LongType()), StructField("ts", TimestampNTZType()), StructField("user_id", LongType()),
@@ -18,59 +18,64 @@ EVENTS = StructType([
 ])
 
 
+#: Files that the table is cut into, in no order of time; each is a micro-batch.
+FILES = 4
+
+
+def cut_events(spark, sf):
+    path = fresh_path(spark, "events")
+    rows = spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet")
+    rows.repartition(FILES, F.xxhash64("event_id")).write.parquet(path)
+    return path
+
+
 def events(spark, sf):
-    return table_stream(spark, sf, "events", EVENTS)
+    return table_stream(spark, cut_events(spark, sf), EVENTS, files_per_batch=1)
+
+
+def stamped(rows):
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_day_totals", """
 SELECT user_id, strftime(ts, '%Y-%m-%d') AS local_date, CAST(round(sum(value)) AS BIGINT) AS kcal, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_day_totals(spark, sf):
     entries = events(spark, sf).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("local_date"), F.col("value").alias("kcal"))
-    totals, path = intake.running_day_totals(entries), fresh_path(spark, "days")
-    write_versions(totals, path)
-    return latest_versions(spark, path, totals.schema, ["user_id", "local_date"])
+    path = fresh_path(spark, "days")
+    write_batches(entries, path, intake.day_parts)
+    return intake.day_totals(read_batches(spark, path, intake.day_parts(entries).schema))
 
 
 @query("stream_hour_window", """
-SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour_start, user_id, round(sum(value), 4) AS kcal, count(*) AS n FROM events
-WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2""")
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour_start, user_id, round(sum(value), 4) AS kcal, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_hour_window(spark, sf):
-    # A window is final once the watermark, two hours behind the newest row, has passed its end.
-    entries = events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("value").alias("kcal"))
-    windows, path = intake.hour_windows(entries), fresh_path(spark, "hours")
-    append_rows(windows, path)
-    rows = spark.read.schema(windows.schema).parquet(path)
+    entries = stamped(events(spark, sf)).select("ts", "user_id", F.col("value").alias("kcal"))
+    path = fresh_path(spark, "hours")
+    write_batches(entries, path, intake.hour_parts)
+    rows = intake.hour_totals(read_batches(spark, path, intake.hour_parts(entries).schema))
     return rows.select(F.date_format("hour_start", "yyyy-MM-dd HH").alias("hour_start"), "user_id", F.round("kcal", 4).alias("kcal"), "n")
 
 
 @query("stream_dedup", """
 SELECT user_id AS id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(DISTINCT props) AS n FROM events GROUP BY 1, 2""")
 def stream_dedup(spark, sf):
-    pushed = events(spark, sf).select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "props", F.col("ts").cast("timestamp").alias("ts"))
-    once, path = intake.without_repeats(pushed, ["id", "day", "props"], "40 days"), fresh_path(spark, "pushed")
-    append_rows(once, path)
-    rows = spark.read.schema(once.schema).parquet(path)
+    pushed = stamped(events(spark, sf)).select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "props", "ts")
+    keys, path = ["id", "day", "props"], fresh_path(spark, "pushed")
+    write_batches(pushed, path, lambda rows: intake.first_of_each(rows, keys))
+    rows = intake.first_of_each(read_batches(spark, path, pushed.schema), keys)
     return rows.groupBy("id", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_pull", """
 SELECT user_id AS id, max(event_id) AS updated_at, arg_max(value, event_id) AS value FROM events GROUP BY 1""")
 def stream_pull(spark, sf):
-    """Each micro-batch's newest rows are merged into the next version of the local table."""
-    schema = StructType([StructField("id", LongType()), StructField("updated_at", LongType()), StructField("value", DoubleType())])
-    root, at = fresh_path(spark, "pull"), {}
-
-    def read():
-        return spark.read.schema(schema).parquet(at["path"]) if at else None
-
-    def write(rows, batch):
-        path = f"{root}/v={batch}"
-        latest_state(rows, "id", ["updated_at"]).write.mode("overwrite").parquet(path)
-        at["path"] = path
-
-    remote = events(spark, sf).select(F.col("user_id").alias("id"), F.col("event_id").alias("updated_at"), "value")
-    intake.pull_stream(remote, read, write)
-    return read()
+    """Pulled in two runs: the second goes on where the first one stopped."""
+    source, path = cut_events(spark, sf), fresh_path(spark, "pull")
+    for files in ("part-0000[01]*", "part-*"):
+        remote = table_stream(spark, f"{source}/{files}", EVENTS, files_per_batch=1).select(
+            F.col("user_id").alias("id"), F.col("event_id").alias("updated_at"), "value")
+        write_batches(remote, path, intake.pulled_parts)
+    return intake.pulled(read_batches(spark, path, remote.schema))
 
 
 _PLATE_SQL = """
@@ -94,17 +99,16 @@ def _plate_events(spark, sf):
         (F.dayofmonth("ts") % 8 + 1).alias("shot"))
 
 
-def _drained_plate(spark, plates):
-    path = fresh_path(spark, "plates")
-    write_versions(plates, path)
-    got = latest_versions(spark, path, plates.schema, ["session", "instance_id"])
-    return got.select("session", "instance_id", "first_seen", F.round("grams", 6).alias("grams"), "shots",
-                      F.col("removed").cast("bigint").alias("removed"))
+def _rounded(plates):
+    return plates.select("session", "instance_id", "first_seen", F.round("grams", 6).alias("grams"), "shots",
+                         F.col("removed").cast("bigint").alias("removed"))
 
 
 @query("stream_plate", _PLATE_SQL)
 def stream_plate(spark, sf):
-    return _drained_plate(spark, plate.running_plate(_plate_events(spark, sf)))
+    said, path = _plate_events(spark, sf), fresh_path(spark, "plates")
+    write_batches(said, path, plate.plate_parts)
+    return _rounded(plate.plate_of(plate.merged_parts(read_batches(spark, path, plate.plate_parts(said).schema))))
 
 
 @query("stream_plate_expiring", _PLATE_SQL)
@@ -118,7 +122,9 @@ def stream_plate_expiring(spark, sf):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        return _drained_plate(spark, plate.expiring_plate(_plate_events(spark, sf)))
+        plates, path = plate.expiring_plate(_plate_events(spark, sf)), fresh_path(spark, "plates")
+        write_batches(plates, path, lambda rows: rows, "update")
+        return _rounded(latest_versions(read_batches(spark, path, plates.schema), ["session", "instance_id"]))
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
@@ -126,9 +132,19 @@ def stream_plate_expiring(spark, sf):
 
 @query("stream_scored", "SELECT event_id, upper(event_type) AS content FROM events")
 def stream_scored(spark, sf):
-    path = fresh_path(spark, "scored")
-    intake.scored_stream(events(spark, sf).select("event_id", "event_type"),
-                         lambda rows: rows.select("event_id", F.upper("event_type").alias("content")), path)
-    return spark.read.schema("event_id bigint, content string").option("recursiveFileLookup", "true").parquet(path)
+    """Requests answered by a scorer in groups of at most 250, whose sizes it checks."""
+    def scorer(payloads):
+        return payloads.str.upper()
+
+    def accepts(replies):
+        return replies.withColumns({"ok": F.col("content").isNotNull(), "error": F.lit(None).cast("string")})
 
+    def answer(rows):
+        asked = rows.withColumn("payload", F.col("event_type"))
+        sizes = asked.groupBy("group").count().filter(F.col("count") > fixed.FLUSH_EVERY)
+        done, _ = scoring.score(asked.join(sizes, "group", "left_anti"), scorer, "event_id", accepts, attempts=1)
+        return done.select("event_id", "content")
 
+    path = fresh_path(spark, "scored")
+    intake.scored_stream(events(spark, sf).select("event_id", "event_type"), answer, path, "event_id")
+    return read_batches(spark, path, StructType([EVENTS["event_id"], StructField("content", StringType())])).drop("batch")

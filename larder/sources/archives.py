@@ -39,14 +39,24 @@ def is_needed(path: Column) -> Column:
 
 
 def needed_files(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Base name -> path for the tables of one extracted archive (13 at most)."""
-    found = listed_files(spark, folder, "*.csv").filter(is_needed(F.col("path"))).collect()
-    return {row.path.rsplit("/", 1)[-1]: row.path for row in found}
+    """Base name -> path for the tables of one extracted archive (13 at most).
+
+    Two files of one name are an error: which of them is meant cannot be told.
+    """
+    found = sorted(r.path for r in listed_files(spark, folder, "*.csv").filter(is_needed(F.col("path"))).collect())
+    named = {path.rsplit("/", 1)[-1]: path for path in found}
+    if len(named) < len(found):
+        raise ValueError(f"files of one name in {folder}: {found}")
+    return named
 
 
-def csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text; casts are ours, so a bad cell never fails the read."""
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+def csv_text(spark: SparkSession, path: str, quoted_newlines: bool = True) -> DataFrame:
+    """Every column as text; casts are ours, so a bad cell never fails the read.
+
+    A quoted cell may hold line ends. Where none does, ``quoted_newlines=False`` lets
+    one file be read by several tasks.
+    """
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", quoted_newlines).csv(path)
 
 
 def parsed_replies(df: DataFrame, content: str, schema: str) -> DataFrame:

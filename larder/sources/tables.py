@@ -5,23 +5,24 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from larder import fixed
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Only the named columns reach the scan; sort, if wanted, at the sink."""
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+def append_log(rows: DataFrame, path: str, part: str = "all") -> None:
+    """Append one part of the log of a run; repeating it replaces that part of that run only."""
+    (rows.withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "part").parquet(path))
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Append rows of one or more runs; repeating a run replaces that run's rows only."""
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id").parquet(path))
+def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of a log, of every run and part."""
+    return spark.read.schema(StructType([*schema.fields, StructField("part", StringType())])).parquet(path).drop("part")
 
 
 def log_tail(log: DataFrame, n: int = 50) -> DataFrame:
+    """The newest rows of an audit log."""
     return log.orderBy(F.col("timestamp").desc(), "fdc_id", "field").limit(n)
 
 

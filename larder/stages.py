@@ -17,6 +17,7 @@ from larder import schemas
 from larder.functions import labels
 from larder.operators import catalog, changes, cluster, pivot, scoring
 from larder.session import materialise
+from larder.sources import tables
 from larder.sources.release import CHILDREN, Release, ingest
 
 Store = Callable[[DataFrame, str], DataFrame]
@@ -40,6 +41,15 @@ def empty_state(spark: SparkSession) -> State:
     return State({name: spark.createDataFrame([], schema) for name, schema in shapes.items()})
 
 
+def store_logs(state: State, root: str) -> None:
+    """Write what the stages logged: each stage's audit rows, and clean-up rows of known foods."""
+    for n, rows in enumerate(state.audit):
+        tables.append_log(schemas.conform(rows, schemas.AUDIT), f"{root}/audit", f"stage-{n}")
+    for n, rows in enumerate(state.cleanup):
+        known = changes.known_only(rows, state.tables["foods"])
+        tables.append_log(schemas.conform(known, schemas.CLEANUP), f"{root}/cleanup", f"stage-{n}")
+
+
 def load_releases(state: State, releases: list[Release], run_id: str, store: Store = materialise) -> State:
     """Bring releases into the foods and replace the child rows of every food they hold."""
     spark = state.tables["foods"].sparkSession
@@ -47,10 +57,10 @@ def load_releases(state: State, releases: list[Release], run_id: str, store: Sto
     incoming = store(frames["foods"].withColumnRenamed("description", "description_raw"), "incoming")
     merge = changes.upsert(state.tables["foods"], incoming, "fdc_id", TRACKED, CARRIED,
                            version="source_version", run_id=run_id, hold=lambda df: store(df, "merged"))
-    tables = dict(state.tables, foods=store(merge.snapshot, "foods"))
+    next_tables = dict(state.tables, foods=store(merge.snapshot, "foods"))
     for name in CHILDREN:
-        tables[name] = store(changes.replace_children(state.tables[name], frames[name], incoming, "fdc_id"), name)
-    return State(tables, [*state.audit, merge.audit], state.cleanup)
+        next_tables[name] = store(changes.replace_children(state.tables[name], frames[name], incoming, "fdc_id"), name)
+    return State(next_tables, [*state.audit, merge.audit], state.cleanup)
 
 
 def expand_descriptions(state: State, run_id: str, store: Store = materialise) -> State:
@@ -90,9 +100,9 @@ def group(state: State, run_id: str, store: Store = materialise) -> State:
     got = cluster.cluster(pivot.macro_input(t["foods"], t["nutrients"]), hold=lambda df: store(df, "grouped"))
     merge = changes.merge_clusters(t["items"], got.items, run_id, hold=lambda df: store(df, "regrouped"))
     foods, _ = changes.relink(t["foods"], got.links)
-    tables = dict(t, items=store(schemas.conform(merge.snapshot, schemas.ITEMS), "items"),
+    next_tables = dict(t, items=store(schemas.conform(merge.snapshot, schemas.ITEMS), "items"),
                   preps=store(schemas.conform(got.preps, schemas.PREPS), "preps"), foods=store(foods, "foods"))
-    return State(tables, [*state.audit, merge.audit], state.cleanup)
+    return State(next_tables, [*state.audit, merge.audit], state.cleanup)
 
 
 def name_items(state: State, scorer: scoring.Scorer, run_id: str, model: str | None = None,
@@ -109,12 +119,17 @@ def name_items(state: State, scorer: scoring.Scorer, run_id: str, model: str | N
 
 
 def refresh(state: State, releases: list[Release], identities: scoring.Scorer, names: scoring.Scorer,
-            run_id: str, store: Store = materialise) -> tuple[State, dict[str, DataFrame]]:
-    """Every stage in order; returns the new state and the catalogue tables to publish."""
+            run_id: str, store: Store = materialise, logs: str | None = None) -> tuple[State, dict[str, DataFrame]]:
+    """Every stage in order; returns the new state and the catalogue tables to publish.
+
+    The rows logged on the way are appended under ``logs``, when it is given.
+    """
     state = load_releases(state, releases, run_id, store)
     state = expand_descriptions(state, run_id, store)
     state = flag_brands(state, run_id, store)
     state = identify(state, identities, run_id, store=store)
     state = group(state, run_id, store)
     state = name_items(state, names, run_id, store=store)
+    if logs:
+        store_logs(state, logs)
     return state, catalog.build_catalog(state.tables, hold=store)

@@ -1,56 +1,82 @@
-"""The intake log as a stream: running day totals, hour windows, repeats, pulls."""
+"""The intake log as a stream: day totals, hour windows, repeats, pulls, scoring.
+
+Every operator is a pair: what a micro-batch is reduced to, and how a reader merges the
+batches. Sums, minima, maxima and sets merge in any order, so rows may come in any.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
+
+from larder import fixed
+from larder.operators.changes import latest_state
+from larder.operators.relational import keep_first
+from larder.streaming.sinks import BATCH, drain, read_batches
+
 
-from larder.operators.changes import pull
-from larder.streaming.sinks import drain
+def _sums(rows: DataFrame, keys: list[Column | str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum(F.coalesce("kcal", F.lit(0.0))).alias("kcal"), F.count(F.lit(1)).alias("n"))
 
 
-def running_day_totals(entries: DataFrame) -> DataFrame:
-    """Totals per user and day, emitted again whenever a day changes (update mode)."""
-    return entries.groupBy("user_id", "local_date").agg(
-        F.round(F.sum(F.coalesce("kcal", F.lit(0.0)))).cast("bigint").alias("kcal"),
-        F.count(F.lit(1)).alias("n"),
-    )
+def day_parts(entries: DataFrame) -> DataFrame:
+    """Sums per user and day of one micro-batch."""
+    return _sums(entries, ["user_id", "local_date"])
 
 
-def hour_windows(entries: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Totals per user and hour of event time; rows behind the watermark are dropped and counted."""
-    return (
-        entries.withWatermark("ts", late)
-        .groupBy(F.window("ts", "1 hour"), "user_id")
-        .agg(F.sum(F.coalesce("kcal", F.lit(0.0))).alias("kcal"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").alias("hour_start"), "user_id", "kcal", "n")
-    )
+def day_totals(parts: DataFrame) -> DataFrame:
+    """Totals per user and day over all micro-batches."""
+    return parts.groupBy("user_id", "local_date").agg(
+        F.round(F.sum("kcal")).cast("bigint").alias("kcal"), F.sum("n").alias("n"))
 
 
-def without_repeats(pushed: DataFrame, keys: list[str], within: str = "1 day") -> DataFrame:
-    """A row pushed again under the same id and stamp counts once."""
-    return pushed.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
+def hour_parts(entries: DataFrame) -> DataFrame:
+    """Sums per user and hour of event time of one micro-batch, however late its rows are."""
+    return _sums(entries, [F.date_trunc("hour", "ts").alias("hour_start"), "user_id"])
 
 
-def pull_stream(remote: DataFrame, read: Callable[[], DataFrame | None],
-                write: Callable[[DataFrame, int], None], key: str = "id",
-                checkpoint: str | None = None) -> None:
-    """Bring remote changes into the local table micro-batch by micro-batch.
+def hour_totals(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("hour_start", "user_id").agg(F.sum("kcal").alias("kcal"), F.sum("n").alias("n"))
 
-    The checkpoint is the cursor: a restart goes on where the last batch ended.
+
+def first_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows pushed again under the same keys, within a micro-batch or between two, count once.
+
+    Serves both sides: the reduction of a batch, and with the batch number the merge.
     """
-    def merge(rows: DataFrame, batch: int) -> None:
-        local = read()
-        write(rows if local is None else pull(local, rows, key), batch)
+    order = [c for c in (BATCH, *rows.columns) if c in rows.columns and c not in keys]
+    return keep_first(rows, keys, list(dict.fromkeys(order))) if order else rows.distinct()
+
 
-    drain(remote, merge, checkpoint=checkpoint)
+def pulled_parts(remote: DataFrame, key: str = "id", stamp: str = "updated_at") -> DataFrame:
+    """The newest remote version per key of one micro-batch."""
+    return latest_state(remote, key, [stamp])
 
 
-def scored_stream(requests: DataFrame, answer: Callable[[DataFrame], DataFrame],
-                  path: str, checkpoint: str | None = None) -> None:
-    """Answer requests as they come; each micro-batch is stored before the next starts."""
+def pulled(parts: DataFrame, key: str = "id", stamp: str = "updated_at") -> DataFrame:
+    """Newest version of every row over all micro-batches; of equal stamps the first to come."""
+    placed = parts.withColumn("_first", -F.col(BATCH))
+    return latest_state(placed, key, [stamp, "_first"]).drop("_first", BATCH)
+
+
+def cursor(spark: SparkSession, path: str, schema: StructType, stamp: str = "updated_at"):
+    """The greatest stamp pulled so far, which the next pull asks from; None before the first."""
+    return read_batches(spark, path, schema).agg(F.max(stamp)).first()[0]
+
+
+def scored_stream(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, order: str,
+                  size: int = fixed.FLUSH_EVERY):
+    """Answer requests as they come, in groups of at most ``size``, and store what came of each.
+
+    ``answer`` takes rows with the column ``group``. The micro-batch is written before
+    the next starts, so a stop loses at most one.
+    """
     def each(rows: DataFrame, batch: int) -> None:
-        answer(rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        place = F.row_number().over(Window.partitionBy("_task").orderBy(order)) - 1
+        grouped = (rows.withColumn("_task", F.spark_partition_id()).withColumn("group", F.concat_ws(
+            "-", F.col("_task"), F.floor(place / size))).drop("_task"))
+        answer(grouped).write.mode("overwrite").parquet(f"{path}/data/{BATCH}={batch}")
 
-    drain(requests, each, checkpoint=checkpoint)
+    return drain(requests, each, f"{path}/checkpoint")

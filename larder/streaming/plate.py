@@ -5,8 +5,9 @@ spread over tasks. What is kept per item does not depend on the order rows arriv
 within a micro-batch: the first place, the latest reading, every shot, and whether a
 person changed or removed it. An empty reply brings no rows and writes no state.
 
-Because the merge is a plain aggregate, ``running_plate`` is one, and never leaves the
-JVM. ``expiring_plate`` keeps the same state in a stateful processor, for its expiry:
+The merge is a plain aggregate, so micro-batches can be reduced to parts and the parts
+merged by the reader, without any state (``plate_parts``, ``merged_parts``, ``plate_of``).
+``expiring_plate`` keeps the same state in a stateful processor, for its expiry:
 a session that has been idle ends, and a late reply starts a new plate.
 """
 
@@ -69,22 +70,40 @@ class _Plate(StatefulProcessor):
 def running_plate(events: DataFrame) -> DataFrame:
     """Plate rows, emitted again whenever they change (update mode).
 
+    The same as ``plate_of(plate_parts(events))`` with the state in memory, for as long
+    as the query runs. A row marked removed is to be taken off the plate.
+    """
+    return plate_of(plate_parts(events))
+
+
+def plate_parts(events: DataFrame) -> DataFrame:
+    """What a micro-batch says of each item.
+
     ``events``: session, instance_id, kind (detected, edited, removed), seq, name,
-    grams, shot (1 to 63). A row marked removed is to be taken off the plate.
+    grams, shot. The shots of an item are a set, as large as it has shots.
     """
     detected, edited = F.col("kind") == "detected", F.col("kind") == "edited"
     said = F.max(F.when(detected, F.struct("seq", "name", "grams")))
     by_hand = F.max(F.when(edited, F.struct("seq", "grams")))
-    # Shots as bits of one number: a fixed-size state however often an item is seen.
-    bits = F.bit_or(F.when(detected, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("shot").cast("int"))))
-    state = events.groupBy("session", "instance_id").agg(
+    return events.groupBy("session", "instance_id").agg(
         F.min(F.when(detected, F.col("seq"))).alias("first_seen"), said.alias("said"), by_hand.alias("by_hand"),
-        bits.alias("bits"), F.bool_or(F.col("kind") == "removed").alias("removed"))
-    shots = F.filter(F.sequence(F.lit(1), F.lit(63)), lambda s: F.call_function("getbit", F.col("bits"), s) == 1)
-    return state.filter(F.col("first_seen").isNotNull()).select(
+        F.collect_set(F.when(detected, F.col("shot").cast("int"))).alias("shots"),
+        F.bool_or(F.col("kind") == "removed").alias("removed"))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """Parts of several micro-batches as one per item."""
+    return parts.groupBy("session", "instance_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("said").alias("said"), F.max("by_hand").alias("by_hand"),
+        F.array_distinct(F.flatten(F.collect_set("shots"))).alias("shots"), F.bool_or("removed").alias("removed"))
+
+
+def plate_of(parts: DataFrame) -> DataFrame:
+    """Plate rows from one part per item; an item that was never detected is not on it."""
+    return parts.filter(F.col("first_seen").isNotNull()).select(
         "session", "instance_id", "first_seen", F.col("said.seq").alias("last_seen"), F.col("said.name").alias("name"),
         F.coalesce("by_hand.grams", "said.grams").alias("grams"),
-        F.array_join(F.transform(shots, lambda s: s.cast("string")), ",").alias("shots"),
+        F.array_join(F.transform(F.array_sort("shots"), lambda s: s.cast("string")), ",").alias("shots"),
         F.col("by_hand").isNotNull().alias("edited"), "removed")
 
 

@@ -1,4 +1,9 @@
-"""Sinks and small helpers shared by the streams."""
+"""Sources, sinks and small helpers shared by the streams.
+
+A stream keeps no state in memory. Each micro-batch is reduced and written to a folder of
+its own, named by the batch: one that is run again replaces itself, late rows count like
+others, and a reader merges the batches. What is kept is data, as bounded as the table.
+"""
 
 from __future__ import annotations
 
@@ -7,63 +12,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from larder.session import fresh_path
+BATCH = "batch"
 
 
-def table_stream(spark: SparkSession, folder: str, table: str, schema: StructType,
-                 files_per_batch: int | None = None) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*")
+def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table, given by its folder or a pattern, as a stream of its files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
-def write_versions(stream: DataFrame, path: str, mode: str = "update",
-                   checkpoint: str | None = None) -> None:
-    """Drain what is there; each micro-batch's rows go to their own folder.
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
+    """Run ``each`` over the available data in micro-batches, then stop.
 
-    The folder is named by the batch, so a batch that is run again replaces itself.
+    The checkpoint says what was read: a stream drained again with the same one goes on
+    where it ended, so its place must outlive the run.
     """
-    def save(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-    drain(stream, save, mode, checkpoint)
-
-
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
-          checkpoint: str | None = None):
-    """Run ``each`` over the available data in micro-batches, then stop."""
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(each).trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint or fresh_path(stream.sparkSession, "stream"))
-        .start()
+        .option("checkpointLocation", checkpoint).start()
     )
     query.awaitTermination()
     return query
 
 
-def latest_versions(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
-    """The newest row per key over all micro-batches."""
-    full = StructType([*schema.fields, StructField("batch_id", IntegerType())])
-    rows = spark.read.schema(full).option("recursiveFileLookup", "true").parquet(path)
-    rest = [c for c in schema.fieldNames() if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("v")).select(*keys, "v.*")
+def write_batches(stream: DataFrame, path: str, reduce: Callable[[DataFrame], DataFrame], mode: str = "append"):
+    """Drain into ``path``: each micro-batch reduced, in a folder of its own, beside the checkpoint."""
+    def save(rows: DataFrame, batch: int) -> None:
+        reduce(rows).write.mode("overwrite").parquet(f"{path}/data/{BATCH}={batch}")
 
+    return drain(stream, save, f"{path}/checkpoint", mode)
 
-def append_rows(stream: DataFrame, path: str, checkpoint: str | None = None) -> None:
-    """Drain into Parquet files; the checkpoint makes each row land once."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint or fresh_path(stream.sparkSession, "stream"))
-        .start(path)
-    )
-    query.awaitTermination()
 
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All rows of all micro-batches with the number of their batch; none before the first."""
+    full = StructType([*[f for f in schema.fields if f.name != BATCH], StructField(BATCH, IntegerType())])
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(f"{path}/data")
 
-def dropped_late(query) -> int:
-    """Rows a finished query left out for being behind the watermark."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress for op in progress["stateOperators"]
-    )
+
+def latest_versions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row per key over all micro-batches."""
+    rest = [c for c in rows.columns if c not in (*keys, BATCH)]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("v")).select(*keys, "v.*")

