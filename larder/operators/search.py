@@ -72,12 +72,15 @@ def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
 def prefix_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, token): words of the vocabulary each distinct term is a prefix of.
 
-    Joined on the first three characters (fewer for shorter terms), then checked.
+    A word stands under each of its beginnings that is as long as some term, so the join
+    is on the whole term: nothing is left to check, and no short key gathers many words.
     """
-    wanted = terms.select("term").distinct().withColumn("p", F.left("term", F.lit(3)))
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.left(F.col("token"), i)))
-    keyed = vocabulary.select("token", F.explode(heads).alias("p"))
-    return wanted.join(keyed, "p").filter(F.col("token").startswith(F.col("term"))).select("term", "token")
+    wanted = terms.select("term").distinct()
+    # One row: the lengths that occur among the terms.
+    lengths = wanted.agg(F.collect_set(F.length("term")).alias("lengths"))
+    heads = F.transform(F.filter("lengths", lambda n: n <= F.length("token")), lambda n: F.left(F.col("token"), n))
+    keyed = vocabulary.crossJoin(F.broadcast(lengths)).select("token", F.explode(heads).alias("term"))
+    return keyed.join(wanted, "term", "left_semi").select("term", "token")
 
 
 def term_hits(index: Index, matches: DataFrame, weights: Mapping[str, float]) -> DataFrame:

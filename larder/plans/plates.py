@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import maths, structured
-from larder.operators import plate
-from larder.plans import roles
+from larder.operators import plate, search
+from larder.plans import roles, searches
 from larder.plans.registry import query
 from larder.plans.texts import sql_suffix
 from larder.session import materialise
@@ -92,23 +92,44 @@ def loggable_grams(spark, sf):
         F.col("event_id").alias("id"), maths.loggable_grams(F.col("value") * 100, serving).alias("grams"))
 
 
-# Documents' sources as menus: each part name is looked for among the parts of its own brand.
-_MATCH = f"""w AS (SELECT p_partkey AS key, concat(split_part(p_name, ' ', 2), 's ', split_part(p_name, ' ', 1)) AS name, p_brand FROM part WHERE p_size > 25),
-c AS (SELECT w.key, p_partkey AS rn, p_name AS found, [x FOR x IN regexp_split_to_array(lower(w.name), '[^a-z0-9]+') IF x <> ''] AS a,
-  [x FOR x IN regexp_split_to_array(lower(p_name), '[^a-z0-9]+') IF x <> ''] AS b FROM w JOIN part ON part.p_brand = w.p_brand AND part.p_partkey <> w.key),
-t AS (SELECT key, rn, found, list_distinct([{sql_suffix('w')} FOR w IN a]) AS a, list_distinct([{sql_suffix('w')} FOR w IN b]) AS b FROM c),
-s AS (SELECT *, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS similarity FROM t)"""
-
-
-@query("fuzzy_match", f"""
-WITH {_MATCH} SELECT key, arg_max(found, (similarity, -rn)) AS found, arg_max(rn, (similarity, -rn)) AS rn, round(max(similarity), 6) AS similarity FROM s WHERE similarity >= 0.6 GROUP BY 1""")
+# Every part name is looked for, turned round and in the plural, among the ten best hits of a
+# search for it.
+_TURNED = "concat(split_part(p_name, ' ', 2), 's ', split_part(p_name, ' ', 1))"
+_MATCH = f"""{searches.DOCS_SQL},
+asked AS (SELECT min(p_partkey) AS query_id, p_name AS text, {_TURNED} AS wanted FROM part GROUP BY p_name),
+{searches.bm25_sql('docs', 'id', searches.WEIGHTS, 'asked')}, {searches.RECENT_SQL},
+item AS (SELECT p_partkey AS item_id, p_name AS display_name, NULL::DOUBLE AS commonness, NULL::VARCHAR AS prep_type, p_name AS description FROM part),
+placed AS (SELECT query_id, wanted, item_id, display_name AS found, row_number() OVER (PARTITION BY query_id ORDER BY {searches.score_sql('rank', 'text')}, item_id) AS rn
+  FROM matched JOIN asked USING (query_id) JOIN item USING (item_id) LEFT JOIN recent USING (item_id)),
+tok AS (SELECT query_id, item_id, found, rn,
+  list_distinct([{sql_suffix('w')} FOR w IN [x FOR x IN regexp_split_to_array(lower(wanted), '[^a-z0-9]+') IF x <> '']]) AS a,
+  list_distinct([{sql_suffix('w')} FOR w IN [x FOR x IN regexp_split_to_array(lower(found), '[^a-z0-9]+') IF x <> '']]) AS b
+  FROM placed WHERE rn <= 10),
+alike AS (SELECT *, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS similarity FROM tok),
+match AS (SELECT query_id, arg_max(item_id, (similarity, -rn)) AS food_id, arg_max(found, (similarity, -rn)) AS found,
+  arg_max(rn, (similarity, -rn)) AS rn, max(similarity) AS similarity FROM alike WHERE similarity >= 0.6 GROUP BY 1)"""
+
+
+def name_matches(spark, sf):
+    """(query_id, text, food_id, found, rn, similarity) for every distinct part name."""
+    asked = roles.table(spark, sf, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
+    asked = asked.withColumn("name", F.expr(_TURNED.replace("p_name", "text")))
+    none = F.lit(None).cast("double")
+    part = roles.table(spark, sf, "part").select(F.col("p_partkey").alias("merged_food_id"), F.col("p_name").alias("display_name"))
+    items = part.withColumns({"emoji": F.lit(None).cast("string"), "commonness": none, "prep_type": F.lit(None).cast("string"), "n_preps": F.lit(1)})
+    foods = part.select("merged_food_id", F.col("merged_food_id").alias("food_id"), F.col("display_name").alias("description"),
+                        *[none.alias(f"{c}_100g") for c in ("kcal", "protein", "fat", "carb")], none.alias("serving_g"),
+                        F.lit(None).cast("string").alias("serving_label"))
+    index = search.build_index(searches.docs(spark, sf), "id", searches.FIELDS)
+    hits = search.primary_search(asked, index, items, foods, roles.log(spark, sf), roles.AS_OF)
+    best = plate.best_match(asked, hits.select("query_id", "food_id", "name", "rn"), "query_id")
+    return asked.select("query_id", "text").join(best, "query_id")
+
+
+@query("fuzzy_match", f"WITH {_MATCH} SELECT query_id AS key, found, food_id, rn, round(similarity, 6) AS similarity FROM match")
 def fuzzy_match(spark, sf):
-    part = roles.table(spark, sf, "part")
-    asked = part.filter("p_size > 25").selectExpr(
-        "p_partkey AS key", "concat(split_part(p_name, ' ', 2), 's ', split_part(p_name, ' ', 1)) AS name", "p_brand")
-    options = asked.select("key", "p_brand").join(part.select("p_brand", F.col("p_partkey").alias("rn"), F.col("p_name").alias("name")), "p_brand").filter(
-        "rn <> key").drop("p_brand")
-    return plate.best_match(asked.drop("p_brand"), options, "key").select("key", "found", "rn", F.round("similarity", 6).alias("similarity"))
+    return name_matches(spark, sf).select(
+        F.col("query_id").alias("key"), "found", "food_id", F.col("rn").cast("bigint").alias("rn"), F.round("similarity", 6).alias("similarity"))
 
 
 # A reply merged into a plate: what is on it, what is new, what a person changed or took off.
@@ -143,17 +164,24 @@ def plate_merge(spark, sf):
         "session", "place.part", "place.pos", "instance_id", "name", "grams", _shots("shots").alias("shots"))
 
 
+# A detection is searched by the name of a part its place leads to; one in seven by none.
 @query("resolve_detections", f"""
-WITH {_CLEAN}, {_STAGED}, m AS (SELECT session, instance_id, pos % 50 AS food_id FROM collapsed WHERE instance_id LIKE 'purchase%'),
-j AS (SELECT c.*, p_partkey AS food_id, p_name, CASE WHEN p_size > 20 THEN CAST(p_size AS DOUBLE) END AS serving_g FROM collapsed c LEFT JOIN m USING (session, instance_id) LEFT JOIN part ON p_partkey = food_id)
-SELECT session, instance_id, food_id, coalesce(p_name, name) AS name, CASE WHEN grams BETWEEN 1 AND 2000 THEN grams WHEN serving_g > 0 THEN serving_g ELSE 100.0 END AS grams,
+WITH {_MATCH}, {_CLEAN}, {_STAGED},
+slots AS MATERIALIZED (SELECT p_partkey - 1 AS slot, p_name FROM part WHERE p_partkey BETWEEN 1 AND 200),
+j AS (SELECT c.*, m.food_id, m.found, CASE WHEN p.p_size > 20 THEN CAST(p.p_size AS DOUBLE) END AS serving_g
+  FROM collapsed c LEFT JOIN slots t ON t.slot = c.pos % 200 AND c.pos % 7 <> 0
+  LEFT JOIN asked q ON q.text = t.p_name LEFT JOIN match m ON m.query_id = q.query_id LEFT JOIN part p ON p.p_partkey = m.food_id)
+SELECT session, instance_id, food_id, coalesce(found, name) AS name, CASE WHEN grams BETWEEN 1 AND 2000 THEN grams WHEN serving_g > 0 THEN serving_g ELSE 100.0 END AS grams,
   round(CASE WHEN food_id IS NULL THEN kcal_100g ELSE 1.5 END, 6) AS kcal_100g FROM j WHERE confidence >= 0.35""")
 def resolve_detections(spark, sf):
     rows = plate.normalise_detections(detections(spark, sf), staged(spark, sf))
-    foods = roles.table(spark, sf, "part").selectExpr(
-        "p_partkey AS food_id", "p_name AS found", "CASE WHEN p_size > 20 THEN CAST(p_size AS DOUBLE) END AS serving_g",
-        "1.5D AS kcal_100g", "0D AS protein_100g", "0D AS carb_100g", "0D AS fat_100g")
-    matches = rows.filter("instance_id LIKE 'purchase%'").select("session", "instance_id", (F.col("pos") % 50).alias("food_id")).join(foods, "food_id")
+    part = roles.table(spark, sf, "part")
+    slots = part.filter("p_partkey BETWEEN 1 AND 200").selectExpr("p_partkey - 1 AS slot", "p_name AS text")
+    facts = part.selectExpr("p_partkey AS food_id", "CASE WHEN p_size > 20 THEN CAST(p_size AS DOUBLE) END AS serving_g",
+                            "1.5D AS kcal_100g", "0D AS protein_100g", "0D AS carb_100g", "0D AS fat_100g")
+    named = name_matches(spark, sf).select("text", "food_id", "found").join(facts, "food_id")
+    matches = rows.filter("pos % 7 != 0").select("session", "instance_id", (F.col("pos") % 200).alias("slot")).join(
+        slots, "slot").join(named, "text")
     return plate.resolve(rows, matches).select(
         "session", "instance_id", "food_id", "name", "grams", F.round("kcal_100g", 6).alias("kcal_100g"))
 

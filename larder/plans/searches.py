@@ -107,19 +107,20 @@ def search_documents(spark, sf):
     return _rounded(search.prefix_hits(asked, index, {"source": 2.0, "body": 1.0}))
 
 
+RECENT_SQL = f"""recent AS (SELECT food_id AS item_id, count(*) AS n FROM ({roles.LOG_SQL}) WHERE deleted = 0 AND food_id IS NOT NULL AND local_date >= '2023-11-02' GROUP BY 1)"""
 _FACTS = f"""item AS (SELECT fdc_id AS item_id, base_name AS display_name, CASE WHEN food_kind = 'dish' THEN 0.9::DOUBLE END AS commonness, prep_label AS prep_type,
   CASE WHEN brand_flagged THEN concat(description, ' restaurant') ELSE description END AS description FROM fd),
-recent AS (SELECT food_id AS item_id, count(*) AS n FROM ({roles.LOG_SQL}) WHERE deleted = 0 AND food_id IS NOT NULL AND local_date >= '2023-11-02' GROUP BY 1)"""
+{RECENT_SQL}"""
 
 
-def _score(rank: str, text: str) -> str:
+def score_sql(rank: str, text: str) -> str:
     return f"""round({rank} * (1 + coalesce(commonness, 0.4::DOUBLE) + 0.3::DOUBLE * CAST(coalesce(prep_type = 'cooked', false) AS INTEGER) + 1.5::DOUBLE * (least(coalesce(n, 0), 3) / 3.0::DOUBLE)
   + 0.6::DOUBLE * CAST(lower(coalesce(display_name, description)) = lower(trim({text})) AS INTEGER) - 0.3::DOUBLE * CAST(contains(lower(concat(coalesce(display_name, ''), ' ', description)), 'restaurant') AS INTEGER)), 9)"""
 
 
 @query("search_composite", f"""
 WITH {DOCS_SQL}, {bm25_sql('docs', 'id', WEIGHTS, 'queries')}, {_FACTS},
-s AS (SELECT query_id, item_id, {_score('rank', 'text')} AS score FROM matched JOIN queries USING (query_id) JOIN item USING (item_id) LEFT JOIN recent USING (item_id)),
+s AS (SELECT query_id, item_id, {score_sql('rank', 'text')} AS score FROM matched JOIN queries USING (query_id) JOIN item USING (item_id) LEFT JOIN recent USING (item_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS rn FROM s)
 SELECT query_id, item_id AS food_id, round(score, 6) AS score, rn AS place FROM r WHERE rn <= 10""")
 def search_composite(spark, sf):
@@ -167,11 +168,11 @@ def _prefixed(sql: str, p: str) -> str:
 _FULL = f"""WITH {DOCS_SQL}, {_FACTS}, {_CUSTOM},
 both_q AS (SELECT query_id, text FROM queries UNION ALL SELECT query_id + 1000000, text FROM typos UNION ALL SELECT query_id + 2000000, text FROM cq),
 {_prefixed(bm25_sql('docs', 'id', WEIGHTS, 'both_q'), 'a')},
-s1 AS (SELECT query_id, item_id, {_score('rank', 'text')} AS score FROM a_matched JOIN both_q USING (query_id) JOIN item USING (item_id) LEFT JOIN recent USING (item_id)),
+s1 AS (SELECT query_id, item_id, {score_sql('rank', 'text')} AS score FROM a_matched JOIN both_q USING (query_id) JOIN item USING (item_id) LEFT JOIN recent USING (item_id)),
 r1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS rn FROM s1) WHERE rn <= 30),
 short AS (SELECT * FROM both_q WHERE query_id NOT IN (SELECT query_id FROM r1 GROUP BY 1 HAVING count(*) >= 5)),
 {_prefixed(bm25_sql('docs', 'id', {'trgm': 1.0}, 'short', prefix=False, every=False, grams=True), 'b')},
-s2 AS (SELECT query_id, item_id, {_score('rank', 'text')} AS score FROM b_matched JOIN both_q USING (query_id) JOIN item USING (item_id) LEFT JOIN recent USING (item_id)),
+s2 AS (SELECT query_id, item_id, {score_sql('rank', 'text')} AS score FROM b_matched JOIN both_q USING (query_id) JOIN item USING (item_id) LEFT JOIN recent USING (item_id)),
 r2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, item_id) AS rn FROM s2) WHERE rn <= 30),
 all_c AS (SELECT b.query_id, c.id, row_number() OVER (PARTITION BY b.query_id ORDER BY coalesce(n, 0) DESC, last_at DESC NULLS LAST, c.name, c.id) AS rn
   FROM both_q b JOIN c ON contains(lower(concat(c.name, ' ', coalesce(c.brand, ''))), lower(trim(b.text))) LEFT JOIN crecent USING (id))
