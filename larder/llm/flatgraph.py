@@ -6,8 +6,8 @@
 3. Every shard links each of its nodes to near and to random ones, robustly pruned: a
    candidate goes when one already taken is clearly nearer to it than the node is.
 4. The lists of all shards are united by node.
-5. Every node is a query, searched in its home shard and in all that this shard's lists
-   lead to: greedily from the shard's medoid and the node itself, then outwards as long
+5. Every node is a query, searched in its home shard and in what this shard's lists lead
+   to nearby in two steps: greedily from the shard's medoid and the node itself, then outwards as long
    as nodes are in range. Whole blocks of queries take each step together.
 6. Links are those visited nodes whose cosine, in double precision, is high enough.
 7. A sample of nodes is compared with all others. When too many of its links were
@@ -28,13 +28,15 @@ from larder.session import Workspace
 
 MIN_COSINE = 0.93
 #: Rows of a shard aimed at; pivots at most, which bounds what is broadcast.
-SHARD_ROWS, MAX_PIVOTS = 768, 8192
+SHARD_ROWS, MAX_PIVOTS = 512, 8192
 #: Shards a node belongs to at first, and how many more each further attempt takes.
 OVERLAP, MORE_OVERLAP, ATTEMPTS = 3, 3, 3
 #: Near and random candidates of a node; its links after pruning; how strictly it prunes.
 NEAR, RANDOM, DEGREE, ALPHA = 40, 8, 20, 1.2
 #: Queries of a step, nodes each keeps open on its way, and how far out of range it goes on.
 QUERIES, BEAM, SLACK = 128, 8, 0.06
+#: Steps along lists of nearby nodes that a home shard is extended by.
+HOPS = 2
 #: Nodes that the audit compares with all others, and the share of their links to be found.
 AUDITED, MIN_RECALL = 256, 0.999
 
@@ -109,8 +111,12 @@ def _pruned(vectors: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _built(table: pa.Table) -> pa.Table:
-    """A shard's links, both ways, and whether a node is its medoid."""
+def _built(reach: float):
+    return lambda table: _shard(table, reach)
+
+
+def _shard(table: pa.Table, reach: float) -> pa.Table:
+    """A shard's links, both ways, those to nodes nearby, and whether a node is its medoid."""
     ids, vectors = table["id"].to_numpy(), _matrix(table["embedding"])
     at = np.argsort(ids)
     ids, vectors = ids[at], vectors[at]
@@ -118,10 +124,15 @@ def _built(table: pa.Table) -> pa.Table:
     source = np.repeat(np.arange(len(ids)), [len(x) for x in links])
     target = np.concatenate(links)
     code = np.unique(np.concatenate([source * len(ids) + target, target * len(ids) + source]))
-    both = np.split(ids[code % len(ids)], np.searchsorted(code // len(ids), np.arange(1, len(ids))))
+    source, target = code // len(ids), code % len(ids)
+    close = np.einsum("ij,ij->i", vectors[source], vectors[target]) >= reach
+    cuts = np.arange(1, len(ids))
+    both = np.split(ids[target], np.searchsorted(source, cuts))
+    nearby = np.split(ids[target[close]], np.searchsorted(source[close], cuts))
     medoid = np.arange(len(ids)) == np.argmax(vectors @ vectors.mean(axis=0))
     return pa.table({"id": ids, "shard": pa.array([table["shard"][0].as_py()] * len(ids), pa.int64()),
-                     "medoid": medoid, "neighbours": pa.array(both, pa.list_(pa.int64()))})
+                     "medoid": medoid, "neighbours": pa.array(both, pa.list_(pa.int64())),
+                     "nearby": pa.array(nearby, pa.list_(pa.int64()))})
 
 
 def _search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray,
@@ -225,15 +236,19 @@ def links_of(nodes: DataFrame, overlap: int, min_cosine: float, work: Workspace)
     member = work.keep(nodes.mapInArrow(
         _assigned(packed, overlap), "id long, embedding array<float>, shard long, home boolean"), "members")
     built = work.keep(member.groupBy("shard").applyInArrow(
-        _built, "id long, shard long, medoid boolean, neighbours array<long>"), "built")
-    united = work.keep(built.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias(
-        "neighbours")), "united")
+        _built(min_cosine - 2 * SLACK),
+        "id long, shard long, medoid boolean, neighbours array<long>, nearby array<long>"), "built")
+    united = work.keep(built.groupBy("id").agg(*[
+        F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("neighbours", "nearby")]), "united")
     home = member.filter("home").select("id", "shard")
-    led = home.join(united, "id").select("shard", F.explode("neighbours").alias("id")).distinct()
+    step = united.select("id", F.explode("nearby").alias("next"))
+    led = home.select("id", "shard")
+    for _ in range(HOPS):
+        led = led.join(step, "id").select("shard", F.col("next").alias("id")).unionByName(led.select("shard", "id")).distinct()
     inside = member.select("shard", "id", "home").unionByName(led.withColumn("home", F.lit(False)))
     loaded = inside.groupBy("shard", "id").agg(F.max("home").alias("home")).join(
         built.filter("medoid").select("shard", "id", "medoid"), ["shard", "id"], "left")
-    rows = (loaded.withColumn("medoid", F.coalesce("medoid", F.lit(False))).join(united, "id")
+    rows = (loaded.withColumn("medoid", F.coalesce("medoid", F.lit(False))).join(united.drop("nearby"), "id")
             .join(nodes.select("id", "embedding", "weight"), "id"))
     found = work.keep(rows.groupBy("shard").applyInArrow(
         _searched(min_cosine), "id long, found long, tied long, other long"), "found")
