@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 # --- Fixed values: data releases -------------------------------------------
-DATA_TYPES = ("foundation_food", "sr_legacy_food", "survey_fndds_food")
 ARCHIVE_PATTERNS = {
     "foundation_food": r"FoodData_Central_foundation_food_csv_([\d\-]+)\.zip",
     "sr_legacy_food": r"FoodData_Central_sr_legacy_food_csv_([\d\-]+)\.zip",
@@ -91,7 +90,6 @@ HIGH_THRESHOLD = 0.80
 PREP_DISTANCE = 0.20
 PREP_FLOOR_G = 5.0
 FLUSH_EVERY = 250
-SAMPLE_SIZE = 200
 ERROR_TEXT_CHARS = 500
 PROMPT_PRICE_PER_M = 0.1288
 COMPLETION_PRICE_PER_M = 0.5336
@@ -116,9 +114,12 @@ RANK_WEIGHTS = {
 }
 PENALTY_TERMS = ("restaurant", "school lunch", "baby food")
 
+# --- Fixed values: patterns --------------------------------------------------
+FAT_LEVEL_PATTERN = r"\d+(\.\d+)?\s*%\s*(lean|fat|milkfat)?"
+LEADING_ONE_PATTERN = r"^1\s+"
+
 # --- Fixed values: vocabularies --------------------------------------------
 FOOD_KINDS = ("ingredient", "dish")
-REVIEW_STATUSES = ("pending", "auto_approved", "needs_review", "verified", "rejected")
 PREP_TYPES = (
     "raw", "cooked", "roasted", "baked", "boiled", "fried", "grilled",
     "steamed", "braised", "broiled", "dried", "canned", "frozen", "smoked",
@@ -130,7 +131,6 @@ COOKED_METHODS = (
     "broiled", "poached", "scrambled", "stewed", "microwaved", "sauteed",
     "blanched", "toasted",
 )
-PREP_PARENT = {method: "cooked" for method in COOKED_METHODS}
 NAME_PREP_WORDS = PREP_TYPES + ("fresh", "heated", "unheated", "prepared", "cooking")
 RAW_WORDS = ("raw", "unprepared", "uncooked")
 KEY_STOPWORDS = ("the", "a", "an", "and", "or", "of", "in")

@@ -28,7 +28,10 @@ def expansion_steps(c: Column, rules: Sequence[Rule] = fixed.ABBREVIATION_RULES)
 
 
 def expand_abbreviations(c: Column, rules: Sequence[Rule] = fixed.ABBREVIATION_RULES) -> Column:
-    return expansion_steps(c, rules)[-1]
+    """The text with every rule applied; one search decides whether any of them is needed."""
+    some = "|".join(f"(?{'i' if any_case else ''}U:{pattern})" for _, pattern, _, any_case in rules)
+    plain = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.when(c.rlike(some), expansion_steps(c, rules)[-1]).otherwise(plain)
 
 
 def substitutions(c: Column, rules: Sequence[Rule] = fixed.ABBREVIATION_RULES) -> Column:

@@ -14,7 +14,6 @@ from larder import fixed
 # A double-quoted emoji part: marks, joiners and skin tones do not count.
 _EMOJI_MARKS = r"[\p{Mn}\p{Me}\p{Cf}\x{1F3FB}-\x{1F3FF}]"
 _ZWJ = "‍"
-_FAT_LEVEL = r"\d+(\.\d+)?\s*%\s*(lean|fat|milkfat)?"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -71,7 +70,7 @@ def singular_suffix(w: Column) -> Column:
 # --- identity ----------------------------------------------------------------
 def key_words(base_name: Column) -> Column:
     """Identity words in written order: no fat level, singular, no stop words."""
-    plain = F.regexp_replace(F.lower(base_name), _FAT_LEVEL, " ")
+    plain = F.regexp_replace(F.lower(base_name), fixed.FAT_LEVEL_PATTERN, " ")
     found = F.regexp_extract_all(plain, F.lit("[a-z]+"), F.lit(0))
     return F.filter(F.transform(found, singular_noun), lambda w: ~w.isin(*fixed.KEY_STOPWORDS))
 
@@ -97,10 +96,6 @@ def name_key(c: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(found, singular_suffix)), " ")
 
 
-def same_name(a: Column, b: Column) -> Column:
-    return F.lower(F.trim(a)) == F.lower(F.trim(b))
-
-
 def dice(a: Column, b: Column) -> Column:
     """Sørensen–Dice of two token arrays as sets; 0 when either is empty."""
     left, right = F.array_distinct(a), F.array_distinct(b)
@@ -213,7 +208,7 @@ def portion_label(measure_unit: Column, modifier: Column, description: Column) -
     return blank_to_null(F.coalesce(
         blank_to_null(measure_unit),
         blank_to_null(modifier),
-        F.regexp_replace(F.trim(description), r"^1\s+", ""),
+        F.regexp_replace(F.trim(description), fixed.LEADING_ONE_PATTERN, ""),
     ))
 
 

@@ -128,7 +128,8 @@ def build_catalog(tables: dict[str, DataFrame], nutrients: NutrientMap = fixed.A
 
 
 def portions_of(portions: DataFrame, ids: DataFrame) -> DataFrame:
-    return portions.join(ids.select("food_id"), "food_id", "left_semi").orderBy("food_id", "seq")
+    """Portions of the given foods; ``seq`` is their order within a food."""
+    return portions.join(ids.select("food_id"), "food_id", "left_semi")
 
 
 def nutrients_of(food_nutrients: DataFrame, nutrients: DataFrame, ids: DataFrame) -> DataFrame:

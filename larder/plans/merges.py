@@ -366,6 +366,33 @@ def constraint_rejects(spark, sf):
     return bad.select("id", F.array_join("broken", ",").alias("broken"))
 
 
+@query("row_rejects", f"""
+WITH p AS ({roles.PORTIONS_SQL}),
+i AS (SELECT concat('r', l_orderkey) AS recipe_id, l_linenumber AS seq, CASE WHEN l_linenumber NOT IN (2, 4) THEN l_partkey END AS food_id,
+  CASE WHEN l_linenumber IN (2, 3) THEN concat('r', l_orderkey % 9) END AS custom_food_id FROM lineitem)
+SELECT 'ingredient' AS kind, concat(recipe_id, '-', seq) AS id, concat_ws(',',
+  CASE WHEN (food_id IS NULL) = (custom_food_id IS NULL) THEN 'one_reference' END, CASE WHEN custom_food_id = recipe_id THEN 'not_itself' END) AS broken
+FROM i WHERE (food_id IS NULL) = (custom_food_id IS NULL) OR custom_food_id = recipe_id
+UNION ALL SELECT 'portion', line_id, concat_ws(',', CASE WHEN gram_weight <= 0 THEN 'gram_weight' END, CASE WHEN trim(modifier) = '' THEN 'label' END)
+FROM p WHERE gram_weight <= 0 OR trim(modifier) = ''
+UNION ALL SELECT 'step', CAST(event_id AS VARCHAR), concat_ws(',', CASE WHEN event_type = 'view' THEN 'text' END, CASE WHEN round(value) = 0 THEN 'duration_s' END)
+FROM events WHERE event_type = 'view' OR round(value) = 0""")
+def row_rejects(spark, sf):
+    """Lines as ingredients and portions, events as recipe steps, held to their rules."""
+    lines = roles.table(spark, sf, "lineitem").selectExpr(
+        "concat('r', l_orderkey) AS recipe_id", "concat('r', l_orderkey, '-', l_linenumber) AS id",
+        "CASE WHEN l_linenumber NOT IN (2, 4) THEN l_partkey END AS food_id",
+        "CASE WHEN l_linenumber IN (2, 3) THEN concat('r', l_orderkey % 9) END AS custom_food_id")
+    portions = roles.portions(spark, sf).select(F.col("line_id").alias("id"), "gram_weight", F.col("modifier").alias("label"))
+    steps = roles.table(spark, sf, "events").selectExpr(
+        "CAST(event_id AS STRING) AS id", "CASE WHEN event_type = 'view' THEN ' ' ELSE event_type END AS text", "round(value) AS duration_s")
+    kinds = {"ingredient": (lines, {n: rule() for n, rule in tables.INGREDIENT_RULES.items()}),
+             "portion": (portions, tables.portion_rules()), "step": (steps, tables.step_rules())}
+    bad = [tables.split_by_rules(rows, rules)[1].select(F.lit(kind).alias("kind"), "id", F.array_join("broken", ",").alias("broken"))
+           for kind, (rows, rules) in kinds.items()]
+    return bad[0].unionByName(bad[1]).unionByName(bad[2])
+
+
 @query("audit_tail", """
 SELECT event_id AS fdc_id, event_type AS field FROM events ORDER BY ts DESC, event_id, event_type LIMIT 50""")
 def audit_tail(spark, sf):

@@ -243,14 +243,16 @@ def reply_rules(spark, sf):
 @query("run_counters", """
 SELECT count(*) AS requested, count(*) FILTER (WHERE event_type <> 'error') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed,
   CAST(sum(k * 10) AS BIGINT) AS prompt_tokens, round(sum(k * 3) / sum(k * 10), 6) AS cache_hit_rate, round(sum(k * 10) / 1e6 * 0.1288 + sum(k) / 1e6 * 0.5336, 6) AS cost_usd,
-  round((sum(k * 10) / 1e6 * 0.1288 + sum(k) / 1e6 * 0.5336) / count(*) FILTER (WHERE event_type <> 'error') * 1000, 4) AS projected
-FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)""")
+  round((sum(k * 10) / 1e6 * 0.1288 + sum(k) / 1e6 * 0.5336) / count(*) FILTER (WHERE event_type <> 'error') * 1000, 4) AS projected,
+  round(sum(value) / count(*) FILTER (WHERE event_type <> 'error') * 1000 / 60, 1) AS minutes
+FROM (SELECT event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)""")
 def run_counters(spark, sf):
     k = F.get_json_object("props", "$.k").cast("bigint")
     log = roles.table(spark, sf, "events").select(
         (F.col("event_type") != "error").alias("ok"), F.lit(None).cast("string").alias("review_status"), (k * 10).alias("prompt_tokens"),
         k.alias("completion_tokens"), (k * 3).alias("cached_tokens"), F.lit(0.0).alias("cost_usd"), F.col("value").alias("elapsed_s"))
-    got = scoring.run_counters(log)
+    got = scoring.run_counters(log).crossJoin(F.broadcast(log.agg(F.sum("elapsed_s").alias("_elapsed"))))
     return got.select("requested", "succeeded", "failed", "prompt_tokens", F.round("cache_hit_rate", 6).alias("cache_hit_rate"),
                       F.round("cost_usd", 6).alias("cost_usd"),
-                      maths.projected_cost(F.col("cost_usd"), F.col("succeeded"), F.lit(1000)).alias("projected"))
+                      maths.projected_cost(F.col("cost_usd"), F.col("succeeded"), F.lit(1000)).alias("projected"),
+                      maths.projected_minutes(F.col("_elapsed"), F.col("succeeded"), F.lit(1000)).alias("minutes"))
