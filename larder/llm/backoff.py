@@ -37,7 +37,7 @@ from larder.session import Workspace
 ORDER = 2
 MU = 4.0
 #: Words of text that a block is closed after.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_500_000
 
 _END, _BEGIN = np.uint64(0xE0D5F1A2C3B49687), np.uint64(0xB36148D2F0A59C17)
 _CHAIN = W.constants(2, 21)
@@ -232,6 +232,7 @@ def _run(order: int, buckets: int, tokens: int, types: int, begins: int):
                     got[at] = np.concatenate([_unpacked(a["counts"], a["n"], "<u8") for b in range(buckets)
                                               if (a := answers.get((n, b)))]).astype(np.int64)
                     totals.append(got)
+                answers.clear()
                 model = Automaton(block, totals, tokens, types, begins)
                 of_word = np.stack([totals[0] > 0, model.base])[:, block.sequence]
                 known, base = np.add.reduceat(of_word, block.first, axis=1)
