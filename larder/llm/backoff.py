@@ -37,7 +37,7 @@ from larder.session import Workspace
 ORDER = 2
 MU = 4.0
 #: Words of text that a block is closed after.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 600_000
 
 _END, _BEGIN = np.uint64(0xE0D5F1A2C3B49687), np.uint64(0xB36148D2F0A59C17)
 _CHAIN = W.constants(2, 21)
@@ -132,6 +132,7 @@ def _ask(order: int, buckets: int, modulus: int, fold: int):
                         yield _row(kind=1, block=block, width=n, bucket=bucket, n=int(hi - lo),
                                    keys=_packed(part), counts=_packed(seen[lo:hi]))
             hashes, sizes, ids, gathered = [], [], [], 0
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for part in W.words_of(batch.column("text"), W.NOT_SPACE):
@@ -241,6 +242,8 @@ def _run(order: int, buckets: int, tokens: int, types: int, begins: int):
                      pa.array(block.sizes, pa.int64()), pa.array(known.astype(np.int64)),
                      pa.array(base), pa.array(model.scores())],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                del block, totals, model, of_word, known, base
+                pa.default_memory_pool().release_unused()
 
     return run
 
