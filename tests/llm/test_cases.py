@@ -211,6 +211,27 @@ def test_language_cases(spark, odd, none):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i, t in ODD if t and any(c.isalpha() for c in t))
 
 
+def test_languages_of_copies(spark):
+    one = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("the house of the cat").alias("text"), F.lit("en").alias("lang"))
+    assert {r.lang_pred for r in langid.identified(one).collect()} == {"en"}
+    # 3,000 different texts beside 300,000 copies of another
+    words = [f"{w}{x}" for w in ("über", "das", "haus", "straße", "größe") for x in ("", "n", "es")]
+    draw = random.Random(4)
+    german = spark.createDataFrame([(" ".join(draw.choice(words) for _ in range(12)),) for _ in range(3000)], "text string")
+    copies = spark.range(300_000).select(F.lit("das haus über der straße").alias("text"))
+    english = spark.createDataFrame([("the cat of the house and " + prose(6, i),) for i in range(400)], "text string")
+    rows = german.unionByName(copies).withColumn("lang", F.lit("de")).unionByName(english.withColumn("lang", F.lit("en")))
+    seen = []
+    kernel, langid._kernel = langid._kernel, lambda bits, marks: seen.append(len(bits)) or kernel(bits, marks)
+    try:
+        model = langid.fit(rows)
+    finally:
+        langid._kernel = kernel
+    assert model.languages == ["de", "en"] and sum(seen) == 2 * langid.PER_LANGUAGE
+    got = langid.predicted(rows.limit(50), model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
 def test_encoding_cases(odd, none):
     coder = bpe.encoding(bpe.read_ranks(RANKS), PATTERN)
     got = bpe.encoded(odd, RANKS, PATTERN).collect()
