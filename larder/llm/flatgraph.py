@@ -10,15 +10,19 @@
    to nearby in two steps: greedily from the shard's medoid and the node itself, then outwards as long
    as nodes are in range. Whole blocks of queries take each step together.
 6. Links are those visited nodes whose cosine, in double precision, is high enough.
-7. A sample of nodes is compared with all others. When too many of its links were
-   missed, the graph is built again with more overlap.
+7. Samples of nodes, of those with no, few and any links found, are compared with all
+   others. When a node of few or of many links missed too many of them on average, the
+   graph is built again with more overlap; when that doesn't help either, all nodes of
+   a label are compared with one another, in blocks.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,8 +41,13 @@ NEAR, RANDOM, DEGREE, ALPHA = 40, 8, 20, 1.2
 QUERIES, BEAM, SLACK = 128, 8, 0.06
 #: Steps along lists of nearby nodes that a home shard is extended by.
 HOPS = 2
-#: Nodes that the audit compares with all others, and the share of their links to be found.
-AUDITED, MIN_RECALL = 256, 0.999
+#: Nodes of each sample that the audit compares with all others, the share of its links
+#: that a node has to find on average, and up to how many links are few.
+AUDITED, MIN_RECALL, FEW = 256, 0.999, 64
+#: Nodes of a block when all are compared.
+BLOCK = 2048
+
+_log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -266,12 +275,49 @@ def links_of(nodes: DataFrame, overlap: int, min_cosine: float, work: Workspace)
     return counts, edges
 
 
+def _compared(min_cosine: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Two blocks, or one with itself: per node the weight of its links there, and a node it is tied to."""
+        ids, vectors, weight = table["id"].to_numpy(), _matrix(table["embedding"]), table["weight"].to_numpy()
+        at = np.argsort(ids)
+        ids, vectors, weight, block = ids[at], vectors[at], weight[at], table["block"].to_numpy()[at]
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        alike = (vectors[a] @ vectors[b].T >= min_cosine) & (a[:, None] != b)
+        x, y = np.nonzero(alike)
+        found = np.bincount(a[x], weight[b[y]], len(ids))
+        if lo != hi:
+            found += np.bincount(b[y], weight[a[x]], len(ids))
+        return pa.table({"id": ids, "found": found.astype(np.int64), "tied": ids[_least(len(ids), a[x], b[y])]})
+
+    return run
+
+
+def compared(nodes: DataFrame, min_cosine: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """As ``links_of``, exactly: every two blocks of the nodes of a label meet in a task."""
+    blocks = nodes.groupBy("label", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = nodes.join(blocks, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "label", "size", "id", "embedding", "weight", "block",
+        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = work.keep(rows.groupBy("label", "size", "lo", "hi").applyInArrow(
+        _compared(min_cosine), "id long, found long, tied long"), "compared")
+    return (found.groupBy("id").agg(F.sum("found").alias("n_links")),
+            found.select(F.col("id").alias("u"), F.col("tied").alias("v")))
+
+
 def audit(nodes: DataFrame, counts: DataFrame, min_cosine: float, sample: int = AUDITED) -> float:
-    """Share of the links of a hashed sample of nodes that were found.
+    """Share of its links that a node has found: the mean over audited nodes that have any.
 
-    The sample, bounded by its parameter, is compared with every node of its labels.
+    The lower of two means, that of nodes of few links and that of the others, so that a
+    large group doesn't hide what small ones miss. Audited are three hashed samples, of
+    all nodes and of those with no and few links found. Each is bounded by ``sample`` and
+    compared with every node of its labels.
     """
-    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "label", "embedding", "size").toPandas()
+    known = nodes.join(counts, "id").select("id", "label", "embedding", "size", "n_links")
+    parts = [known.filter(x).orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+             for x in ("true", "n_links = 0", f"n_links between 1 and {FEW}")]
+    asked = pd.concat([x for x in parts if len(x)] or parts[:1]).drop_duplicates("id", ignore_index=True)
     if asked.empty:
         return 1.0
     own = asked["id"].to_numpy(np.int64)
@@ -292,8 +338,9 @@ def audit(nodes: DataFrame, counts: DataFrame, min_cosine: float, sample: int =
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], ["id", "true_links"])
 
     true = nodes.mapInArrow(run, "id long, true_links long").groupBy("id").agg(F.sum("true_links").alias("true_links"))
-    got = true.join(counts, "id").agg(F.sum(F.least("n_links", "true_links")), F.sum("true_links")).first()
-    return got[0] / got[1] if got[1] else 1.0
+    linked = asked.merge(true.toPandas(), on="id").query("true_links > 0")
+    share = np.minimum(linked["n_links"], linked["true_links"]) / linked["true_links"]
+    return float(share.groupby(linked["true_links"] <= FEW).mean().min()) if len(linked) else 1.0
 
 
 def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "vec_id",
@@ -317,8 +364,13 @@ def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, id_co
     for attempt in range(ATTEMPTS):
         counts, edges = links_of(nodes, OVERLAP + attempt * MORE_OVERLAP, min_cosine, work)
         counts = work.keep(counts, "counts")
-        if audit(nodes, counts, min_cosine) >= MIN_RECALL:
+        recall = audit(nodes, counts, min_cosine)
+        _log.info("attempt %d: recall %.5f", attempt + 1, recall)
+        if recall >= MIN_RECALL:
             break
+    else:
+        _log.warning("recall %.5f after %d attempts: comparing all nodes of a label", recall, ATTEMPTS)
+        counts, edges = compared(nodes, min_cosine, work)
     found = components(edges, work)
     facts = nodes.join(counts, "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "label", "embedding", (F.col("n_links") + F.col("weight") - 1).alias("n_links"),

@@ -269,6 +269,31 @@ def test_vectors(spark):
     assert flatgraph.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_missed_by_the_graph_are_found(spark, monkeypatch):
+    draw, large = np.random.default_rng(2), 2000
+    pairs = np.repeat(draw.normal(size=(150, 16)), 2, axis=0)
+    vectors = np.float32(np.concatenate([np.ones((large, 16)), pairs]) + draw.normal(size=(large + 300, 16)) * 0.02)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(vectors)],
+                               "vec_id long, embedding array<float>, label string")
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    alike = unit @ unit.T >= flatgraph.MIN_COSINE
+    np.fill_diagonal(alike, False)
+    links_of, shares, audit = flatgraph.links_of, [], flatgraph.audit
+
+    def losing(*args):
+        """Every link of the large group and none of the others."""
+        counts, edges = links_of(*args)
+        return (counts.withColumn("n_links", F.when(F.col("id") < large, F.col("n_links")).otherwise(0)),
+                edges.filter((F.col("u") < large) & (F.col("v") < large)))
+
+    monkeypatch.setattr(flatgraph, "links_of", losing)
+    monkeypatch.setattr(flatgraph, "audit", lambda *args: shares.append(audit(*args)) or shares[-1])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in flatgraph.near_duplicates(df).collect()}
+    least = brute.least_reachable(range(len(vectors)), [(int(a), int(b)) for a, b in zip(*np.nonzero(alike))])
+    assert got == {i: (int(alike[i].sum()), least[i]) for i in range(len(vectors))}
+    assert len(shares) == flatgraph.ATTEMPTS and max(shares) < flatgraph.MIN_RECALL
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         ("a", 1, 1, "search", '{"query": "x", "limit": 3}', []), ("b", 1, 3, "search", '{"limit": 2.5}', ["a"]),
