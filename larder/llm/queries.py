@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larder.llm import backoff, bpe, edits, flatgraph, langid, minhash, planes, sql, toolcalls, urlfilter, winnow
+from larder.llm import (
+    backoff, bpe, codes, edits, flatgraph, langid, lexical, minhash, pii, planes, sql, toolcalls, urlfilter, winnow,
+)
 from larder.session import Workspace
 
 
@@ -121,10 +123,36 @@ def op10_dated_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(captures, urlfilter.intervals(dated))
 
 
+def op11_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["exact"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    base = listed(F.filter("spans", lambda s: s["exact"]))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS],
+                        F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op13_limb_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codes.compressed(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", codes.code_text(F.col("codes")).alias("code"), "error", "label_error",
+                        "codebooks_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_flat_graph_near_dedup, op2_backoff_automaton, op3_byte_planes, op4_edited_token_counts,
     op5_string_kernel_language, op6_byte_bpe, op7_tool_call_linking, op8_winnowing_decontamination,
-    op9_minhash_near_dedup, op10_dated_url_lists,
+    op9_minhash_near_dedup, op10_dated_url_lists, op11_norm_bucket_search, op12_boosted_personal_data,
+    op13_limb_vector_codes,
 )}
 SQL = {
     "op1_flat_graph_near_dedup": sql.VECTOR_LINKS,
@@ -132,4 +160,6 @@ SQL = {
     "op8_winnowing_decontamination": sql.CONTAMINATION,
     "op9_minhash_near_dedup": sql.NEAR_DUPLICATES,
     "op10_dated_url_lists": sql.URL_LISTS,
+    "op11_norm_bucket_search": sql.LEXICAL_RANKS,
+    "op13_limb_vector_codes": sql.VECTOR_CODES,
 }

@@ -166,3 +166,76 @@ SELECT c.page_id, host, fetched, CASE WHEN list IS NULL THEN 'none' ELSE list EN
        m.domain AS matched, since
 FROM capture c LEFT JOIN (SELECT * FROM met WHERE place = 1) m USING (page_id)
 """
+
+LEXICAL_RANKS = r"""
+WITH doc_word AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), item_word AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+    GROUP BY ALL
+), tf AS (
+    SELECT doc_id, term, count(*) AS tf FROM doc_word GROUP BY ALL
+), size AS (
+    SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+), whole AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM size
+), damped AS (
+    SELECT doc_id, 100 - 25 + (25 * n * docs) // words AS m FROM size, whole
+), weight AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, whole GROUP BY term, docs
+), scored AS (
+    SELECT item_id, doc_id,
+           sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM item_word JOIN tf USING (term) JOIN weight USING (term) JOIN damped USING (doc_id)
+    GROUP BY ALL HAVING score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
+def _moved(i: int) -> str:
+    """One round: book{i} from the pieces nearest to each entry of the book before it."""
+    return f"""
+near{i} AS (
+    SELECT piece.vec_id, piece.part, first(piece.v) AS v, min((list_dot_product(piece.v, piece.v)
+        - 2 * list_dot_product(piece.v, book.v) + list_dot_product(book.v, book.v))::BIGINT * 256 + entry) AS best
+    FROM piece JOIN book{i - 1} AS book ON piece.part = book.part GROUP BY ALL
+), mean{i} AS (
+    SELECT part, entry, list(x ORDER BY place) AS v
+    FROM (SELECT part, entry, place, floor(sum(x) / count(*)) AS x
+          FROM (SELECT part, best % 256 AS entry, unnest(v) AS x, unnest(generate_series(1, len(v))) AS place FROM near{i})
+          GROUP BY ALL)
+    GROUP BY ALL
+), book{i} AS (
+    SELECT part, entry, coalesce(mean{i}.v, book.v) AS v
+    FROM book{i - 1} AS book LEFT JOIN mean{i} USING (part, entry)
+), """
+
+
+VECTOR_CODES = f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), piece AS (
+    SELECT vec_id, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS v FROM kept, range(4) AS parts (part)
+), book0 AS (
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v
+    FROM piece QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 256
+), {_moved(1)}{_moved(2)}{_moved(3)}{_moved(4)}{_moved(5)}whole AS (
+    SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS digest
+    FROM book4
+), coded AS (
+    SELECT vec_id, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY part) AS code,
+           sum(best // 256)::BIGINT AS error
+    FROM near5 GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), whole
+"""
