@@ -10,10 +10,16 @@ with weight log10 p(w | h). Any other word takes the failure arc to h', of weigh
 log10 MU / (c(h) + MU), and tries again; at the empty history every word has an arc. The
 probabilities of all words after a history, the unknown one included, add up to one.
 
+A text is traversed once, from left to right. All texts of a block go in step, the state
+of each carried in an array: its arc for the next word if there is one, else failure arcs
+down to a state that has it; weights add up and the arc's end is the next state.
+
 The counts of a whole corpus fit no single process, and a traversal needs those of its
 own text only. So texts are taken in blocks, each written once as word numbers. A block
 asks, with one sorted list of hashes per order and bucket, for the counts of the n-grams
 it holds; a bucket adds up the counts of all blocks and answers every list in its order.
+There are as many buckets as the corpus needs to keep each small, and the lists are
+removed as soon as the answers are stored.
 From the answers a block builds its part of the automaton and runs its documents through
 it. Lists travel packed, an n-gram once per block that has it.
 
@@ -32,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from larder.llm import words as W
-from larder.session import Workspace
+from larder.session import Workspace, remove
 
 ORDER = 2
 MU = 4.0
 #: Words of text that a block is closed after.
 BLOCK_WORDS = 600_000
+#: Bytes of text whose n-grams share a bucket.
+BUCKET_BYTES = 8 << 20
 
 _END, _BEGIN = np.uint64(0xE0D5F1A2C3B49687), np.uint64(0xB36148D2F0A59C17)
 _CHAIN = W.constants(2, 21)
@@ -177,43 +185,72 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The part of the model that one block needs: arcs, failure arcs and where they lead."""
+    """The part of the model that one block needs: arcs, failure arcs and where they lead.
+
+    A state is a level (words of its history) and a number among the n-grams of that many
+    words; the number behind the last n-gram is the begin of a text. Level 0 is one state.
+    """
 
     def __init__(self, block: Block, totals: list[np.ndarray], tokens: int, types: int, begins: int):
-        self.block, self.steps = block, list(block.grams(len(totals)))
+        self.block, self.order = block, len(totals)
         self.base = np.log10((totals[0] + 1.0) / (tokens + types + 1.0))
-        arc = self.base
-        #: Per order: weight of the arc of each n-gram (nan: none), of the failure arc of each history.
-        self.arcs, self.fails = [arc], []
-        history_count = np.append(totals[0], begins).astype(np.float64)
-        for (n, _, last, where, history), count in zip(self.steps[1:], totals[1:]):
-            parent = np.zeros(len(count), np.int64)
-            parent[where] = history
-            shorter = np.zeros(len(count), np.int64)
-            shorter[where] = self.steps[n - 2][3]
-            weight = (count + MU * 10.0 ** arc[shorter]) / (history_count[parent] + MU)
-            arc = np.log10(weight)
-            self.arcs.append(np.where(count > 0, arc, np.nan))
-            self.fails.append(np.log10(MU / (history_count + MU)))
-            history_count = np.append(count, begins).astype(np.float64)
+        self.known = totals[0] > 0
+        #: From level 1 on: sorted codes (state, word) of the arcs, their weights and ends.
+        self.codes, self.arcs, self.ends = [], [], []
+        #: From level 1 on: weight of the failure arc of each state, and its end one level below.
+        self.fails, self.below = [], []
+        history_count, suffix = np.append(totals[0], begins).astype(np.float64), np.zeros(block.begin + 1, np.int64)
+        weight, before = self.base, None
+        for n, _, last, where, history in block.grams(self.order):
+            if n > 1:
+                count = totals[n - 1]
+                state, shorter = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+                state[where], shorter[where] = history, before
+                raised = np.log10((count + MU * 10.0 ** weight[shorter]) / (history_count[state] + MU))
+                self.fails.append(np.log10(MU / (history_count + MU)))
+                self.below.append(suffix)
+                seen = np.flatnonzero(count > 0)
+                code = state[seen] * (block.begin + 1) + last[seen]
+                at = np.argsort(code, kind="stable")
+                self.codes.append(code[at])
+                self.arcs.append(raised[seen][at])
+                self.ends.append((seen if n < self.order else shorter[seen])[at])
+                history_count = np.append(count, begins).astype(np.float64)
+                suffix = np.append(shorter, len(totals[n - 2]))
+                weight = raised
+            before = where
 
     def scores(self) -> np.ndarray:
-        """log10 probability of each document: from place to place along its sequence.
-
-        At every place the arc of the state is taken if it is there; if not, the failure
-        arc is, and the next shorter state tried.
-        """
-        gained = np.zeros(len(self.block.sequence))
-        open_ = np.ones(len(gained), bool)
-        for order in range(len(self.arcs), 0, -1):
-            _, _, _, where, history = self.steps[order - 1]
-            arc = self.arcs[order - 1][where]
-            has = open_ & ~np.isnan(arc)
-            gained[has] += arc[has]
-            open_ &= ~has
-            if order > 1:
-                gained[open_] += self.fails[order - 2][history[open_]]
-        return np.add.reduceat(gained, self.block.first)
+        """log10 probability of each document."""
+        block, top = self.block, self.order - 1
+        turn = np.argsort(-block.sizes, kind="stable")
+        first, sizes = block.first[turn], block.sizes[turn]
+        level = np.full(len(turn), top)
+        state = np.full(len(turn), len(self.fails[-1]) - 1 if top else 0)
+        gained = np.zeros(len(turn))
+        open_ = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), "left")
+        for step, n in enumerate(open_.tolist()):
+            word = block.sequence[first[:n] + step].astype(np.int64)
+            for height in range(top, 0, -1):
+                mine = np.flatnonzero(level[:n] == height)
+                code, codes = state[mine] * (block.begin + 1) + word[mine], self.codes[height - 1]
+                at = np.searchsorted(codes, code)
+                has = at < len(codes)
+                has[has] = codes[at[has]] == code[has]
+                met, at, failed = mine[has], at[has], mine[~has]
+                gained[met] += self.arcs[height - 1][at]
+                state[met], level[met] = self.ends[height - 1][at], min(height + 1, top)
+                gained[failed] += self.fails[height - 1][state[failed]]
+                state[failed], level[failed] = self.below[height - 1][state[failed]], height - 1
+            # an arc never ends below the level it left, so level 0 is those that failed down to it
+            root = np.flatnonzero(level[:n] == 0)
+            gained[root] += self.base[word[root]]
+            if top:
+                known = self.known[word[root]]
+                state[root], level[root] = np.where(known, word[root], 0), known
+        out = np.empty(len(turn))
+        out[turn] = gained
+        return out
 
 
 def _run(order: int, buckets: int, tokens: int, types: int, begins: int):
@@ -263,8 +300,9 @@ def scored(documents: DataFrame, modulus: int = 7, fold: int = 2, order: int = O
     """
     spark = documents.sparkSession
     work = Workspace(spark, "backoff")
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET_BYTES))
     path = work.path("asked")
     docs.mapInArrow(_ask(order, buckets, modulus, fold), _COLUMNS).write.partitionBy("kind").parquet(path)
     asked = spark.read.schema(_COLUMNS).parquet(path)
@@ -272,6 +310,7 @@ def scored(documents: DataFrame, modulus: int = 7, fold: int = 2, order: int = O
     lists = asked.filter("kind = 1").select("block", "width", "bucket", "n", "keys", "counts")
     answers = work.keep(lists.groupBy("width", "bucket").applyInArrow(
         _answer, "block long, width int, bucket int, n long, counts binary, known long, total long"), "answers")
+    remove(spark, f"{path}/kind=1")
     sums = answers.filter("width = 1").agg(F.sum("known"), F.sum("total")).first()
     types, tokens = sums[0] or 0, sums[1] or 0
     begins = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
