@@ -4,6 +4,11 @@ Long texts are cut at safe boundaries before encoding, which changes no token: a
 stands where a word character or mark is followed by white space. There every match of
 the splitting pattern ends, whatever follows, and a new one begins, whatever went before.
 A run without such a place is left whole.
+
+Runs of many thousand blanks are taken out before the library's splitting sees them, as
+that goes back over a run from its end and fails on very long ones. The pattern's match
+there is the whole run, or all but its last blank where something visible follows; it is
+encoded as one piece, and the last blank goes with what follows.
 """
 
 from __future__ import annotations
@@ -24,6 +29,11 @@ PIECE = 1 << 16
 #: White space in every reading of the splitting pattern; Python's own class is wider.
 BLANK = " \t\n\r\f\v"
 _SAFE = re.compile(rf"(?<=\S)(?=[{BLANK}])")
+#: Blanks in a row from which on a run is encoded apart.
+LONG_RUN = 100_000
+#: White space as the splitting pattern reads it.
+_SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(rf"(?<![{_SPACE}])[{_SPACE}]{{{LONG_RUN},}}")
 _loaded: dict[str, tiktoken.Encoding] = {}
 
 
@@ -54,10 +64,23 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     yield text[lo:]
 
 
+def encode_piece(coder: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text, very long runs of blanks apart."""
+    if len(text) < LONG_RUN:
+        return coder.encode_ordinary(text)
+    ids, lo = [], 0
+    for run in _RUN.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += coder.encode_ordinary(text[lo:run.start()])
+        ids += coder._encode_single_piece(text[run.start():stop])
+        lo = stop
+    return ids + coder.encode_ordinary(text[lo:])
+
+
 def encode(coder: tiktoken.Encoding, text: str) -> list[int]:
     if len(text) <= PIECE:
         return coder.encode_ordinary(text)
-    return [i for piece in pieces(text) for i in coder.encode_ordinary(piece)]
+    return [i for piece in pieces(text) for i in encode_piece(coder, piece)]
 
 
 def encoded(documents: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:

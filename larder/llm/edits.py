@@ -18,7 +18,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from larder.llm.bpe import BLANK, encoding, pieces, read_ranks
+from larder.llm.bpe import BLANK, encode_piece, encoding, pieces, read_ranks
 
 SEGMENT = 512
 #: A segment is cut anew when it has grown to so many characters.
@@ -47,7 +47,7 @@ class Tree:
 
     def _count(self, text: str) -> int:
         self.encoded += len(text)
-        return len(self.coder.encode_ordinary(text)) if text else 0
+        return len(encode_piece(self.coder, text)) if text else 0
 
     def _build(self, parts: list[str], counts: list[int] | None = None) -> None:
         self.size = 1 << max(0, (len(parts) - 1).bit_length())
