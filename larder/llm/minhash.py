@@ -252,8 +252,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     star = shared.filter("id != v").select(F.col("id").alias("u"), "v").distinct()
     candidates = work.keep(_judged(star, sketches), "candidates")
     best = candidates.groupBy("u").agg(F.max_by("v", F.struct("same", -F.col("v"))).alias("v"))
-    twice = (live.join(ids, key).groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("u"))
-             .filter("u != v").select("u", "v"))
+    # a doc_id with several texts ties the classes of all of them to the least
+    text_of = F.struct("d1", "d2", "n_shingles")
+    several = live.groupBy("doc_id").agg(F.min(text_of).alias("a"), F.max(text_of).alias("b")).filter("a != b")
+    owners = work.keep(live.join(several.select("doc_id"), "doc_id", "left_semi").join(ids, key)
+                       .select("doc_id", F.col("id").alias("u")).distinct(), "owners")
+    least = owners.groupBy("doc_id").agg(F.min("u").alias("v"))
+    twice = owners.join(least, "doc_id").filter("u != v").select("u", "v")
     found = components(_confirm(docs, best, work).unionByName(twice), work)
     found = _extended(found, docs, _across(candidates, found), work)
     found = _extended(found, docs, _open_pairs(docs, shared, classes, found, work), work)
@@ -284,7 +289,7 @@ def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     verdict = near_duplicates(documents, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"))
     count = verdict.groupBy("_keep").agg(F.count(F.lit(1)).alias("_n"))
-    ids = F.col(id_col).cast("long")
-    single = documents.join(count.filter("_n = 1"), ids == F.col("_keep"), "left_semi")
-    repeated = documents.join(count.filter("_n > 1"), ids == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    ids, (one, more) = documents[id_col].cast("long"), (count.filter("_n = 1"), count.filter("_n > 1"))
+    single = documents.join(one, ids == one["_keep"], "left_semi")
+    repeated = documents.join(more, ids == more["_keep"], "left_semi").dropDuplicates([id_col])
     return single.unionByName(repeated).unionByName(documents.filter(F.col(id_col).isNull()))
