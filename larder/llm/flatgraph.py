@@ -243,7 +243,7 @@ def links_of(nodes: DataFrame, overlap: int, min_cosine: float, work: Workspace)
         pivots[label, size][1].append(np.asarray(vector, np.float64) / np.linalg.norm(np.asarray(vector, np.float64)))
     packed = {k: (np.array(a, np.int64), np.stack(b)) for k, (a, b) in pivots.items()}
     member = work.keep(nodes.mapInArrow(
-        _assigned(packed, overlap), "id long, embedding array<float>, shard long, home boolean"), "members")
+        _assigned(packed, overlap), f"id long, embedding {dict(nodes.dtypes)['embedding']}, shard long, home boolean"), "members")
     built = work.keep(member.groupBy("shard").applyInArrow(
         _built(min_cosine - 2 * SLACK),
         "id long, shard long, medoid boolean, neighbours array<long>, nearby array<long>"), "built")
@@ -358,8 +358,9 @@ def near_duplicates(embeddings: DataFrame, min_cosine: float = MIN_COSINE, id_co
     """
     spark = embeddings.sparkSession
     work = Workspace(spark, "flatgraph")
+    kind = "float" if dict(embeddings.dtypes)[vector_col] == "array<float>" else "double"
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"),
-                             F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).alias("label"))
+                             F.col(vector_col).cast(f"array<{kind}>").alias("embedding"), F.col(label_col).alias("label"))
     nodes = work.keep(nodes_of(rows, "vec_id", "embedding", "label"), "nodes")
     for attempt in range(ATTEMPTS):
         counts, edges = links_of(nodes, OVERLAP + attempt * MORE_OVERLAP, min_cosine, work)
