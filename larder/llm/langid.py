@@ -21,12 +21,16 @@ from larder.llm import words as W
 BITS = 15
 PLACES = 1 << BITS
 MAX_N = 4
-#: Bounds of the training sample: documents and landmarks per language, languages.
-PER_LANGUAGE, LANDMARKS, LANGUAGES = 300, 32, 32
+#: Bounds of the training sample: documents and landmarks per language, and of all languages
+#: together. With many languages each gets an even share of the latter, one at least.
+PER_LANGUAGE, LANDMARKS = 300, 32
+ALL_DOCUMENTS, ALL_LANDMARKS = 9600, 1024
 RIDGE = 0.3
 #: Sharpness of the scores; texts per matrix product.
 SHARPNESS, BATCH = 4.0, 128
 UNKNOWN = "und"
+#: Score from which on a prediction overrules a document's own label.
+REJECT_FROM = 0.9
 
 _MULTIPLY = np.uint32(2654435761)
 
@@ -93,23 +97,23 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS,
-        languages: int = LANGUAGES) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """Fit on at most per_language documents of each language (columns text, lang).
 
     The sample is those different texts with the least hash. It is first cut down by a hash
     threshold that follows the number of different texts, whatever their copies, so that
     ranking handles a few hundred rows of each language and not all. The threshold aims at
     more than twice the sample, and the estimated count is good to about a twentieth.
-    Labels are the most frequent ``languages``; None without any.
+    Every label that occurs is fitted; None without any.
     """
     seen = labelled.filter(F.col("lang").isNotNull() & has_letter(F.col("text"))).select(
         "text", "lang", F.xxhash64("text").alias("hash"))
     counts = seen.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("hash").alias("texts")).orderBy(
-        F.desc("rows"), "lang").limit(languages).collect()
+        F.approx_count_distinct("hash").alias("texts")).collect()
     if not counts:
         return None
+    per_language = max(1, min(per_language, ALL_DOCUMENTS // len(counts)))
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(counts)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (
         r["lang"], min(1 << 30, int((1 << 30) * (per_language * 2 + 50) / max(r["texts"], 1)) + 1))])
     few = seen.withColumn("place", F.pmod("hash", F.lit(1 << 30))).filter(F.col("place") < share[F.col("lang")])
@@ -196,8 +200,24 @@ def identified(documents: DataFrame, modulus: int = 5, id_col: str = "doc_id", t
     return predicted(rows, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def readable(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that have a language, as they are: those without a text or a letter go."""
-    names = ("_found_language", "_found_score")
-    found = predicted(documents, learned(documents, 5, id_col, text_col, lang_col), text_col, names)
-    return found.filter(F.col(names[0]) != UNKNOWN).drop(*names)
+def accepted(documents: DataFrame, wanted: list[str] | None = None, least: float = REJECT_FROM, id_col: str = "doc_id",
+             text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language is found and believed, as they are.
+
+    Rejected are rows without a text or a letter; rows predicted to be in none of the
+    ``wanted`` languages, where these are given; and rows whose own label is one that was
+    learned while another language is predicted with a score of ``least`` or more: what
+    is labelled wrongly would be filed under the wrong language. A row without a label,
+    or with one that was not learned, is judged by its prediction alone.
+    """
+    model = learned(documents, 5, id_col, text_col, lang_col)
+    names = tuple(W.unused(name, documents.columns) for name in ("_language", "_score"))
+    found = predicted(documents, model, text_col, names)
+    good = F.col(names[0]) != UNKNOWN
+    if wanted is not None:
+        good &= F.col(names[0]).isin(*wanted)
+    if model is not None:
+        known = F.coalesce(F.col(lang_col).cast("string").isin(*model.languages), F.lit(False))
+        good &= ~(known & (F.col(names[0]) != F.col(lang_col).cast("string")) & (F.col(names[1]) >= least))
+        good = F.coalesce(good, F.lit(True))
+    return found.filter(good).drop(*names)

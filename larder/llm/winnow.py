@@ -177,9 +177,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Of rows that share a doc_id all go if one is contaminated; rows without one are kept
     unless their text is contaminated as well.
     """
-    keyed = documents.withColumn("_digest", F.xxhash64(F.col(text_col)))
-    bad = contamination(
-        documents.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))),
-        benchmark, "_id", text_col).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.col("_digest"))
-    return keyed.join(bad, key == F.col("_bad"), "left_anti").drop("_digest")
+    key = W.unused("_key", documents.columns)
+    keyed = documents.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))))
+    bad = contamination(keyed, benchmark, key, text_col).filter("contaminated").select(
+        F.col("doc_id").alias(key)).distinct()
+    return keyed.join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

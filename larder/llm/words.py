@@ -27,6 +27,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_ODD), -1, 1 << 64))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def constants(n: int, seed: int, odd: bool = True) -> np.ndarray:
     """n fixed 64-bit numbers, the same in every process."""
     out = np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, dtype=np.uint64)

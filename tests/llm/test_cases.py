@@ -88,6 +88,14 @@ def test_rows_of_one_id_are_one_document(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 5), (5, 5), (7, 5)]
 
 
+def test_an_id_with_three_texts_ties_all_of_them(spark):
+    rows = [(50, prose(50, 1)), (50, prose(50, 2)), (50, prose(50, 3)), (10, prose(50, 1)), (20, prose(50, 2)),
+            (30, prose(50, 3)), (60, prose(50, 4))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [
+        (10, 10), (20, 10), (30, 10), (50, 10), (50, 10), (50, 10), (60, 60)]
+
+
 def test_components(spark):
     draw = random.Random(3)
     links = [(draw.randrange(200), draw.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]
@@ -131,7 +139,7 @@ def test_every_shared_window_is_found(spark):
     assert all((r.n_words, r.n_hit, r.n_items) == (*want[r.doc_id][:2], len(want[r.doc_id][2])) for r in got)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model(odd, none, order):
     rows = backoff.scored(odd, order=order).collect()
     held = [brute.fold(i, 7) == 2 for i, _ in ODD]
@@ -206,11 +214,62 @@ def test_language_cases(spark, odd, none):
     assert all(got[i].lang_pred == lang for i, _, lang in english + german)
     assert langid.identified(none).count() == 0
     assert {r.lang_pred for r in langid.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    kept = langid.readable(odd)
+    kept = langid.accepted(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i, t in ODD if t and any(c.isalpha() for c in t))
 
 
+def test_rejected_languages(spark):
+    rows = [(i, f"the house of the cat {prose(20, i)}", "en") for i in range(60)]
+    rows += [(100 + i, f"über das schöne haus und die straße größe {i} öäü", "de") for i in range(60)]
+    rows += [(300, "über das schöne haus und die straße größe öäü", "en"), (301, "the house of the cat alpha beta", None),
+             (302, "the house of the cat alpha gamma", "xx"), (303, "12", "en"), (304, None, "en"), (None, "the house alpha", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.accepted(docs, least=0.8).collect()}
+    assert {r[0] for r in rows} - kept == {300, 303, 304}
+    assert {r.doc_id for r in langid.accepted(docs, wanted=["de"], least=0.8).collect()} == {r[0] for r in rows if r[2] == "de"}
+    assert langid.accepted(docs.limit(0)).count() == 0
+
+
+def test_every_label_is_learned(spark):
+    names = [f"l{i:02}" for i in range(45)]
+    draw = random.Random(6)
+    own = {n: ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for n in names}
+    rows = [(i * 45 + j, " ".join(draw.choice(own[n]) for _ in range(25)), n) for i in range(12) for j, n in enumerate(names)]
+    got = langid.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    said = {i: n for i, _, n in rows}
+    assert {r.lang_pred for r in got} == set(names)
+    assert np.mean([r.lang_pred == said[r.doc_id] for r in got]) > 0.97
+
+
+def test_margins_equal_plain_kernel_ridge(spark):
+    """With every sampled text a landmark the map is exact, and the fit is kernel ridge regression."""
+    texts = [(f"the house of {prose(6, i)}", "en") for i in range(9)] + [(f"über das haus {prose(6, 50 + i)}", "de") for i in range(7)]
+    model = langid.fit(spark.createDataFrame(texts, "text string, lang string"), landmarks=20)
+
+    def places(text):
+        data, out = text.lower().encode(), set()
+        for n in range(1, langid.MAX_N + 1):
+            for i in range(len(data) - n + 1):
+                code = 0
+                for b in data[i:i + n]:
+                    code = (code * 257 + b + 1) % 2**32
+                out.add(((code + n) * 2654435761 % 2**32) >> (32 - langid.BITS))
+        return out
+
+    sets = [places(t) for t, _ in texts]
+    alike = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    kernel = np.array([[alike(a, b) for b in sets] for a in sets])
+    weight = np.array([1 / sum(y == lang for _, y in texts) for _, lang in texts])
+    target = np.array([[1.0 if lang == name else -1.0 for name in model.languages] for _, lang in texts])
+    ridge = langid.RIDGE / len(texts)
+    dual = np.linalg.solve(kernel + ridge * np.diag(1 / weight), target)
+    asked = ["the cat of the house", "über straße", "alpha beta 1"]
+    want = np.array([[alike(places(t), s) for s in sets] for t in asked]) @ dual
+    bits = np.stack([langid.presence(np.frombuffer(t.lower().encode(), np.uint8)) for t in asked])
+    assert np.allclose(model.margins(bits), want, atol=1e-3)
+
+
 def test_languages_of_copies(spark):
     one = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("the house of the cat").alias("text"), F.lit("en").alias("lang"))
     assert {r.lang_pred for r in langid.identified(one).collect()} == {"en"}
@@ -244,6 +303,30 @@ def test_encoding_cases(odd, none):
         assert [i for p in parts for i in coder.encode_ordinary(p)] == coder.encode_ordinary(text)
 
 
+def test_very_long_runs_of_blanks(spark, coder):
+    for blank in (" ", "\n", "\t \u2003"):
+        for n in (bpe.LONG_RUN // len(blank) + 7, 300_000 // len(blank)):
+            run = blank * n
+            for text in (run + "a", "a" + run, "a" + run + "'s b", run, "x y " + run + "\x1c!" + run + "z", "\x1c" + run + "1"):
+                assert bpe.encode_piece(coder, text) == coder.encode_ordinary(text)
+    million = [(1, " " * 2_000_000 + "end"), (2, "start" + "\n" * 2_000_000), (3, "a b" + " \n" * 1_000_000 + "c d")]
+    docs = spark.createDataFrame(million, "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.digests(docs, RANKS, PATTERN).collect()}
+    for i, text in million:
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    state = {r.doc_id: r.n_tokens for r in edits.trees(docs, RANKS, PATTERN).selectExpr("doc_id", "tokens[1] AS n_tokens").collect()}
+    assert state == {i: got[i].n_tokens for i in got}
+
+
+def test_vectors_in_double_precision(spark):
+    """A pair on the border that single precision would put on its other side."""
+    a = [1.0, 0.0]
+    b = [0.93, (1 - 0.93 ** 2) ** 0.5 + 1e-9]
+    assert np.dot(a, b) / np.linalg.norm(b) < 0.93
+    got = flatgraph.near_duplicates(spark.createDataFrame([(1, a, 0), (2, b, 0)], "vec_id long, embedding array<double>, label int"))
+    assert {r.n_links for r in got.collect()} == {0}
+
+
 def test_vectors(spark):
     draw = np.random.default_rng(1)
     centre = draw.normal(size=(3, 16))

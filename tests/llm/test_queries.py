@@ -104,3 +104,21 @@ def test_pipeline_against_brute_force(spark, docs, coder):
     assert list(got.doc_id) == sorted(clean)
     assert got.lossless.all()
     assert all(list(ids) == coder.encode_ordinary(clean[i]) for i, ids in zip(got.doc_id, got.ids))
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    text = " ".join(f"word{i} the" for i in range(40))
+    rows = [(1, text, "en"), (1, text, "en"), (2, text, None), (3, None, "en"), (4, "", "en"), (5, "12 34", "en"),
+            (None, "the other text of no number", "en"), (6, "benchmark " + " ".join(f"b{i}" for i in range(20)), "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), 7, "x") for i, t, lang in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, row long, _keep string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "lossless"]
+    assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 1]
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
