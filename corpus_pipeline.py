@@ -1,8 +1,9 @@
 """From raw documents to token ids, in stages that each read what the last one kept.
 
-Documents without a language go, then all but one of each group of near duplicates, then
-those that hold benchmark passages; the rest are encoded. Every stage but the last
-returns the columns of ``documents`` and drops whole rows only.
+Documents without a language, or surely in another one than they are labelled with, go;
+then all but one of each group of near duplicates, then those that hold benchmark
+passages; the rest are encoded. Every stage but the last returns the columns of
+``documents`` and drops whole rows only.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found; a null text, or one without a letter, goes."""
-    return langid.readable(docs)
+    """Documents whose language is found and does not contradict their label.
+
+    A null text, or one without a letter, goes; so does a document that the classifier,
+    with a score of 0.9 or more, puts into another language than its label says.
+    """
+    return langid.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read by the next.
+
+    Null and empty texts are rejected by the first stage. Of repeated rows, and of rows
+    that share a doc_id, one stays; rows without a doc_id are near duplicates of nothing
+    and are kept if clean. An empty table gives an empty result. Columns beside those of
+    ``documents`` pass through until the last stage, whose columns are doc_id, lang,
+    source, n_tokens, ids and lossless.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     work = Workspace(spark, "pipeline")
     for name, stage in STAGES:
