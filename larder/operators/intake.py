@@ -45,7 +45,8 @@ def _macro_sums(digits: int | None = 0) -> list[Column]:
     out = []
     for name, column in zip(("kcal", "protein", "fat", "carb"), MACROS):
         total = F.sum(F.coalesce(maths.scaled(F.col("grams"), F.col(column)), F.lit(0.0)))
-        out.append((F.round(total, digits).cast("bigint") if digits == 0 else total).alias(name))
+        # millionths first, so that the order of addition decides no tie
+        out.append((F.round(F.round(total, 6), digits).cast("bigint") if digits == 0 else total).alias(name))
     return out
 
 

@@ -14,7 +14,7 @@ _LIVE = f"l AS (SELECT * FROM ({roles.LOG_SQL}) WHERE deleted = 0)"
 
 
 def _sum(c: str) -> str:
-    return f"CAST(round(sum(coalesce(grams / 100.0 * {c}, 0))) AS BIGINT)"
+    return f"CAST(round(round(sum(coalesce(grams / 100.0 * {c}, 0)), 6)) AS BIGINT)"
 
 
 _SUMS = f"""{_sum('energy_kcal')} AS kcal, {_sum('protein_g')} AS protein, {_sum('fat_g')} AS fat, {_sum('carb_g')} AS carb"""

@@ -14,22 +14,33 @@ from pyspark.sql.types import StructType
 from larder import fixed
 from larder.operators.changes import latest_state
 from larder.operators.relational import keep_first
-from larder.streaming.sinks import BATCH, drain, read_batches
+from larder.streaming.segments import BATCH, Store
+from larder.streaming.sinks import drain, read_batches
 
 
 def _sums(rows: DataFrame, keys: list[Column | str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum(F.coalesce("kcal", F.lit(0.0))).alias("kcal"), F.count(F.lit(1)).alias("n"))
+    """Decimal sums: the same whatever the order and the cut of the rows, down to ties of rounding."""
+    kcal = F.coalesce("kcal", F.lit(0.0)).cast("decimal(28,6)")
+    return rows.groupBy(*keys).agg(F.sum(kcal).alias("kcal"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_sums(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Merge of the sums of several micro-batches under the given keys."""
+    return lambda parts: parts.groupBy(*keys).agg(
+        F.sum("kcal").cast("decimal(38,6)").alias("kcal"), F.sum("n").alias("n"), F.max(BATCH).alias(BATCH))
 
 
 def day_parts(entries: DataFrame) -> DataFrame:
     """Sums per user and day of one micro-batch."""
-    return _sums(entries, ["user_id", "local_date"])
+    return _sums(entries, DAY)
+
+
+DAY, HOUR = ["user_id", "local_date"], ["hour_start", "user_id"]
 
 
 def day_totals(parts: DataFrame) -> DataFrame:
-    """Totals per user and day over all micro-batches."""
-    return parts.groupBy("user_id", "local_date").agg(
-        F.round(F.sum("kcal")).cast("bigint").alias("kcal"), F.sum("n").alias("n"))
+    """Whole totals per user and day over all micro-batches."""
+    return merged_sums(DAY)(parts).select(*DAY, F.round("kcal").cast("bigint").alias("kcal"), "n")
 
 
 def hour_parts(entries: DataFrame) -> DataFrame:
@@ -38,7 +49,7 @@ def hour_parts(entries: DataFrame) -> DataFrame:
 
 
 def hour_totals(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("hour_start", "user_id").agg(F.sum("kcal").alias("kcal"), F.sum("n").alias("n"))
+    return merged_sums(HOUR)(parts).select(*HOUR, F.col("kcal").cast("double").alias("kcal"), "n")
 
 
 def first_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,8 +68,14 @@ def pulled_parts(remote: DataFrame, key: str = "id", stamp: str = "updated_at")
 
 def pulled(parts: DataFrame, key: str = "id", stamp: str = "updated_at") -> DataFrame:
     """Newest version of every row over all micro-batches; of equal stamps the first to come."""
-    placed = parts.withColumn("_first", -F.col(BATCH))
-    return latest_state(placed, key, [stamp, "_first"]).drop("_first", BATCH)
+    return merged_pulls(key, stamp)(parts).drop(BATCH)
+
+
+def merged_pulls(key: str = "id", stamp: str = "updated_at") -> Callable[[DataFrame], DataFrame]:
+    def merge(parts: DataFrame) -> DataFrame:
+        return latest_state(parts.withColumn("_first", -F.col(BATCH)), key, [stamp, "_first"]).drop("_first")
+
+    return merge
 
 
 def cursor(spark: SparkSession, path: str, schema: StructType, stamp: str = "updated_at"):
@@ -73,10 +90,12 @@ def scored_stream(requests: DataFrame, answer: Callable[[DataFrame], DataFrame],
     ``answer`` takes rows with the column ``group``. The micro-batch is written before
     the next starts, so a stop loses at most one.
     """
+    store = Store(requests.sparkSession, path)
+
     def each(rows: DataFrame, batch: int) -> None:
         place = F.row_number().over(Window.partitionBy("_task").orderBy(order)) - 1
         grouped = (rows.withColumn("_task", F.spark_partition_id()).withColumn("group", F.concat_ws(
             "-", F.col("_task"), F.floor(place / size))).drop("_task"))
-        answer(grouped).write.mode("overwrite").parquet(f"{path}/data/{BATCH}={batch}")
+        store.add(answer(grouped), batch)
 
     return drain(requests, each, f"{path}/checkpoint")

@@ -1,18 +1,19 @@
 """Sources, sinks and small helpers shared by the streams.
 
-A stream keeps no state in memory. Each micro-batch is reduced and written to a folder of
-its own, named by the batch: one that is run again replaces itself, late rows count like
-others, and a reader merges the batches. What is kept is data, as bounded as the table.
+A stream keeps no state in memory. Each micro-batch is reduced and stored as a segment
+(``segments``): one that is run again changes nothing, late rows count like others, and a
+reader merges the segments, of which there are few. What is kept is data, as bounded as
+the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-BATCH = "batch"
+from larder.streaming.segments import FANOUT, Merge, Store
 
 
 def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -37,24 +38,21 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return query
 
 
-def write_batches(stream: DataFrame, path: str, reduce: Callable[[DataFrame], DataFrame], mode: str = "append"):
-    """Drain into ``path``: each micro-batch reduced, in a folder of its own, beside the checkpoint."""
+def write_batches(stream: DataFrame, path: str, reduce: Merge, mode: str = "append", merge: Merge | None = None,
+                  fanout: int = FANOUT):
+    """Drain into ``path``: each micro-batch reduced, as a segment of a store beside the checkpoint.
+
+    ``merge`` makes one set of rows of those of several batches; without it they are only
+    laid together.
+    """
+    store = Store(stream.sparkSession, path, fanout)
+
     def save(rows: DataFrame, batch: int) -> None:
-        reduce(rows).write.mode("overwrite").parquet(f"{path}/data/{BATCH}={batch}")
+        store.add(reduce(rows), batch, merge)
 
     return drain(stream, save, f"{path}/checkpoint", mode)
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All rows of all micro-batches with the number of their batch; none before the first."""
-    full = StructType([*[f for f in schema.fields if f.name != BATCH], StructField(BATCH, IntegerType())])
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(f"{path}/data")
-
-
-def latest_versions(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest row per key over all micro-batches."""
-    rest = [c for c in rows.columns if c not in (*keys, BATCH)]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("v")).select(*keys, "v.*")
+    """All rows of all micro-batches with the number of a batch; none before the first."""
+    return Store(spark, path).rows(schema)
