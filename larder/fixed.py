@@ -112,6 +112,9 @@ RANK_WEIGHTS = {
     "commonness": 1.0, "commonness_default": 0.4, "cooked": 0.3, "recency": 1.5,
     "recency_cap": 3, "exact": 0.6, "penalty": 0.3,
 }
+#: What an item's rank can be multiplied by at least and at most, its commonness lying between 0 and 1.
+LEAST_FACTOR = 1 - RANK_WEIGHTS["penalty"]
+GREATEST_FACTOR = 1 + sum(RANK_WEIGHTS[k] for k in ("commonness", "cooked", "recency", "exact"))
 PENALTY_TERMS = ("restaurant", "school lunch", "baby food")
 
 # --- Fixed values: patterns --------------------------------------------------

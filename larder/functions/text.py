@@ -113,8 +113,12 @@ def slug(c: Column, longest: int = fixed.MAX_ID_CHARS) -> Column:
 
 # --- queries and grams ---------------------------------------------------------
 def query_tokens(c: Column) -> Column:
-    """Distinct prefix terms of a typed query; inner punctuation splits a term."""
-    return F.array_distinct(index_tokens(c))
+    """Terms of a typed query, one per blank-separated part, repeats kept.
+
+    A part with punctuation inside is a phrase: its words with a blank between them.
+    """
+    parts = F.transform(F.split(F.trim(c), r"\s+"), lambda p: F.array_join(index_tokens(p), " "))
+    return F.filter(parts, lambda t: t != "")
 
 
 def trigrams(c: Column) -> Column:

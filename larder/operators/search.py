@@ -1,11 +1,16 @@
 """Ranked text search for a whole table of queries at once.
 
-The index is stored: postings, document lengths and the vocabulary with its document
-counts. A query term is first resolved against the vocabulary (small next to the
-postings), then each matched word meets the postings by plain equality, so there is
-no scan per query and no cross join. Words that occur almost everywhere are split
-over several tasks. What a term hits is stored once, then read for its document
-frequency and for the scores.
+The index is stored: each item's tokens in order, postings, the vocabulary, and the document
+counts of every beginning of a word, which give a prefix term its weight without reading
+what it matches. A query term is resolved against the vocabulary (small next to the
+postings), then each matched word meets the postings by plain equality, so there is no scan
+per query and no cross join. Words that occur almost everywhere are split over several tasks.
+
+All terms of a query must be met. Its rarest few are read first; what they leave of the
+items narrows the postings before the common terms are read at all. A token with
+punctuation inside is a phrase: its words must follow one another in one field. Fuzzy
+search needs any gram, so common grams are left out where they cannot lift an item that
+has no rarer one into the best (``fuzzy_hits``).
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder import fixed
 from larder.functions import dates, labels, text
@@ -23,50 +28,72 @@ from larder.session import materialise
 
 Hold = Callable[[DataFrame, str], DataFrame]
 
+#: Terms of a query that are read before the postings are narrowed; longest beginning that is counted.
+NARROW, LONGEST_HEAD = 3, 24
+#: Documents that the rarest grams of a query should reach to set its threshold, per wanted one.
+SEEDS = 8
+
 
 @dataclass(frozen=True)
 class Index:
+    texts: DataFrame       # item_id, len, tokens_<field> in order (word index)
     postings: DataFrame    # token, item_id, occurrences per column
-    lengths: DataFrame     # item_id, len
-    vocabulary: DataFrame  # token, n (documents)
+    vocabulary: DataFrame  # token, n (documents), most (greatest occurrences)
+    heads: DataFrame | None  # term, n: documents with a word that begins so
     fields: tuple[str, ...]
 
+    @property
+    def lengths(self) -> DataFrame:
+        return self.texts.select("item_id", "len")
+
 
-def _index(postings: DataFrame, ids: DataFrame, fields: tuple[str, ...], hold: Hold) -> Index:
-    """Lengths are summed from the stored postings: the texts are read and cut once."""
-    kept = hold(postings, "postings")
-    words = hold(kept.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+def _counted(each: DataFrame, fields: tuple[str, ...], hold: Hold) -> tuple[DataFrame, DataFrame]:
+    """Postings and vocabulary of (item_id, t.token, t.field)."""
+    postings = hold(each.groupBy(F.col("t.token").alias("token"), "item_id").agg(
+        *[F.count_if(F.col("t.field") == f).alias(f"tf_{f}") for f in fields]), "postings")
     total = sum((F.col(f"tf_{f}") for f in fields), F.lit(0))
-    sums = kept.groupBy("item_id").agg(F.sum(total).alias("len"))
-    lengths = ids.join(sums, "item_id", "left").select("item_id", F.coalesce("len", F.lit(0)).alias("len"))
-    return Index(kept, hold(lengths, "lengths"), words, fields)
+    return postings, hold(postings.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.max(total).alias("most")), "vocabulary")
 
 
-def build_index(docs: DataFrame, key: str, fields: tuple[str, ...], hold: Hold = materialise) -> Index:
-    """Word index over several text columns of one document per item."""
-    def tagged_with(field: str):
-        tokens = F.coalesce(text.index_tokens(F.col(field)), F.array().cast("array<string>"))
+def _tagged(columns: Mapping[str, Column]) -> Column:
+    def with_field(tokens: Column, field: str) -> Column:
         return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(field).alias("field")))
 
-    tagged = F.flatten(F.array(*[tagged_with(f) for f in fields]))
-    each = docs.select(F.col(key).alias("item_id"), F.explode(tagged).alias("t"))
-    postings = each.groupBy(F.col("t.token").alias("token"), "item_id").agg(
-        *[F.count_if(F.col("t.field") == f).alias(f"tf_{f}") for f in fields])
-    return _index(postings, docs.select(F.col(key).alias("item_id")), fields, hold)
+    return F.flatten(F.array(*[with_field(c, f) for f, c in columns.items()]))
+
+
+def build_index(docs: DataFrame, key: str, fields: tuple[str, ...], hold: Hold = materialise) -> Index:
+    """Word index over several text columns of one document per item; the texts are cut once."""
+    none = F.array().cast("array<string>")
+    cut = docs.select(F.col(key).alias("item_id"), *[
+        F.coalesce(text.index_tokens(F.col(f)), none).alias(f"tokens_{f}") for f in fields])
+    size = sum((F.size(f"tokens_{f}") for f in fields), F.lit(0))
+    texts = hold(cut.withColumn("len", size), "texts")
+    tokens = {f: F.col(f"tokens_{f}") for f in fields}
+    postings, vocabulary = _counted(texts.select("item_id", F.explode(_tagged(tokens)).alias("t")), fields, hold)
+    words = F.array_distinct(F.concat(*tokens.values()))
+    beginnings = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(1), F.least(F.length(w), F.lit(LONGEST_HEAD))), lambda n: F.left(w, n)))))
+    heads = hold(texts.filter("len > 0").select(F.explode(beginnings).alias("term")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n")), "heads")
+    return Index(texts, postings, vocabulary, heads, fields)
 
 
 def build_gram_index(docs: DataFrame, key: str, column: str, hold: Hold = materialise) -> Index:
     """Trigram index over one text column."""
     grams = F.coalesce(text.all_trigrams(F.col(column)), F.array().cast("array<string>"))
-    each = docs.select(F.col(key).alias("item_id"), F.explode(grams).alias("token"))
-    postings = each.groupBy("token", "item_id").agg(F.count(F.lit(1)).alias(f"tf_{column}"))
-    return _index(postings, docs.select(F.col(key).alias("item_id")), (column,), hold)
+    texts = hold(docs.select(F.col(key).alias("item_id"), grams.alias("grams")).withColumn("len", F.size("grams")), "texts")
+    postings, vocabulary = _counted(
+        texts.select("item_id", F.explode(_tagged({column: F.col("grams")})).alias("t")), (column,), hold)
+    return Index(texts, postings, vocabulary, None, (column,))
 
 
 def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
-    """(query_id, term, n_terms), distinct."""
-    return queries.select("query_id", terms.alias("ts")).select(
-        "query_id", F.explode("ts").alias("term"), F.size("ts").alias("n_terms"))
+    """(query_id, term, n_terms, times): distinct terms, and how often each is asked for."""
+    each = queries.select("query_id", terms.alias("ts")).select(
+        "query_id", F.explode("ts").alias("term"), F.size(F.array_distinct("ts")).alias("n_terms"))
+    return each.groupBy("query_id", "term").agg(F.max("n_terms").alias("n_terms"), F.count(F.lit(1)).alias("times"))
 
 
 def prefix_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -83,49 +110,166 @@ def prefix_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return keyed.join(wanted, "term", "left_semi").select("term", "token")
 
 
-def term_hits(index: Index, matches: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """(term, item_id, f): weighted occurrences of each term in each document that has it."""
-    frequency = sum((F.col(f"tf_{f}") * F.lit(float(weights.get(f, 1.0))) for f in index.fields), F.lit(0.0))
-    postings = index.postings.select("token", "item_id", frequency.alias("f"))
-    return salted_join(postings, matches, ["token"], index.vocabulary, spread_by=["item_id"]).groupBy(
+def _weighted(index: Index, weights: Mapping[str, float], of: Callable[[str], Column]) -> Column:
+    return sum((of(f) * F.lit(float(weights.get(f, 1.0))) for f in index.fields), F.lit(0.0))
+
+
+def term_hits(index: Index, matches: DataFrame, weights: Mapping[str, float], items: DataFrame | None = None) -> DataFrame:
+    """(term, item_id, f): weighted occurrences of each term in each document that has it.
+
+    With ``items`` only the postings of those are read on.
+    """
+    postings = index.postings.select("token", "item_id", _weighted(index, weights, lambda f: F.col(f"tf_{f}")).alias("f"))
+    if items is not None:
+        postings = postings.join(items, "item_id", "left_semi")
+    return salted_join(postings, matches, ["token"], index.vocabulary.select("token", "n"), spread_by=["item_id"]).groupBy(
         "term", "item_id").agg(F.sum("f").alias("f"))
 
 
-def _scored(terms: DataFrame, index: Index, matches: DataFrame, weights: Mapping[str, float],
-            hold: Hold) -> DataFrame:
-    """(query_id, item_id, rank, found, n_terms): Okapi BM25 summed over a query's terms.
+def phrase_hits(index: Index, phrases: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """(term, item_id, f): weighted occurrences of phrases, words in a row of which the last is a prefix.
+
+    Items come from the postings of a phrase's rarest whole word and are then read in order.
+    """
+    wanted = phrases.select("term").distinct().withColumn("ws", F.split("term", " "))
+    whole = wanted.select("term", F.explode(F.slice("ws", 1, F.size("ws") - 1)).alias("token"))
+    rare = whole.join(index.vocabulary.select("token", "n"), "token").groupBy("term").agg(
+        F.min_by("token", F.struct("n", "token")).alias("token"))
+    near = salted_join(index.postings.select("token", "item_id"), rare, ["token"], index.vocabulary.select("token", "n"),
+                       spread_by=["item_id"]).join(wanted, "term").select("term", "ws", "item_id")
+
+    def occurrences(field: str) -> Column:
+        tokens, n = F.col(f"tokens_{field}"), F.size("ws")
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(
+            F.array().cast("array<int>"))
+        # the first word is looked at first: few places are compared whole
+        fits = F.filter(starts, lambda i: (F.get(tokens, i - 1) == F.col("ws")[0])
+                        & (F.slice(tokens, i, n - 1) == F.slice("ws", 1, n - 1))
+                        & F.get(tokens, i + n - 2).startswith(F.get("ws", n - 1)))
+        return F.size(fits)
+
+    found = index.texts.join(near, "item_id").select("term", "item_id", _weighted(index, weights, occurrences).alias("f"))
+    return found.filter("f > 0")
+
+
+def _idf(n: Column, docs: Column) -> Column:
+    odds = F.log((docs - n + 0.5) / (n + 0.5))
+    return F.when(odds <= 0, F.lit(fixed.BM25_IDF_FLOOR)).otherwise(odds)
 
-    The document frequency is the term's own, over every word it matched; the score
-    is negated, so smaller is better.
+
+def _part(f: Column, length: Column, mean: Column) -> Column:
+    """What occurrences count for, damped by the document's length; below k1 + 1."""
+    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * length / mean)
+    return (f * (fixed.BM25_K1 + 1)) / (f + norm)
+
+
+def _weighed(terms: DataFrame, seen: DataFrame, index: Index) -> DataFrame:
+    """Terms with the documents that hold them (n), their idf, and the corpus figures.
+
+    Terms that no document holds are gone. The score is Okapi BM25; the document
+    frequency is the term's own, over every word it matched. A term that is asked for
+    several times counts as often.
     """
-    hits = hold(term_hits(index, matches, weights), "hits")
-    seen = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    corpus = index.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
-    odds = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    asked = terms.join(seen, "term").crossJoin(F.broadcast(corpus)).select(
-        "query_id", "term", "n_terms", "avg_len",
-        F.when(odds <= 0, F.lit(fixed.BM25_IDF_FLOOR)).otherwise(odds).alias("idf"))
-    rows = salted_join(hits.join(index.lengths, "item_id"), asked, ["term"], seen, spread_by=["item_id"])
-    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("len") / F.col("avg_len"))
-    score = -F.col("idf") * (F.col("f") * (fixed.BM25_K1 + 1)) / (F.col("f") + norm)
+    corpus = index.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"), F.min("len").alias("min_len"))
+    return terms.join(seen, "term").crossJoin(F.broadcast(corpus)).withColumn(
+        "idf", F.col("times") * _idf(F.col("n"), F.col("docs")))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """(query_id, item_id, rank, found, n_terms); the score is negated, so smaller is better."""
+    score = -F.col("idf") * _part(F.col("f"), F.col("len"), F.col("avg_len"))
     return rows.groupBy("query_id", "item_id").agg(
         F.sum(score).alias("rank"), F.count(F.lit(1)).alias("found"), F.max("n_terms").alias("n_terms"))
 
 
 def prefix_hits(queries: DataFrame, index: Index, weights: Mapping[str, float] = fixed.INDEX_WEIGHTS,
                 hold: Hold = materialise) -> DataFrame:
-    """(query_id, item_id, rank): documents holding every term as a word prefix."""
+    """(query_id, item_id, rank): documents holding every term as a word prefix, or as a phrase."""
     terms = query_terms(queries, text.query_tokens(F.col("text")))
-    matches = prefix_matches(terms, index.vocabulary)
-    return _scored(terms, index, matches, weights, hold).filter(
+    matches = prefix_matches(terms.filter(~F.col("term").contains(" ")), index.vocabulary)
+    # phrases, and terms longer than the counted beginnings, are few: read whole and counted
+    long = matches.filter(F.length("term") > LONGEST_HEAD)
+    direct = hold(phrase_hits(index, terms.filter(F.col("term").contains(" ")), weights).unionByName(
+        term_hits(index, long, weights)), "direct")
+    seen = index.heads.unionByName(direct.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    per_query = Window.partitionBy("query_id")
+    placed = hold(_weighed(terms, seen, index).withColumns({
+        "place": F.row_number().over(per_query.orderBy("n", "term")), "held": F.count(F.lit(1)).over(per_query)})
+        .filter("held = n_terms").select("query_id", "term", "n_terms", "place", "n", "idf", "avg_len"), "terms")
+    first, rest = (placed.filter(F.col("place") <= NARROW), placed.filter(F.col("place") > NARROW))
+
+    def hits(of: DataFrame, items: DataFrame | None = None) -> DataFrame:
+        own = of.select("term").distinct()
+        some = direct if items is None else direct.join(items, "item_id", "left_semi")
+        short = matches.filter(F.length("term") <= LONGEST_HEAD)
+        return term_hits(index, short.join(own, "term", "left_semi"), weights, items).unionByName(
+            some.join(own, "term", "left_semi"))
+
+    few = hold(hits(first), "hits")
+    asked = first.select("query_id", "term", "n_terms", "idf", "avg_len")
+    counts = first.groupBy("term").agg(F.max("n").alias("n"))
+    narrow = salted_join(few, asked, ["term"], counts, spread_by=["item_id"])
+    left = hold(narrow.groupBy("query_id", "item_id").agg(
+        F.count(F.lit(1)).alias("found"), F.max("n_terms").alias("n_terms")).filter(
+        F.col("found") == F.least(F.col("n_terms"), F.lit(NARROW))).select("query_id", "item_id"), "left")
+    others = hits(rest, left.select("item_id").distinct()).join(left, "item_id").join(
+        rest.select("query_id", "term", "n_terms", "idf", "avg_len"), ["query_id", "term"])
+    rows = narrow.join(left, ["query_id", "item_id"], "left_semi").unionByName(others.select(*narrow.columns))
+    return _summed(rows.join(index.lengths, "item_id")).filter(
         F.col("found") == F.col("n_terms")).select("query_id", "item_id", "rank")
 
 
-def gram_hits(queries: DataFrame, index: Index, hold: Hold = materialise) -> DataFrame:
-    """(query_id, item_id, rank): documents sharing any gram with the query."""
+def _gram_terms(queries: DataFrame, index: Index) -> DataFrame:
     terms = query_terms(queries, F.array_distinct(F.transform(text.trigrams(F.col("text")), text.fold)))
-    exact = terms.select("term").distinct().withColumn("token", F.col("term"))
-    return _scored(terms, index, exact, {}, hold).select("query_id", "item_id", "rank")
+    return _weighed(terms, index.vocabulary.withColumnRenamed("token", "term"), index)
+
+
+def _gram_rows(terms: DataFrame, index: Index) -> DataFrame:
+    """Postings of grams: (query_id, item_id, f and what scores it)."""
+    postings = index.postings.select(F.col("token").alias("term"), "item_id", F.col(f"tf_{index.fields[0]}").cast("double").alias("f"))
+    sizes = index.vocabulary.select(F.col("token").alias("term"), "n")
+    asked = terms.select("query_id", "term", "n_terms", "idf", "avg_len")
+    return salted_join(postings, asked, ["term"], sizes, spread_by=["item_id"])
+
+
+def gram_hits(queries: DataFrame, index: Index, hold: Hold = materialise) -> DataFrame:
+    """(query_id, item_id, rank): documents sharing any gram with the query, all of them."""
+    rows = _gram_rows(hold(_gram_terms(queries, index), "terms"), index)
+    return _summed(rows.join(index.lengths, "item_id")).select("query_id", "item_id", "rank")
+
+
+def fuzzy_hits(queries: DataFrame, index: Index, k: int, share: float = 1.0, hold: Hold = materialise) -> DataFrame:
+    """(query_id, item_id, rank): the documents that can be among a query's k best by shared grams, and others.
+
+    Exact for the k best: a document is left out only if its score is below ``share`` of
+    the k-th best. A query's rarest grams are read first and give its threshold, the k-th
+    best score they reach. Every gram has a greatest score that it can add; the most common
+    grams, as long as theirs add up to less than the threshold, bring in no document. They
+    are read only for the documents that a rarer gram brought in and that may still pass.
+    """
+    most = F.col("idf") * _part(F.col("most").cast("double"), F.col("min_len"), F.col("avg_len"))
+    ordered = Window.partitionBy("query_id").orderBy("n", "term").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("query_id").orderBy(F.desc("n"), F.desc("term"))
+    terms = hold(_gram_terms(queries, index).withColumn("most", most).withColumns({
+        "reached": F.coalesce(F.sum("n").over(ordered), F.lit(0)), "tail": F.sum("most").over(back)}), "terms")
+    seeds = _gram_rows(terms.filter(F.col("reached") < SEEDS * k), index)
+    best = top_k(_summed(seeds.join(index.lengths, "item_id")), ["query_id"], [F.col("rank"), F.col("item_id")], k)
+    # widened a little, as sums of doubles may differ by their order
+    need = hold(best.filter(F.col("rn") == k).select("query_id", (-F.col("rank") * share * (1 - 1e-9)).alias("need")), "need")
+    judged = terms.join(need, "query_id", "left").withColumn("need", F.coalesce("need", F.lit(0.0)))
+    leading, common = judged.filter(F.col("tail") >= F.col("need")), judged.filter(F.col("tail") < F.col("need"))
+    brought = _gram_rows(leading, index).join(index.lengths, "item_id")
+    bound = common.groupBy("query_id").agg(F.sum("most").alias("more"), F.max("need").alias("need"))
+    score = F.col("idf") * _part(F.col("f"), F.col("len"), F.col("avg_len"))
+    partial = brought.groupBy("query_id", "item_id", "len").agg(F.sum(score).alias("own")).join(bound, "query_id", "left")
+    open_ = hold(partial.filter(F.col("more").isNull() | (F.col("own") + F.col("more") >= F.col("need"))).select(
+        "query_id", "item_id", "len", "own"), "open")
+    postings = index.postings.select("item_id", F.col("token").alias("term"), F.col(f"tf_{index.fields[0]}").cast("double").alias("f"))
+    grams = postings.join(common.select("term").distinct(), "term", "left_semi")
+    added = grams.join(open_, "item_id").join(common.select("query_id", "term", "idf", "avg_len"), ["query_id", "term"]).groupBy(
+        "query_id", "item_id").agg(F.sum(score).alias("added"))
+    return open_.join(added, ["query_id", "item_id"], "left").select(
+        "query_id", "item_id", (-(F.col("own") + F.coalesce("added", F.lit(0.0)))).alias("rank"))
 
 
 def recent_counts(log: DataFrame, foods: DataFrame, as_of: str, days: int = fixed.RANKING_DAYS) -> DataFrame:
@@ -227,7 +371,8 @@ def search(queries: DataFrame, index: Index, grams: Index, items: DataFrame, foo
     enough = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= fixed.FALLBACK_BELOW)
     short = materialise(without(queries, enough, "query_id"), "short")
-    fuzzy = ranked(gram_hits(short, grams), short, items, foods, recent, k)
+    # What an item is multiplies its rank: the most and the least it can be multiplied by.
+    fuzzy = ranked(fuzzy_hits(short, grams, k, fixed.LEAST_FACTOR / fixed.GREATEST_FACTOR), short, items, foods, recent, k)
     second = without(fuzzy, first, ["query_id", "food_id"])
     own = custom_search(queries, custom_foods, log, as_of)
     shared = ["query_id", "name", "emoji", "kcal_100g", "protein_100g", "fat_100g", "carb_100g",

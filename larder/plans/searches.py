@@ -24,16 +24,16 @@ def bm25_sql(docs: str, key: str, fields: dict[str, float], queries: str, prefix
     posts = " UNION ALL ".join(f"SELECT {key} AS item_id, unnest({tok(f)}) AS token, {w}::DOUBLE AS w FROM {docs}" for f, w in fields.items())
     size = " + ".join(f"coalesce(len({tok(f)}), 0)" for f in fields)
     terms = ("[g FOR g IN list_distinct([substr(lower(text), i, 3) FOR i IN range(1, greatest(length(text) - 1, 1))]) IF length(trim(g)) = 3]"
-             if grams else f"list_distinct({sql_tokens('text')})")
+             if grams else sql_tokens('text'))
     match = "starts_with(token, term)" if prefix else "token = term"
     return f"""post AS ({posts}),
 lens AS (SELECT {key} AS item_id, {size} AS len FROM {docs}), corpus AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM lens),
-term AS (SELECT query_id, unnest({terms}) AS term, len({terms}) AS n_terms FROM {queries}),
+term AS (SELECT query_id, term, count(*) AS times, len(list_distinct(any_value(ts))) AS n_terms FROM (SELECT query_id, {terms} AS ts, unnest({terms}) AS term FROM {queries}) GROUP BY 1, 2),
 vocab AS (SELECT DISTINCT token FROM post), hit AS (SELECT DISTINCT term, token FROM (SELECT DISTINCT term FROM term) JOIN vocab ON {match}),
 freq AS (SELECT term, item_id, sum(w) AS f FROM hit JOIN post USING (token) GROUP BY 1, 2), df AS (SELECT term, count(*) AS n FROM freq GROUP BY 1),
 idf AS (SELECT term, CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n + 0.5) / (n + 0.5)) END AS idf, avg_len FROM df, corpus),
 part_score AS (SELECT term, item_id, -idf * (f * 2.2::DOUBLE) / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)) AS s FROM freq JOIN idf USING (term) JOIN lens USING (item_id)),
-matched AS (SELECT query_id, item_id, sum(s) AS rank FROM term JOIN part_score USING (term) GROUP BY 1, 2 {'HAVING count(*) = max(n_terms)' if every else ''})"""
+matched AS (SELECT query_id, item_id, sum(times * s) AS rank FROM term JOIN part_score USING (term) GROUP BY 1, 2 {'HAVING count(*) = max(n_terms)' if every else ''})"""
 
 
 # Each part is an item of its own; its name, label, brand and type are the indexed text.
@@ -97,6 +97,40 @@ def search_trigram(spark, sf):
     return _rounded(search.gram_hits(typos(spark, sf), search.build_gram_index(docs(spark, sf), "id", "trgm")))
 
 
+@query("search_fuzzy", f"""
+WITH {DOCS_SQL}, {bm25_sql('docs', 'id', {'trgm': 1.0}, 'typos', prefix=False, every=False, grams=True)},
+r AS (SELECT query_id, round(rank, 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, item_id) AS place FROM matched)
+SELECT query_id, place, rank FROM r WHERE place <= 30""")
+def search_fuzzy(spark, sf):
+    """The thirty best ranks of every misspelt name; most documents are never scored."""
+    hits = search.fuzzy_hits(typos(spark, sf), search.build_gram_index(docs(spark, sf), "id", "trgm"), fixed.SEARCH_LIMIT)
+    best = search.top_k(hits, ["query_id"], [F.col("rank"), F.col("item_id")], fixed.SEARCH_LIMIT, "place")
+    return best.select("query_id", F.col("place").cast("bigint").alias("place"), F.round("rank", 6).alias("rank"))
+
+
+# Names with a hyphen for the blank, in order and turned round: a phrase, then a second term.
+_PHRASES_SQL = """asked AS (SELECT min(p_partkey) AS query_id, lower(split_part(p_name, ' ', 1)) AS a, lower(split_part(p_name, ' ', 2)) AS b FROM part GROUP BY p_name),
+phrased AS (SELECT query_id, a, substr(b, 1, 3) AS b FROM asked UNION ALL SELECT query_id + 1000000, b, a FROM asked)"""
+
+
+@query("search_phrase", f"""
+WITH {DOCS_SQL}, {_PHRASES_SQL}, {', '.join(f"{f} AS (SELECT id, {sql_tokens(f)} AS t, {WEIGHTS[f]}::DOUBLE AS w FROM docs)" for f in FIELDS)},
+field AS ({' UNION ALL '.join(f'SELECT * FROM {f}' for f in FIELDS)}),
+lens AS (SELECT id, sum(len(t)) AS len FROM field GROUP BY 1), corpus AS (SELECT count(*) AS docs, avg(len) AS avg_len FROM lens),
+pair AS (SELECT id, w, t[i] AS a, t[i + 1] AS b FROM (SELECT id, w, t, unnest(range(1, len(t))) AS i FROM field)),
+phrase AS (SELECT query_id, id, sum(w) AS pf FROM phrased JOIN pair ON phrased.a = pair.a AND starts_with(pair.b, phrased.b) GROUP BY 1, 2),
+brand AS (SELECT id, sum(w * len(list_filter(t, lambda x: starts_with(x, 'brand')))) AS bf FROM field GROUP BY 1 HAVING bf > 0),
+scored AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS pn, (SELECT count(*) FROM brand) AS bn FROM phrase)
+SELECT query_id, id AS item_id, round(-(greatest(ln((docs - pn + 0.5) / (pn + 0.5)), 1e-6) * pf * 2.2::DOUBLE / (pf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))
+  + greatest(ln((docs - bn + 0.5) / (bn + 0.5)), 1e-6) * bf * 2.2::DOUBLE / (bf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 6) AS rank FROM scored JOIN brand USING (id) JOIN lens USING (id), corpus""")
+def search_phrase(spark, sf):
+    words = "lower(split_part(p_name, ' ', {}))".format
+    names = _names(spark, sf)
+    asked = names.selectExpr("query_id", f"concat({words(1)}, '-', substr({words(2)}, 1, 3), ' brand') AS text").unionByName(
+        names.selectExpr("query_id + 1000000 AS query_id", f"concat({words(2)}, '-', {words(1)}, ' brand') AS text"))
+    return _rounded(search.prefix_hits(asked, search.build_index(docs(spark, sf), "id", FIELDS)))
+
+
 @query("search_documents", f"""
 WITH q AS (SELECT item_id AS query_id, text FROM benchmark), d AS (SELECT doc_id, source, text AS body FROM documents),
 {bm25_sql('d', 'doc_id', {'source': 2.0, 'body': 1.0}, 'q')} SELECT query_id, item_id, round(rank, 6) AS rank FROM matched""")
