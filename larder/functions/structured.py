@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from larder import fixed
@@ -13,6 +15,11 @@ PLATE_ROW = ("instance_id string, name string, search_term string, emoji string,
              "fat_100g double, shots array<int>")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sorted_set(c: Column) -> Column:
     return F.array_sort(F.array_distinct(c))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larder import fixed
 from larder.functions import labels, text
+from larder.functions.structured import bound
 from larder.functions.maths import macro_distance
 from larder.operators.relational import salted_join
 
@@ -32,15 +33,17 @@ def identified(foods: DataFrame) -> DataFrame:
 
     A food without an identity keys on its own id, so it stays alone.
     """
-    ws = text.key_words(F.col("base_name"))
-    key = F.coalesce(text.key_of_words(ws), F.lit(""))
-    return foods.withColumns({
-        "base_key": F.when(key != "", key).otherwise(
-            F.concat(F.lit("\x00"), F.col("fdc_id").cast("string"))),
-        "written": F.when(F.coalesce("base_name", F.lit("")) != "",
-                          F.array_join(F.array_distinct(ws), " ")),
+    # each name's words are found once, the key and the written form both made of them
+    said = bound(text.key_words(F.col("base_name")), lambda ws: F.struct(
+        F.coalesce(text.key_of_words(ws), F.lit("")).alias("key"), F.array_join(F.array_distinct(ws), " ").alias("written")))
+    alone = F.concat(F.lit("\x00"), F.col("fdc_id").cast("string"))
+    keys = bound(said, lambda s: F.struct(
+        F.when(s["key"] != "", s["key"]).otherwise(alone).alias("base_key"),
+        F.when(F.coalesce("base_name", F.lit("")) != "", s["written"]).alias("written")))
+    return foods.withColumn("_said", keys).withColumns({
+        "base_key": F.coalesce("_said.base_key", alone), "written": F.col("_said.written"),
         "kind": F.coalesce("food_kind", F.lit("")),
-    })
+    }).drop("_said")
 
 
 def key_votes(keyed: DataFrame) -> DataFrame:
@@ -124,24 +127,29 @@ def _merge_labels(buckets: Column, variable_fat: Column) -> Column:
     """
     group = ("array<struct<parent:string,members:array<struct<label:string,n:bigint,"
              "protein_g:double,carb_g:double,fat_g:double,"
+             "parent:string,vector:struct<protein:double,carb:double,fat:double>,"
              "lead:struct<m:double,id:bigint>,"
              "rep:struct<n:bigint,len:int,id:bigint,category:string>,kinds:array<string>>>>>")
 
-    def step(groups: Column, b: Column) -> Column:
-        parent = labels.parent_label(b["label"])
+    def first_fit(groups: Column, b: Column) -> Column:
         fits = F.transform(groups, lambda g: (
-            (g["parent"].isNull() | parent.isNull() | (g["parent"] == parent))
+            (g["parent"].isNull() | b["parent"].isNull() | (g["parent"] == b["parent"]))
             & F.forall(g["members"], lambda m:
-                       macro_distance(_vector(b), _vector(m), variable_fat) <= fixed.PREP_DISTANCE)
+                       macro_distance(b["vector"], m["vector"], variable_fat) <= fixed.PREP_DISTANCE)
         ))
-        at = F.array_position(fits, True)
-        joined = F.transform(groups, lambda g, i: F.when(
-            i + 1 == at,
-            F.struct(F.coalesce(g["parent"], parent).alias("parent"),
-                     F.concat(g["members"], F.array(b)).alias("members")),
-        ).otherwise(g))
-        fresh = F.array(F.struct(parent.alias("parent"), F.array(b).alias("members")))
-        return F.when(at > 0, joined).otherwise(F.concat(groups, fresh))
+        return F.array_position(fits, True)
+
+    def step(groups: Column, b: Column) -> Column:
+        def placed(at: Column) -> Column:
+            joined = F.transform(groups, lambda g, i: F.when(
+                i + 1 == at,
+                F.struct(F.coalesce(g["parent"], b["parent"]).alias("parent"),
+                         F.concat(g["members"], F.array(b)).alias("members")),
+            ).otherwise(g))
+            fresh = F.array(F.struct(b["parent"].alias("parent"), F.array(b).alias("members")))
+            return F.when(at > 0, joined).otherwise(F.concat(groups, fresh))
+
+        return bound(first_fit(groups, b), placed)
 
     return F.aggregate(buckets, F.array().cast(group), step)
 
@@ -152,17 +160,18 @@ def _prep_of(members: Column) -> Column:
         return F.aggregate(members, F.lit(0).cast(kind), lambda t, m: t + m[c])
 
     named = F.array_distinct(F.filter(F.transform(members, lambda m: m["label"]), lambda x: x.isNotNull()))
-    label = F.when(F.size(named) == 1, F.get(named, F.lit(0))).when(
-        F.size(named) > 1, labels.parent_label(F.array_min(named)))
-    return F.struct(
-        label.alias("label"), total("n", "bigint").alias("n"),
+    stated = bound(named, lambda n: F.struct(
+        F.when(F.size(n) == 1, F.get(n, F.lit(0))).when(F.size(n) > 1, labels.parent_label(F.array_min(n))).alias("label"),
+        F.exists(n, lambda x: x.isin(*fixed.COOKED_METHODS)).alias("method")))
+    return bound(stated, lambda said: F.struct(
+        said["label"].alias("label"), total("n", "bigint").alias("n"),
         *[total(c, "double").alias(c) for c in fixed.MERGE_MACROS],
         F.array_min(F.transform(members, lambda m: m["lead"])).alias("lead"),
         F.array_min(F.transform(members, lambda m: m["rep"])).alias("rep"),
-        F.exists(named, lambda x: x.isin(*fixed.COOKED_METHODS)).alias("states_method"),
+        said["method"].alias("states_method"),
         F.flatten(F.transform(members, lambda m: F.transform(
             m["kinds"], lambda k: F.struct(k.alias("kind"), m["label"].alias("label"))))).alias("sources"),
-    )
+    ))
 
 
 def _absorb_vague(preps: Column) -> Column:
@@ -174,26 +183,30 @@ def _absorb_vague(preps: Column) -> Column:
         return F.coalesce(p["label"].isin(*fixed.COOKED_METHODS), F.lit(False))
 
     loose = F.filter(preps, vague)
-    taken = F.get(loose, F.lit(0))
-    absorbed = F.transform(F.filter(preps, lambda p: ~vague(p)), lambda p: F.when(method(p), F.struct(
-        p["label"].alias("label"), (p["n"] + taken["n"]).alias("n"),
-        *[(p[c] + taken[c]).alias(c) for c in fixed.MERGE_MACROS],
-        F.least(p["lead"], taken["lead"]).alias("lead"),
-        F.least(p["rep"], taken["rep"]).alias("rep"),
-        p["states_method"].alias("states_method"),
-        F.concat(p["sources"], taken["sources"]).alias("sources"),
-    )).otherwise(p))
     one_each = (F.size(loose) == 1) & (F.size(F.filter(preps, method)) == 1)
-    return F.when(one_each, absorbed).otherwise(preps)
+
+    def absorbed(taken: Column) -> Column:
+        return F.transform(F.filter(preps, lambda p: ~vague(p)), lambda p: F.when(method(p), F.struct(
+            p["label"].alias("label"), (p["n"] + taken["n"]).alias("n"),
+            *[(p[c] + taken[c]).alias(c) for c in fixed.MERGE_MACROS],
+            F.least(p["lead"], taken["lead"]).alias("lead"),
+            F.least(p["rep"], taken["rep"]).alias("rep"),
+            p["states_method"].alias("states_method"),
+            F.concat(p["sources"], taken["sources"]).alias("sources"),
+        )).otherwise(p))
+
+    return F.when(one_each, bound(F.get(loose, F.lit(0)), absorbed)).otherwise(preps)
 
 
 def split_items(buckets: DataFrame) -> DataFrame:
     """One row per item with its ordered preparations as an array."""
+    own = F.struct("n", *fixed.MERGE_MACROS)
     spread = F.struct(
         F.col("prep_label").isNull().alias("o1"),
         (-F.round(F.col("protein_g") / F.col("n"), DIGITS)).alias("o2"),
         F.coalesce("prep_label", F.lit("")).alias("o3"),
-        F.struct(F.col("prep_label").alias("label"), "n", *fixed.MERGE_MACROS, "lead", "rep",
+        F.struct(F.col("prep_label").alias("label"), "n", *fixed.MERGE_MACROS,
+                 labels.parent_label(F.col("prep_label")).alias("parent"), _vector(own).alias("vector"), "lead", "rep",
                  F.array_sort("kinds").alias("kinds")).alias("b"),
     )
     grouped = buckets.groupBy("base_key", "item_kind").agg(
@@ -203,13 +216,14 @@ def split_items(buckets: DataFrame) -> DataFrame:
         F.sum("n").alias("n_foods"), F.bit_xor("d1").alias("d1"), F.bit_xor("d2").alias("d2"),
         F.max("source_version").alias("source_version"),
     )
-    folded = grouped.withColumn("groups", _merge_labels(F.col("buckets"), F.col("variable_fat"))).drop("buckets")
-    preps = folded.withColumn("preps", F.transform("groups", lambda g: _prep_of(g["members"]))).drop("groups")
-    preps = preps.withColumn("preps", _absorb_vague(F.col("preps")))
-    ordered = F.transform(F.array_sort(F.transform("preps", lambda p: F.struct(
-        (-(_mean(p, "protein_g") + _mean(p, "carb_g") + _mean(p, "fat_g"))).alias("o1"),
-        p["lead"]["id"].alias("o2"), p.alias("p")))), lambda s: s["p"])
-    preps = preps.withColumn("preps", ordered)
+    def ordered(preps: Column) -> Column:
+        return F.transform(F.array_sort(F.transform(preps, lambda p: F.struct(
+            (-(_mean(p, "protein_g") + _mean(p, "carb_g") + _mean(p, "fat_g"))).alias("o1"),
+            p["lead"]["id"].alias("o2"), p.alias("p")))), lambda s: s["p"])
+
+    groups = _merge_labels(F.col("buckets"), F.col("variable_fat"))
+    each = bound(groups, lambda gs: F.transform(gs, lambda g: _prep_of(g["members"])))
+    preps = grouped.withColumn("preps", bound(each, lambda ps: ordered(bound(ps, _absorb_vague)))).drop("buckets")
     default = F.array_max(F.transform("preps", lambda p, i: F.struct(
         p["n"].alias("n"), (-i).alias("o"), p["rep"].alias("rep"))))["rep"]
     return preps.withColumn("default", default).select(

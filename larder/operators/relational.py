@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from larder.session import materialise
 
@@ -100,13 +105,55 @@ def indexed(df: DataFrame, order: Sequence[Column], name: str = "idx") -> DataFr
     ).drop("_range", "_at", "_before")
 
 
+def _in_range(keys: Sequence[str]):
+    """Number sorted rows within their key, from 1, and mark those of the key the partition begins with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, before, n, head = TaskContext.get().partitionId(), None, 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            opens = np.zeros(batch.num_rows, bool)
+            for key in keys:
+                column = batch.column(key)
+                opens[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            first = [batch.column(key)[0].as_py() for key in keys]
+            opens[0] = first != before
+            place = np.arange(batch.num_rows)
+            start = np.maximum.accumulate(np.where(opens, place, -1))
+            number = np.where(start >= 0, place - start, n + place) + 1
+            leads = head & (np.cumsum(opens) == int(before is None))
+            before, n, head = [batch.column(key)[-1].as_py() for key in keys], int(number[-1]), bool(leads[-1])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, task, np.int32)), pa.array(number.astype(np.int64)),
+                 pa.array(leads)], [*batch.schema.names, "_range", "_n", "_head"])
+
+    return run
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "seq") -> DataFrame:
-    """1, 2, … per key (keys not NULL), without sorting a whole key in one task."""
-    placed = indexed(df, [*[F.col(k) for k in keys], *order], "_idx")
-    first = placed.groupBy(*keys).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("n"))
-    return salted_join(placed, first.drop("n"), keys, first.drop("_first"), spread_by=["_idx"]).withColumn(
-        name, (F.col("_idx") - F.col("_first") + 1).cast("int")
-    ).drop("_idx", "_first")
+    """1, 2, … per key (keys not NULL), without a whole key in one task.
+
+    The rows are sorted into ranges, the one shuffle, and numbered in their range as they
+    are written. Only the key that a range begins with can go on from the ranges before:
+    one count per range, broadcast, carries its numbers on.
+    """
+    columns = [F.col(k) for k in keys]
+    rows = df.repartitionByRange(*columns, *order).sortWithinPartitions(*columns, *order)
+    schema = StructType([*df.schema.fields, StructField("_range", IntegerType()), StructField("_n", LongType()),
+                         StructField("_head", BooleanType())])
+    placed = materialise(rows.mapInArrow(_in_range(keys), schema), "numbered")
+    # One row per range from here to the join: a handful, whatever the data.
+    key = F.struct(*keys)
+    ends = placed.groupBy("_range").agg(F.min(key).alias("first"), F.max(F.struct(key.alias("k"), "_n")).alias("last"))
+    by_key = Window.partitionBy("last.k").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.orderBy("_range")
+    upto = ends.withColumn("upto", F.sum("last._n").over(by_key))
+    carried = upto.select("_range", F.when(F.lag("last.k").over(in_order) == F.col("first"),
+                                           F.lag("upto").over(in_order)).alias("_carried")).filter("_carried is not null")
+    onward = F.when(F.col("_head"), F.coalesce("_carried", F.lit(0))).otherwise(0)
+    return placed.join(F.broadcast(carried), "_range", "left").withColumn(
+        name, (F.col("_n") + onward).cast("int")).drop("_range", "_n", "_head", "_carried")
 
 
 def joined_set(values: Column, keep: Column | None = None, sep: str = "; ") -> Column:
