@@ -18,8 +18,8 @@ The counts of a whole corpus fit no single process, and a traversal needs those
 own text only. So texts are taken in blocks, each written once as word numbers. A block
 asks, with one sorted list of hashes per order and bucket, for the counts of the n-grams
 it holds; a bucket adds up the counts of all blocks and answers every list in its order.
-There are as many buckets as the corpus needs to keep each small, and the lists are
-removed as soon as the answers are stored.
+There are as many buckets as the corpus needs to keep each small. They are answered in a
+few parts, and a part's lists are removed as soon as its answers are stored.
 From the answers a block builds its part of the automaton and runs its documents through
 it. Lists travel packed, an n-gram once per block that has it.
 
@@ -44,8 +44,8 @@ ORDER = 2
 MU = 4.0
 #: Words of text that a block is closed after.
 BLOCK_WORDS = 600_000
-#: Bytes of text whose n-grams share a bucket.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text whose n-grams share a bucket; parts of the buckets that are answered one after another.
+BUCKET_BYTES, PARTS = 8 << 20, 4
 
 _END, _BEGIN = np.uint64(0xE0D5F1A2C3B49687), np.uint64(0xB36148D2F0A59C17)
 _CHAIN = W.constants(2, 21)
@@ -123,7 +123,7 @@ def _ask(order: int, buckets: int, modulus: int, fold: int):
             del every
             own = Block(distinct, sequence, counts + 1)
             training = np.repeat(~held, counts + 1)
-            yield _row(kind=0, block=block, n=len(sequence), n_words=len(distinct),
+            yield _row(kind=0, part=0, block=block, n=len(sequence), n_words=len(distinct),
                        keys=_packed(distinct), counts=_packed(sequence.astype("<u4")),
                        ids=ids, held=held.tolist(), sizes=(counts + 1).tolist())
             for n, keys, _, where, _ in own.grams(order):
@@ -137,7 +137,7 @@ def _ask(order: int, buckets: int, modulus: int, fold: int):
                     lo, hi = edges[bucket:bucket + 2]
                     if hi > lo:
                         part = np.diff(keys[lo:hi], prepend=np.uint64(0))
-                        yield _row(kind=1, block=block, width=n, bucket=bucket, n=int(hi - lo),
+                        yield _row(kind=1, part=bucket % PARTS, block=block, width=n, bucket=bucket, n=int(hi - lo),
                                    keys=_packed(part), counts=_packed(seen[lo:hi]))
             hashes, sizes, ids, gathered = [], [], [], 0
             pa.default_memory_pool().release_unused()
@@ -155,10 +155,10 @@ def _ask(order: int, buckets: int, modulus: int, fold: int):
     return run
 
 
-_ROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("width", pa.int32()), ("bucket", pa.int32()),
+_ROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("width", pa.int32()), ("bucket", pa.int32()),
                   ("n", pa.int64()), ("n_words", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()),
                   ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64()))])
-_COLUMNS = ("kind int, block long, width int, bucket int, n long, n_words long, keys binary, counts binary, "
+_COLUMNS = ("kind int, part int, block long, width int, bucket int, n long, n_words long, keys binary, counts binary, "
             "ids array<long>, held array<boolean>, sizes array<long>")
 
 
@@ -304,13 +304,16 @@ def scored(documents: DataFrame, modulus: int = 7, fold: int = 2, order: int = O
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     path = work.path("asked")
-    docs.mapInArrow(_ask(order, buckets, modulus, fold), _COLUMNS).write.partitionBy("kind").parquet(path)
+    docs.mapInArrow(_ask(order, buckets, modulus, fold), _COLUMNS).write.partitionBy("kind", "part").parquet(path)
     asked = spark.read.schema(_COLUMNS).parquet(path)
     blocks = asked.filter("kind = 0").select("block", "n", "n_words", "keys", "counts", "ids", "held", "sizes")
-    lists = asked.filter("kind = 1").select("block", "width", "bucket", "n", "keys", "counts")
-    answers = work.keep(lists.groupBy("width", "bucket").applyInArrow(
-        _answer, "block long, width int, bucket int, n long, counts binary, known long, total long"), "answers")
-    remove(spark, f"{path}/kind=1")
+    answers = None
+    for part in range(PARTS):
+        lists = asked.filter(f"kind = 1 AND part = {part}").select("block", "width", "bucket", "n", "keys", "counts")
+        answered = work.keep(lists.groupBy("width", "bucket").applyInArrow(
+            _answer, "block long, width int, bucket int, n long, counts binary, known long, total long"), "answers")
+        remove(spark, f"{path}/kind=1/part={part}")
+        answers = answered if answers is None else answers.unionByName(answered)
     sums = answers.filter("width = 1").agg(F.sum("known"), F.sum("total")).first()
     types, tokens = sums[0] or 0, sums[1] or 0
     begins = blocks.select(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
