@@ -1,4 +1,4 @@
-"""Two releases written as CSV from the standard tables, and read back as one set of tables."""
+"""Three releases written as CSV from the standard tables, and read back as one set of tables."""
 
 from __future__ import annotations
 
@@ -11,65 +11,75 @@ from larder.sources.release import Release, ingest
 
 NUTRIENTS = "(VALUES (1003, 'Protein', 203.0, 600), (1004, 'Fat', 204.0, 800), (1005, 'Carbohydrate, by difference', 205.0, 1110), (1050, 'Carbohydrate, other', 205.2, 1120), (1093, 'Sodium', 307.0, 5800))"
 
-# Sizes up to 16 are one release, those above 33 another that codes nutrients by legacy number.
-_SIDE = {"foundation": "p_size <= 16", "survey": "p_size > 33"}
+# Sizes up to 16 are one release, those up to 33 a second, the rest a third that codes nutrients by legacy number.
+_SIDE = {"foundation": "p_size <= 16", "legacy": "p_size BETWEEN 17 AND 33", "survey": "p_size > 33"}
+_KIND = {"foundation": "foundation_food", "legacy": "sr_legacy_food", "survey": "survey_fndds_food"}
+_VERSION = {"foundation": "2024-04-18", "legacy": "2018-04-01", "survey": "2024-10-31"}
 _DESCRIPTION = "concat('\"', p_name, '\", ', lower(p_type), CASE WHEN p_size % 5 = 0 THEN chr(10) ELSE '' END, 'x')"
 _CODE = "CASE l_linenumber WHEN 1 THEN 1003 WHEN 2 THEN 1005 WHEN 3 THEN 1004 WHEN 4 THEN 1050 ELSE 1093 END"
 _AMOUNT = "CASE WHEN l_discount > 0.08 THEN NULL ELSE l_quantity END"
+#: Releases that a session has written, by its id and the tables' folder.
+_written: dict = {}
 
 
-def _csv(df, folder, name):
-    """One CSV file of this name, as the archives hold them."""
-    spark, parts = df.sparkSession, fresh_path(df.sparkSession, "csv")
-    df.coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(parts)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    store = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
-    written = next(s.getPath() for s in store.listStatus(path(parts)) if s.getPath().getName().endswith(".csv"))
-    store.mkdirs(path(folder))
-    store.rename(written, path(f"{folder}/{name}"))
+def releases(spark, sf):
+    """Every part is in one release, each table a folder of CSV files, written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _written:
+        _written[key] = [_release(spark, sf, side) for side in _SIDE]
+    return _written[key]
 
 
-def releases(spark, sf):
-    root = fresh_path(spark, "releases")
+def _release(spark, sf, side):
+    folder, when, kind = fresh_path(spark, side), _SIDE[side], _KIND[side]
     part, line = roles.table(spark, sf, "part"), roles.table(spark, sf, "lineitem")
     nutrients = spark.sql(f"SELECT col1 AS id, col2 AS name, 'G' AS unit_name, col3 AS nutrient_nbr, col4 AS rank FROM {NUTRIENTS}")
     units = spark.sql("SELECT col1 AS id, col2 AS name FROM (VALUES (1, 'cup'), (9999, 'undetermined'))")
-    out = []
-    for side, when in _SIDE.items():
-        folder, own = f"{root}/{side}", part.filter(when)
-        kind = "foundation_food" if side == "foundation" else "survey_fndds_food"
-        foods = own.selectExpr("concat(p_partkey, '.0') AS fdc_id", f"CASE WHEN p_size % 7 = 0 THEN 'sub_sample_food' ELSE '{kind}' END AS data_type",
-                               f"{_DESCRIPTION} AS description", "CASE WHEN p_size < 10 THEN p_size END AS food_category_id",
-                               "CASE WHEN p_size = 12 THEN 'n/a' ELSE '2020-10-30' END AS publication_date")
-        mine = line.join(own.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-        code = F.expr(_CODE)
-        if side == "survey":
-            legacy = nutrients.select(F.col("id").alias("code"), "nutrient_nbr")
-            amounts = mine.withColumn("code", code).join(legacy, "code").select(
-                F.col("l_partkey").alias("fdc_id"), F.col("nutrient_nbr").alias("nutrient_id"), F.expr(_AMOUNT).alias("amount"))
-        else:
-            amounts = mine.select(F.col("l_partkey").alias("fdc_id"), code.alias("nutrient_id"), F.expr(_AMOUNT).alias("amount"))
-        portions = mine.selectExpr(
-            "l_partkey AS fdc_id", "l_linenumber AS seq_num", "CASE WHEN l_discount < 0.035 THEN 1.0 WHEN l_discount < 0.065 THEN NULL ELSE 2.0 END AS amount",
-            "CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 9999 ELSE 5 END AS measure_unit_id",
-            "CASE WHEN l_linenumber <= 4 THEN '1 piece' ELSE 'Quantity not specified' END AS portion_description",
-            "CASE WHEN l_linestatus = 'F' THEN CAST(l_suppkey AS STRING) ELSE 'sliced' END AS modifier", "l_quantity AS gram_weight")
-        tables = {"food.csv": foods, "nutrient.csv": nutrients, "food_nutrient.csv": amounts, "measure_unit.csv": units, "food_portion.csv": portions}
-        if side == "foundation":
-            tables["food_category.csv"] = part.filter("p_size <= 6").selectExpr("p_size AS id", "concat('Category ', p_size) AS description").distinct()
-            tables["foundation_food.csv"] = own.selectExpr("p_partkey AS fdc_id", "p_partkey + 10000 AS NDB_number", "concat('note', chr(10), p_size) AS footnote")
-        else:
-            tables["survey_fndds_food.csv"] = own.selectExpr(
-                "p_partkey AS fdc_id", "p_partkey + 50000 AS food_code", "p_size AS wweia_category_number", "'2021-01-01' AS start_date", "'' AS end_date")
-            tables["wweia_food_category.csv"] = part.filter("p_size > 40").selectExpr(
-                "p_size AS wweia_food_category", "concat('Survey ', p_size) AS wweia_food_category_description").distinct()
-        for name, df in tables.items():
-            _csv(df, folder, name)
-        out.append(Release(kind, "2024-04-18" if side == "foundation" else "2024-10-31", folder))
-    return out
-
-
-_SQL = f"""part_in AS (SELECT *, p_size <= 16 AS foundation FROM part WHERE (p_size <= 16 OR p_size > 33) AND p_size % 7 <> 0),
+    own = part.filter(when)
+    foods = own.selectExpr("concat(p_partkey, '.0') AS fdc_id", f"CASE WHEN p_size % 7 = 0 THEN 'sub_sample_food' ELSE '{kind}' END AS data_type",
+                           f"{_DESCRIPTION} AS description", "CASE WHEN p_size < 10 THEN p_size END AS food_category_id",
+                           "CASE WHEN p_size = 12 THEN 'n/a' ELSE '2020-10-30' END AS publication_date")
+    # beside the foods, rows without a number, with none that can be read, and without a description
+    nameless = own.filter("p_size % 7 = 2").selectExpr(
+        "CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'n/a' ELSE concat(p_partkey + 5000000, '') END AS fdc_id",
+        f"'{kind}' AS data_type", "CASE WHEN p_size % 3 = 2 THEN NULL ELSE p_name END AS description", "NULL AS food_category_id",
+        "'2020-10-30' AS publication_date")
+    mine = line.join(own.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    code = F.expr(_CODE)
+    if side == "survey":
+        legacy = nutrients.select(F.col("id").alias("code"), "nutrient_nbr")
+        amounts = mine.withColumn("code", code).join(legacy, "code").select(
+            F.col("l_partkey").alias("fdc_id"), F.col("nutrient_nbr").alias("nutrient_id"), F.expr(_AMOUNT).alias("amount"))
+    else:
+        amounts = mine.select(F.col("l_partkey").alias("fdc_id"), code.cast("double").alias("nutrient_id"), F.expr(_AMOUNT).alias("amount"))
+    # and amounts of no food, of no nutrient, of a food that is nowhere
+    lost = mine.filter("l_linenumber = 1").selectExpr(
+        "CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN l_partkey + 7000000 ELSE l_partkey END AS fdc_id",
+        "CASE WHEN l_suppkey % 3 = 2 THEN NULL ELSE 1003.0D END AS nutrient_id", "l_quantity AS amount")
+    portions = mine.selectExpr(
+        "l_partkey AS fdc_id", "l_linenumber AS seq_num", "CASE WHEN l_discount < 0.035 THEN 1.0 WHEN l_discount < 0.065 THEN NULL ELSE 2.0 END AS amount",
+        "CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 9999 ELSE 5 END AS measure_unit_id",
+        "CASE WHEN l_linenumber <= 4 THEN '1 piece' ELSE 'Quantity not specified' END AS portion_description",
+        "CASE WHEN l_linestatus = 'F' THEN CAST(l_suppkey AS STRING) ELSE 'sliced' END AS modifier", "l_quantity AS gram_weight")
+    tables = {"food.csv": foods.unionByName(nameless), "nutrient.csv": nutrients, "food_nutrient.csv": amounts.unionByName(lost),
+              "measure_unit.csv": units, "food_portion.csv": portions}
+    if side == "foundation":
+        tables["food_category.csv"] = part.filter("p_size <= 6").selectExpr("p_size AS id", "concat('Category ', p_size) AS description").distinct()
+        tables["foundation_food.csv"] = own.selectExpr("p_partkey AS fdc_id", "p_partkey + 10000 AS NDB_number", "concat('note', chr(10), p_size) AS footnote")
+    elif side == "legacy":
+        tables["sr_legacy_food.csv"] = own.selectExpr("p_partkey AS fdc_id", "p_partkey + 20000 AS NDB_number")
+    else:
+        tables["survey_fndds_food.csv"] = own.selectExpr(
+            "p_partkey AS fdc_id", "p_partkey + 50000 AS food_code", "p_size AS wweia_category_number", "'2021-01-01' AS start_date", "'' AS end_date")
+        tables["wweia_food_category.csv"] = part.filter("p_size > 40").selectExpr(
+            "p_size AS wweia_food_category", "concat('Survey ', p_size) AS wweia_food_category_description").distinct()
+    for name, df in tables.items():
+        df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{folder}/{name}")
+    return Release(kind, _VERSION[side], folder)
+
+
+_SQL = f"""part_in AS (SELECT *, CASE WHEN p_size <= 16 THEN 'foundation_food' WHEN p_size <= 33 THEN 'sr_legacy_food' ELSE 'survey_fndds_food' END AS kind
+  FROM part WHERE p_size % 7 <> 0),
 code AS (SELECT col0 AS nutrient_id FROM {NUTRIENTS}),
 amount AS (SELECT l_partkey AS fdc_id, {_CODE} AS nutrient_id, {_AMOUNT} AS amount FROM lineitem JOIN part_in ON p_partkey = l_partkey),
 mean AS (SELECT fdc_id, nutrient_id, avg(amount) AS amount FROM amount WHERE amount IS NOT NULL GROUP BY ALL)"""
@@ -77,13 +87,13 @@ mean AS (SELECT fdc_id, nutrient_id, avg(amount) AS amount FROM amount WHERE amo
 
 @query("ingest_foods", f"""
 WITH {_SQL}
-SELECT p_partkey AS fdc_id, CASE WHEN foundation THEN 'foundation_food' ELSE 'survey_fndds_food' END AS data_type,
-  CASE WHEN foundation AND p_size <= 6 THEN concat('Category ', p_size) WHEN p_size > 40 THEN concat('Survey ', p_size) END AS food_category,
+SELECT p_partkey AS fdc_id, kind AS data_type,
+  CASE WHEN p_size <= 6 THEN concat('Category ', p_size) WHEN p_size > 40 THEN concat('Survey ', p_size) END AS food_category,
   {_DESCRIPTION} AS description, CASE WHEN p_size <> 12 THEN DATE '2020-10-30' END AS publication_date,
-  CASE WHEN foundation THEN CAST(p_partkey + 10000 AS VARCHAR) END AS ndb_number,
-  CASE WHEN NOT foundation THEN CAST(p_partkey + 50000 AS VARCHAR) END AS food_code,
-  CASE WHEN foundation THEN concat('note', chr(10), p_size) END AS usda_footnote, round(amount, 6) AS fat_g,
-  CASE WHEN foundation THEN '2024-04-18' ELSE '2024-10-31' END AS source_version
+  CASE kind WHEN 'foundation_food' THEN CAST(p_partkey + 10000 AS VARCHAR) WHEN 'sr_legacy_food' THEN CAST(p_partkey + 20000 AS VARCHAR) END AS ndb_number,
+  CASE WHEN kind = 'survey_fndds_food' THEN CAST(p_partkey + 50000 AS VARCHAR) END AS food_code,
+  CASE WHEN kind = 'foundation_food' THEN concat('note', chr(10), p_size) END AS usda_footnote, round(amount, 6) AS fat_g,
+  CASE kind WHEN 'foundation_food' THEN '2024-04-18' WHEN 'sr_legacy_food' THEN '2018-04-01' ELSE '2024-10-31' END AS source_version
 FROM part_in LEFT JOIN mean ON fdc_id = p_partkey AND nutrient_id = 1004""")
 def ingest_foods(spark, sf):
     foods = ingest(spark, releases(spark, sf))["foods"]

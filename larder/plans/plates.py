@@ -110,9 +110,9 @@ match AS (SELECT query_id, arg_max(item_id, (similarity, -rn)) AS food_id, arg_m
   arg_max(rn, (similarity, -rn)) AS rn, max(similarity) AS similarity FROM alike WHERE similarity >= 0.6 GROUP BY 1)"""
 
 
-def name_matches(spark, sf):
+def name_matches(spark, sf, text="p_name"):
     """(query_id, text, food_id, found, rn, similarity) for every distinct part name."""
-    asked = roles.table(spark, sf, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
+    asked = roles.table(spark, sf, "part").groupBy(F.expr(text).alias("text")).agg(F.min("p_partkey").alias("query_id"))
     asked = asked.withColumn("name", F.expr(_TURNED.replace("p_name", "text")))
     none = F.lit(None).cast("double")
     part = roles.table(spark, sf, "part").select(F.col("p_partkey").alias("merged_food_id"), F.col("p_name").alias("display_name"))
@@ -164,24 +164,28 @@ def plate_merge(spark, sf):
         "session", "place.part", "place.pos", "instance_id", "name", "grams", _shots("shots").alias("shots"))
 
 
-# A detection is searched by the name of a part its place leads to; one in seven by none.
+# A detection is searched by the name of the part that its place leads to; a part of every
+# seventh size stands for a dish under a name of its own, which the search does not find.
+_ASKED = "CASE WHEN p_size % 7 = 0 THEN concat(p_name, ' zzq') ELSE p_name END"
+
+
 @query("resolve_detections", f"""
 WITH {_MATCH}, {_CLEAN}, {_STAGED},
-slots AS MATERIALIZED (SELECT p_partkey - 1 AS slot, p_name FROM part WHERE p_partkey BETWEEN 1 AND 200),
+slots AS MATERIALIZED (SELECT p_partkey AS slot, {_ASKED} AS text FROM part),
 j AS (SELECT c.*, m.food_id, m.found, CASE WHEN p.p_size > 20 THEN CAST(p.p_size AS DOUBLE) END AS serving_g
-  FROM collapsed c LEFT JOIN slots t ON t.slot = c.pos % 200 AND c.pos % 7 <> 0
-  LEFT JOIN asked q ON q.text = t.p_name LEFT JOIN match m ON m.query_id = q.query_id LEFT JOIN part p ON p.p_partkey = m.food_id)
+  FROM collapsed c LEFT JOIN slots t ON t.slot = c.pos % (SELECT max(p_partkey) FROM part) + 1
+  LEFT JOIN asked q ON q.text = t.text LEFT JOIN match m ON m.query_id = q.query_id LEFT JOIN part p ON p.p_partkey = m.food_id)
 SELECT session, instance_id, food_id, coalesce(found, name) AS name, CASE WHEN grams BETWEEN 1 AND 2000 THEN grams WHEN serving_g > 0 THEN serving_g ELSE 100.0 END AS grams,
   round(CASE WHEN food_id IS NULL THEN kcal_100g ELSE 1.5 END, 6) AS kcal_100g FROM j WHERE confidence >= 0.35""")
 def resolve_detections(spark, sf):
     rows = plate.normalise_detections(detections(spark, sf), staged(spark, sf))
     part = roles.table(spark, sf, "part")
-    slots = part.filter("p_partkey BETWEEN 1 AND 200").selectExpr("p_partkey - 1 AS slot", "p_name AS text")
     facts = part.selectExpr("p_partkey AS food_id", "CASE WHEN p_size > 20 THEN CAST(p_size AS DOUBLE) END AS serving_g",
                             "1.5D AS kcal_100g", "0D AS protein_100g", "0D AS carb_100g", "0D AS fat_100g")
-    named = name_matches(spark, sf).select("text", "food_id", "found").join(facts, "food_id")
-    matches = rows.filter("pos % 7 != 0").select("session", "instance_id", (F.col("pos") % 200).alias("slot")).join(
-        slots, "slot").join(named, "text")
+    named = name_matches(spark, sf, _ASKED).select("text", "food_id", "found").join(facts, "food_id")
+    slot = (F.col("pos") % F.col("last") + 1).alias("slot")
+    asked = rows.crossJoin(F.broadcast(part.agg(F.max("p_partkey").alias("last")))).select("session", "instance_id", slot)
+    matches = asked.join(part.selectExpr("p_partkey AS slot", f"{_ASKED} AS text"), "slot").join(named, "text")
     return plate.resolve(rows, matches).select(
         "session", "instance_id", "food_id", "name", "grams", F.round("kcal_100g", 6).alias("kcal_100g"))
 

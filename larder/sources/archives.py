@@ -34,16 +34,22 @@ def listed_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
     )
 
 
+#: A table of a release: one CSV file, or a folder of that name with its parts.
+_TABLE = r"^(.*?/([^/]+\.csv))(/[^/]+)?$"
+
+
 def is_needed(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)$", 1).isin(*fixed.NEEDED_FILES)
+    return F.regexp_extract(path, _TABLE, 2).isin(*fixed.NEEDED_FILES)
 
 
 def needed_files(spark: SparkSession, folder: str) -> dict[str, str]:
     """Base name -> path for the tables of one extracted archive (13 at most).
 
-    Two files of one name are an error: which of them is meant cannot be told.
+    A table is a file or a folder of part files, each with a header. Two of one name are
+    an error: which of them is meant cannot be told.
     """
-    found = sorted(r.path for r in listed_files(spark, folder, "*.csv").filter(is_needed(F.col("path"))).collect())
+    table = F.regexp_extract("path", _TABLE, 1).alias("path")
+    found = sorted(r.path for r in listed_files(spark, folder, "*.csv").filter(is_needed(F.col("path"))).select(table).distinct().collect())
     named = {path.rsplit("/", 1)[-1]: path for path in found}
     if len(named) < len(found):
         raise ValueError(f"files of one name in {folder}: {found}")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -26,13 +27,33 @@ def log_tail(log: DataFrame, n: int = 50) -> DataFrame:
     return log.orderBy(F.col("timestamp").desc(), "fdc_id", "field").limit(n)
 
 
+def read_table(spark: SparkSession, path: str, schema: StructType | str, columns: Sequence[str] | None = None,
+               where: Column | None = None) -> DataFrame:
+    """Some columns and rows of a stored table, which must hold the columns that are promised.
+
+    A column that is missing or of another type is an error before anything is read. The
+    filter and the choice of columns reach the scan; columns not promised are not read.
+    """
+    stored = spark.read.parquet(path)
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    have = {f.name: f.dataType for f in stored.schema.fields}
+    wrong = [f"{f.name} {f.dataType.simpleString()} (stored: {have[f.name].simpleString() if f.name in have else 'none'})"
+             for f in wanted.fields if have.get(f.name) != f.dataType]
+    if wrong:
+        raise ValueError(f"{path} does not hold {', '.join(wrong)}")
+    rows = stored.select(*wanted.fieldNames())
+    rows = rows if where is None else rows.filter(where)
+    return rows if columns is None else rows.select(*columns)
+
+
 def publish(tables: Mapping[str, DataFrame], root: str, version: int,
             columns: Mapping[str, list[str]] | None = None) -> dict[str, int]:
-    """Write each table whole under ``v=<version>``, then move the pointer to it.
+    """Write each table whole under ``v=<version>``, then its manifest, then move the pointer to it.
 
-    Readers see the old version until the pointer moves. Returns rows per table.
+    The manifest has the rows and the schema of every table. Readers see the old version
+    until the pointer moves. Returns rows per table.
     """
-    counts = {}
+    counts, kinds = {}, {}
     spark = None
     for name, df in tables.items():
         spark = df.sparkSession
@@ -40,15 +61,33 @@ def publish(tables: Mapping[str, DataFrame], root: str, version: int,
         seen = Observation(name)
         (chosen.observe(seen, F.count(F.lit(1)).alias("rows"))
          .write.mode("overwrite").parquet(f"{root}/v={version}/{name}"))
-        counts[name] = seen.get["rows"]
+        counts[name], kinds[name] = seen.get["rows"], chosen.schema.json()
+    listed = spark.createDataFrame([(n, counts[n], kinds[n]) for n in counts], _MANIFEST)
+    listed.coalesce(1).write.mode("overwrite").json(f"{root}/v={version}/_manifest")
     pointer = spark.range(1).select(F.lit(version).alias("version"))
     pointer.write.mode("overwrite").json(f"{root}/current")
     return counts
 
 
+_MANIFEST = "name string, rows long, schema string"
+
+
+def _current(spark: SparkSession, root: str) -> int:
+    return spark.read.schema("version int").json(f"{root}/current").first().version
+
+
+def manifest(spark: SparkSession, root: str) -> dict[str, dict]:
+    """name -> rows and schema of the tables of the current version."""
+    listed = spark.read.schema(_MANIFEST).json(f"{root}/v={_current(spark, root)}/_manifest").collect()
+    return {r["name"]: {"rows": r["rows"], "schema": StructType.fromJson(json.loads(r["schema"]))} for r in listed}
+
+
+def catalog_path(spark: SparkSession, root: str, name: str) -> str:
+    return f"{root}/v={_current(spark, root)}/{name}"
+
+
 def open_catalog(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.schema("version int").json(f"{root}/current").first().version
-    return spark.read.parquet(f"{root}/v={version}/{name}")
+    return spark.read.parquet(catalog_path(spark, root, name))
 
 
 def split_by_rules(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:

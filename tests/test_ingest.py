@@ -85,6 +85,20 @@ def test_publish_moves_the_pointer_last(spark, tmp_path):
     assert tables.publish({"foods": spark.range(5)}, root, 1) == {"foods": 5}
     tables.publish({"foods": spark.range(7)}, root, 2)
     assert tables.open_catalog(spark, root, "foods").count() == 7
+    assert {n: t["rows"] for n, t in tables.manifest(spark, root).items()} == {"foods": 7}
+    assert tables.manifest(spark, root)["foods"]["schema"].names == ["id"]
+
+
+def test_a_table_is_read_pruned_and_checked(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "id long, name string, other double").write.parquet(path)
+    rows = tables.read_table(spark, path, "id long, name string", ["name"], F.col("id") > 1)
+    assert [tuple(r) for r in rows.collect()] == [("b",)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,name:string>" in plan and "GreaterThan(id,1)" in plan
+    for wrong in ("id int", "id long, gone string"):
+        with pytest.raises(ValueError):
+            tables.read_table(spark, path, wrong)
 
 
 def test_repeating_a_run_does_not_append_twice(spark, tmp_path):
