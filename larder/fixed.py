@@ -199,8 +199,3 @@ IRREGULAR_PLURALS = {
     "cookies": "cookie", "brownies": "brownie", "pies": "pie", "smoothies": "smoothie",
     "veggies": "veggie", "prairies": "prairie", "calories": "calorie",
 }
-
-# --- Own values: letters folded before matching (accents removed) ------------
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-UNACCENTED = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
-assert len(ACCENTED) == len(UNACCENTED)

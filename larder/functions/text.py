@@ -5,6 +5,9 @@ Nothing here is a Python UDF, so a projection over these stays in the JVM.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
@@ -25,9 +28,30 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
 
 
+@cache
+def _plain_letters() -> tuple[str, str]:
+    """(letters that decompose into another and marks, that other letter); marks follow at the end of the first.
+
+    Hangul syllables decompose into letters, not marks, and stay.
+    """
+    accented, plain, marks = [], [], []
+    for n in range(0x80, sys.maxunicode + 1):
+        c = chr(n)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        parts = unicodedata.normalize("NFD", c)
+        letters = "".join(p for p in parts if unicodedata.category(p) != "Mn")
+        if len(letters) == 1 and letters != c and c.lower() == c:
+            accented.append(c)
+            plain.append(letters)
+    return "".join(accented + marks), "".join(plain)
+
+
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), fixed.ACCENTED, fixed.UNACCENTED)
+    """Lower case without accents: letters give up their marks, marks that stand alone go."""
+    accented, plain = _plain_letters()
+    return F.translate(F.lower(c), accented, plain)
 
 
 def index_tokens(c: Column) -> Column:

@@ -32,9 +32,10 @@ def reference(food_id: Column, custom_food_id: Column) -> Column:
 
 
 def timeline(log: DataFrame, keys: Sequence[str] = ("user_id",), date: str | None = None) -> DataFrame:
-    """Entries with what they amount to; order is ``logged_at``."""
+    """Entries with what they amount to; ``place`` is their order in the day, by the time they were logged."""
     rows = live(log, date, date) if date else live(log)
-    return rows.select(*keys, "id", "local_date", "logged_at", "name", "emoji", "grams", "portion_qty", "portion_label",
+    rows = numbered(rows, [*keys, "local_date"], [F.col("logged_at"), F.col("id")], "place")
+    return rows.select(*keys, "place", "id", "local_date", "logged_at", "name", "emoji", "grams", "portion_qty", "portion_label",
                        maths.scaled(F.col("grams"), F.col("energy_kcal")).alias("kcal"),
                        maths.scaled(F.col("grams"), F.col("protein_g")).alias("protein"),
                        maths.scaled(F.col("grams"), F.col("fat_g")).alias("fat"),

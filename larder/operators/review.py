@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from larder.operators.changes import Merge, audit_rows, change_row
-from larder.operators.relational import differs, salted_join
+from larder.operators.relational import differs, indexed, salted_join
 
 
 def prep_lists(preps: DataFrame) -> DataFrame:
@@ -73,12 +73,13 @@ def duplicate_names(items: DataFrame) -> DataFrame:
 
 
 def cluster_items(items: DataFrame, preps: DataFrame, min_size: int = 2, k: int | None = None) -> DataFrame:
-    """Items by size, with their preparation labels; all of them unless ``k`` is given."""
+    """Items by size, ``place`` counting from 0, with their preparation labels; all unless ``k`` is given."""
     rows = items.filter(F.col("n_foods") >= min_size)
     order = [F.col("n_foods").desc(), F.col("merged_food_id")]
     if k is not None:
         rows = rows.orderBy(*order).limit(k)
-    return rows.join(prep_lists(preps), "merged_food_id", "left").select(
+    return indexed(rows, order, "place").join(prep_lists(preps), "merged_food_id", "left").select(
+        "place",
         "merged_food_id", "emoji", "display_name", "n_foods", "n_preps", "variable_fat",
         "food_category", "review_status", "confidence", "preps",
     )

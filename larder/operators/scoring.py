@@ -88,7 +88,12 @@ def enrich_candidates(items: DataFrame, preps: DataFrame, foods: DataFrame, attr
         .join(nested, "merged_food_id").join(names, "merged_food_id", "left")
         .join(identity, "merged_food_id", "left")
     )
-    return rows.orderBy("brand_flagged", "merged_food_id").limit(limit) if limit is not None else rows
+    return rows.orderBy(*enrich_order()).limit(limit) if limit is not None else rows
+
+
+def enrich_order() -> list[Column]:
+    """Brands last, then by id: the order items are asked in."""
+    return [F.col("brand_flagged"), F.col("merged_food_id")]
 
 
 # --- batches --------------------------------------------------------------------

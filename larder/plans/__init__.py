@@ -1,5 +1,5 @@
 """Registered queries: each operator applied to the standard tables."""
 
 from larder.plans import (  # noqa: F401
-    catalogue, grouping, ingesting, logbook, merges, nutrients, plates, publishing, requests, searches, streams, texts,
+    catalogue, grouping, ingesting, logbook, merges, nutrients, ordering, plates, publishing, requests, searches, streams, texts,
 )

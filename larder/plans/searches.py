@@ -9,7 +9,7 @@ from larder.operators import catalog, search
 from larder.plans import roles
 from larder.plans.registry import query
 
-TOKENS = "regexp_extract_all(translate(lower({}), '" + fixed.ACCENTED + "', '" + fixed.UNACCENTED + "'), '[\\p{{L}}\\p{{N}}]+')"
+TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
 FIELDS = ("name", "prep", "aka", "members")
 
 
