@@ -12,6 +12,7 @@ from larder.plans.registry import query
 from larder.schemas import ITEMS, conform
 from larder.session import fresh_path
 from larder.sources import tables
+from larder.sources.buckets import BucketTable
 
 CUT = "1999-01-01"
 
@@ -85,6 +86,49 @@ def release_upsert(spark, sf):
     return _upsert(spark, sf).snapshot
 
 
+# A small second release: customers who ordered in the last month of the table.
+_LATE_SQL = f"""{RELEASE_SQL}, late AS (SELECT n.* FROM new n WHERE fdc_id IN (
+  SELECT o_custkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY))"""
+
+
+@query("release_buckets", f"""
+WITH {_LATE_SQL}
+SELECT fdc_id, description, food_category, fat_g, source_version FROM late
+UNION ALL SELECT fdc_id, description, food_category, fat_g, source_version FROM old WHERE fdc_id NOT IN (SELECT fdc_id FROM late)""")
+def release_buckets(spark, sf):
+    """The release applied to a table in buckets, of which only the touched ones are written again."""
+    old, new = releases(spark, sf)
+    orders = roles.table(spark, sf, "orders")
+    newest = orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("since"))
+    recent = orders.crossJoin(F.broadcast(newest)).filter("o_orderdate >= since").select(F.col("o_custkey").alias("fdc_id"))
+    stored = BucketTable(spark, fresh_path(spark, "customers"), "fdc_id")
+    stored.create(old, 64)
+
+    def upserted(before, rows):
+        return changes.upsert(before, rows, "fdc_id", _TRACKED, ["fat_g"], version="source_version").snapshot
+
+    stored.change(new.join(recent, "fdc_id", "left_semi"), upserted)
+    return stored.read()
+
+
+@query("children_buckets", """
+WITH parents AS (SELECT o_orderkey AS k FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY)
+SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT k FROM parents)
+UNION ALL SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity + 1 FROM lineitem WHERE l_orderkey IN (SELECT k FROM parents) AND l_linenumber <> 2""")
+def children_buckets(spark, sf):
+    """Lines of the newest orders sent again, without their second ones; other orders' buckets stay as they are."""
+    lines = roles.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    orders = roles.table(spark, sf, "orders")
+    newest = orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("since"))
+    parents = orders.crossJoin(F.broadcast(newest)).filter("o_orderdate >= since").select(F.col("o_orderkey").alias("l_orderkey"))
+    stored = BucketTable(spark, fresh_path(spark, "lines"), "l_orderkey")
+    stored.create(lines, 64)
+    sent = lines.filter("l_linenumber <> 2").withColumn("l_quantity", F.col("l_quantity") + 1)
+    # parents with no line left must be touched too: they come as the keys
+    stored.change(parents, lambda before, keys: changes.replace_children(before, sent, keys, "l_orderkey"))
+    return stored.read()
+
+
 @query("release_counts", f"""
 WITH {RELEASE_SQL}
 SELECT (SELECT count(*) FROM fresh) AS inserted,

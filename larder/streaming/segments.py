@@ -11,7 +11,6 @@ until the manifests before it are gone too, for readers that are still at work o
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from larder.session import remove
+from larder.sources.files import Manifests
 
 BATCH = "batch"
 #: Segments of a tier that are merged into one; manifests that are kept.
@@ -46,58 +46,22 @@ class Manifest:
         return any(s.first <= batch <= s.last for s in self.segments)
 
 
-class Files:
-    """Small files of the store, through the file system that the path names."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.path_of = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.copy = spark._jvm.org.apache.hadoop.io.IOUtils
-
-    def names(self, folder: str) -> list[str]:
-        target = self.path_of(folder)
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(target)) if self.fs.exists(target) else []
-
-    def read(self, path: str) -> str:
-        target = self.path_of(path)
-        size, source = self.fs.getFileStatus(target).getLen(), self.fs.open(target)
-        try:
-            return bytes(source.readNBytes(int(size))).decode()
-        finally:
-            source.close()
-
-    def write(self, path: str, text: str) -> None:
-        """Appears whole under its name, or not at all."""
-        part = self.path_of(f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
-        out = self.fs.create(part, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if not self.fs.rename(part, self.path_of(path)):
-            raise OSError(f"{path} was not written")
-
-
 class Store:
     def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
         self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
-        self.files = Files(spark, path)
-
-    def _versions(self) -> list[int]:
-        return [int(n.removesuffix(".json")) for n in self.files.names(f"{self.path}/manifest") if n[:1].isdigit()]
+        self.manifests = Manifests(spark, self.path, KEPT)
+        self.files = self.manifests.files
 
     def manifest(self) -> Manifest:
-        versions = self._versions()
+        versions = self.manifests.versions()
         if not versions:
             return Manifest(0, (), {})
-        return self._load(versions[-1])
-
-    def _load(self, version: int) -> Manifest:
-        said = json.loads(self.files.read(f"{self.path}/manifest/{version:012d}.json"))
-        return Manifest(version, tuple(Segment(**s) for s in said["segments"]), said["notes"])
+        said = self.manifests.load(versions[-1])
+        return Manifest(versions[-1], tuple(Segment(**s) for s in said["segments"]), said["notes"])
 
     def _commit(self, old: Manifest, segments: list[Segment], notes: dict) -> Manifest:
         new = Manifest(old.version + 1, tuple(sorted(segments, key=lambda s: s.first)), notes)
-        self.files.write(f"{self.path}/manifest/{new.version:012d}.json",
-                         json.dumps({"segments": [asdict(s) for s in new.segments], "notes": notes}))
+        self.manifests.commit(new.version, {"segments": [asdict(s) for s in new.segments], "notes": notes})
         return new
 
     def add(self, rows: DataFrame, batch: int, merge: Merge | None = None, notes: dict | None = None) -> None:
@@ -125,10 +89,7 @@ class Store:
 
     def _tidy(self) -> None:
         """Drop old manifests, and folders that none of the kept ones lists."""
-        versions = self._versions()
-        for version in versions[:-KEPT]:
-            remove(self.spark, f"{self.path}/manifest/{version:012d}.json")
-        listed = {s.folder for v in versions[-KEPT:] for s in self._load(v).segments}
+        listed = {s["folder"] for said in self.manifests.tidy() for s in said["segments"]}
         for name in self.files.names(f"{self.path}/data"):
             if name not in listed:
                 remove(self.spark, f"{self.path}/data/{name}")

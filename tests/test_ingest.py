@@ -118,3 +118,33 @@ def test_rules_reject_human_typed_rows(spark):
     assert [r.name for r in good.collect()] == ["ok"]
     assert {r.name: r.broken for r in bad.collect()} == {
         " ": ["name"], "b": ["serving_g"], "c": ["serving_label"], "d": ["emoji"], "e": ["carb_g"]}
+
+
+def test_a_small_release_rewrites_few_buckets(spark, tmp_path):
+    from larder.operators import changes
+    from larder.sources.buckets import BucketTable
+
+    table = BucketTable(spark, str(tmp_path), "id")
+    rows = spark.range(5000).select("id", F.lit("old").alias("v"))
+    table.create(rows, 32)
+    stamps = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("part-*")}
+    incoming = spark.createDataFrame([(7, "new"), (9000, "fresh")], "id long, v string")
+    apply = lambda before, sent: changes.upsert(before, sent, "id", ["v"]).snapshot
+    assert table.change(incoming, apply) <= 2
+    written = [p for p in tmp_path.rglob("part-*") if p not in stamps]
+    assert 1 <= len({p.parent for p in written}) <= 2
+    assert all(p.stat().st_mtime_ns == t for p, t in stamps.items())
+    got = {r.id: r.v for r in table.read().collect()}
+    assert len(got) == 5001 and got[7] == "new" and got[9000] == "fresh" and got[8] == "old"
+
+    # a change that fails leaves the table as it was
+    with pytest.raises(ZeroDivisionError):
+        table.change(incoming, lambda before, sent: 1 / 0)
+    assert table.read().count() == 5001
+    for _ in range(6):
+        table.change(incoming.withColumn("v", F.lit("again")), apply)
+    assert {r.id: r.v for r in table.read().collect()}[7] == "again"
+    assert len(list((tmp_path / "data").iterdir())) <= 5
+    # all rows of a bucket can go
+    assert table.change(spark.range(5000).toDF("id"), lambda before, keys: before.join(keys, "id", "left_anti")) == 32
+    assert [r.id for r in table.read().collect()] == [9000]
