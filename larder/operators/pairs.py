@@ -38,7 +38,12 @@ def _rows(basket: DataFrame, keep: int) -> DataFrame:
     return basket.join(counted, "food_id")
 
 
-def _asked(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _large(rows: DataFrame, keep: int) -> DataFrame:
+    """(recipe_id, m): recipes of more than ``keep`` foods."""
+    return rows.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > keep)
+
+
+def _asked(rows: DataFrame, large: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(partners, skipped, floor): where which partner is looked for.
 
     In a recipe of more than ``keep`` foods the keep + 1 rarest score, with any food of
@@ -48,7 +53,6 @@ def _asked(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]
     of a partner, smallest first, the last ones need not be searched: what shares only
     those shares too few. Sizes are told apart by powers of two.
     """
-    large = rows.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > keep)
     within_large = rows.join(large, "recipe_id").withColumn("level", F.floor(F.log2("m")))
     short = top_k(within_large, ["recipe_id"], [F.col("n"), F.col("food_id")], keep + 1).drop("rn")
     rate = short.groupBy("recipe_id").agg(F.max("n").alias("r"))
@@ -108,18 +112,20 @@ def _completed(met: DataFrame, rows: DataFrame, skipped: DataFrame, floor: DataF
 def food_pairs(ingredients: DataFrame, keep: int = fixed.MAX_PAIRS_PER_FOOD, hold=materialise) -> DataFrame:
     """(food_id, pair_food_id, n_recipes, score): the best partners of every food.
 
-    ``ingredients`` is (recipe_id, food_id), repeats allowed. One path for recipes of
-    every size. The distinct rows are stored, since the counts and both sides of the
-    join read them; so are the partners to look for.
+    ``ingredients`` is (recipe_id, food_id), repeats allowed. The distinct rows are stored
+    with what is known of their foods, since both sides of the join read them. A recipe of
+    at most ``keep`` foods is asked for all of them; what larger ones need besides is worked
+    out where there are any.
     """
-    basket = hold(ingredients.select("recipe_id", "food_id").dropna().distinct(), "baskets")
-    rows = hold(_rows(basket, keep), "rows")
-    total = basket.agg(F.count_distinct("recipe_id").alias("n_recipes_all"))
-    partners, skipped, floor = _asked(rows, keep)
-    partners, skipped = hold(partners, "partners"), hold(skipped, "skipped")
-    pairs = _met(rows, partners)
-    if not skipped.isEmpty():
-        pairs = _completed(hold(pairs, "met"), rows, skipped, floor)
+    rows = hold(_rows(ingredients.select("recipe_id", "food_id").dropna().distinct(), keep), "rows")
+    total = rows.agg(F.count_distinct("recipe_id").alias("n_recipes_all"))
+    large = hold(_large(rows, keep), "large")
+    if large.isEmpty():
+        pairs = _met(rows, rows.filter("first").select("recipe_id", "food_id", "n"))
+    else:
+        partners, skipped, floor = _asked(rows, large, keep)
+        partners, skipped = hold(partners, "partners"), hold(skipped, "skipped")
+        pairs = _completed(hold(_met(rows, partners), "met"), rows, skipped, floor)
     scored = pairs.crossJoin(F.broadcast(total)).withColumn("score", mutual_information(
         F.col("n"), F.col("n_food"), F.col("n_pair"), F.col("n_recipes_all")))
     order = [F.col("score").desc(), F.col("n").desc(), F.col("pair_food_id")]
