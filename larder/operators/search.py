@@ -1,10 +1,11 @@
 """Ranked text search for a whole table of queries at once.
 
-The index is stored: each item's tokens in order, postings, the vocabulary, and the document
-counts of every beginning of a word, which give a prefix term its weight without reading
-what it matches. A query term is resolved against the vocabulary (small next to the
+The index is stored: each item's tokens in order, postings, and the vocabulary with its
+document counts. A query term is resolved against the vocabulary (small next to the
 postings), then each matched word meets the postings by plain equality, so there is no scan
-per query and no cross join. Words that occur almost everywhere are split over several tasks.
+per query and no cross join. Words that occur almost everywhere are split over several
+tasks. The documents of a term that matches one word are counted in the vocabulary; those
+of one that matches several are counted from the postings, of which nothing is stored.
 
 All terms of a query must be met. Its rarest few are read first; what they leave of the
 items narrows the postings before the common terms are read at all. A token with
@@ -28,8 +29,8 @@ from larder.session import materialise
 
 Hold = Callable[[DataFrame, str], DataFrame]
 
-#: Terms of a query that are read before the postings are narrowed; longest beginning that is counted.
-NARROW, LONGEST_HEAD = 3, 24
+#: Terms of a query that are read before the postings are narrowed.
+NARROW = 3
 #: Documents that the rarest grams of a query should reach to set its threshold, per wanted one.
 SEEDS = 8
 
@@ -39,7 +40,6 @@ class Index:
     texts: DataFrame       # item_id, len, tokens_<field> in order (word index)
     postings: DataFrame    # token, item_id, occurrences per column
     vocabulary: DataFrame  # token, n (documents), most (greatest occurrences)
-    heads: DataFrame | None  # term, n: documents with a word that begins so
     fields: tuple[str, ...]
 
     @property
@@ -72,12 +72,7 @@ def build_index(docs: DataFrame, key: str, fields: tuple[str, ...], hold: Hold =
     texts = hold(cut.withColumn("len", size), "texts")
     tokens = {f: F.col(f"tokens_{f}") for f in fields}
     postings, vocabulary = _counted(texts.select("item_id", F.explode(_tagged(tokens)).alias("t")), fields, hold)
-    words = F.array_distinct(F.concat(*tokens.values()))
-    beginnings = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.least(F.length(w), F.lit(LONGEST_HEAD))), lambda n: F.left(w, n)))))
-    heads = hold(texts.filter("len > 0").select(F.explode(beginnings).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("n")), "heads")
-    return Index(texts, postings, vocabulary, heads, fields)
+    return Index(texts, postings, vocabulary, fields)
 
 
 def build_gram_index(docs: DataFrame, key: str, column: str, hold: Hold = materialise) -> Index:
@@ -86,7 +81,7 @@ def build_gram_index(docs: DataFrame, key: str, column: str, hold: Hold = materi
     texts = hold(docs.select(F.col(key).alias("item_id"), grams.alias("grams")).withColumn("len", F.size("grams")), "texts")
     postings, vocabulary = _counted(
         texts.select("item_id", F.explode(_tagged({column: F.col("grams")})).alias("t")), (column,), hold)
-    return Index(texts, postings, vocabulary, None, (column,))
+    return Index(texts, postings, vocabulary, (column,))
 
 
 def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
@@ -110,6 +105,17 @@ def prefix_matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return keyed.join(wanted, "term", "left_semi").select("term", "token")
 
 
+def _documents(index: Index, matches: DataFrame) -> DataFrame:
+    """(term, n): the documents that hold any word that a term matches."""
+    sizes = matches.join(index.vocabulary.select("token", "n"), "token").groupBy("term").agg(
+        F.count(F.lit(1)).alias("words"), F.max("n").alias("n"))
+    several = matches.join(sizes.filter("words > 1").select("term"), "term", "left_semi")
+    pairs = salted_join(index.postings.select("token", "item_id"), several, ["token"], index.vocabulary.select("token", "n"),
+                        spread_by=["item_id"]).select("term", "item_id").distinct()
+    return sizes.filter("words = 1").select("term", "n").unionByName(
+        pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+
+
 def _weighted(index: Index, weights: Mapping[str, float], of: Callable[[str], Column]) -> Column:
     return sum((of(f) * F.lit(float(weights.get(f, 1.0))) for f in index.fields), F.lit(0.0))
 
@@ -186,12 +192,13 @@ def prefix_hits(queries: DataFrame, index: Index, weights: Mapping[str, float] =
                 hold: Hold = materialise) -> DataFrame:
     """(query_id, item_id, rank): documents holding every term as a word prefix, or as a phrase."""
     terms = query_terms(queries, text.query_tokens(F.col("text")))
-    matches = prefix_matches(terms.filter(~F.col("term").contains(" ")), index.vocabulary)
-    # phrases, and terms longer than the counted beginnings, are few: read whole and counted
-    long = matches.filter(F.length("term") > LONGEST_HEAD)
-    direct = hold(phrase_hits(index, terms.filter(F.col("term").contains(" ")), weights).unionByName(
-        term_hits(index, long, weights)), "direct")
-    seen = index.heads.unionByName(direct.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    words, phrases = terms.filter(~F.col("term").contains(" ")), terms.filter(F.col("term").contains(" "))
+    matches = prefix_matches(words, index.vocabulary)
+    seen = _documents(index, matches)
+    direct = None
+    if not phrases.isEmpty():
+        direct = hold(phrase_hits(index, phrases, weights), "phrases")
+        seen = seen.unionByName(direct.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     per_query = Window.partitionBy("query_id")
     placed = hold(_weighed(terms, seen, index).withColumns({
         "place": F.row_number().over(per_query.orderBy("n", "term")), "held": F.count(F.lit(1)).over(per_query)})
@@ -200,10 +207,11 @@ def prefix_hits(queries: DataFrame, index: Index, weights: Mapping[str, float] =
 
     def hits(of: DataFrame, items: DataFrame | None = None) -> DataFrame:
         own = of.select("term").distinct()
+        found = term_hits(index, matches.join(own, "term", "left_semi"), weights, items)
+        if direct is None:
+            return found
         some = direct if items is None else direct.join(items, "item_id", "left_semi")
-        short = matches.filter(F.length("term") <= LONGEST_HEAD)
-        return term_hits(index, short.join(own, "term", "left_semi"), weights, items).unionByName(
-            some.join(own, "term", "left_semi"))
+        return found.unionByName(some.join(own, "term", "left_semi"))
 
     few = hold(hits(first), "hits")
     asked = first.select("query_id", "term", "n_terms", "idf", "avg_len")
