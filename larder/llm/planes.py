@@ -14,17 +14,21 @@ any storage that Spark can reach will do.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from larder.session import Workspace
 
@@ -32,12 +36,15 @@ CHUNK = 1 << 16
 PLANES = 4
 LEVEL = 3
 END = 2
-#: Distinct pieces of text whose ids a task keeps, and the longest piece it keeps.
-KEPT_PIECES, KEPT_LENGTH = 1 << 19, 48
+#: Bytes of text that are encoded at once, pieces in a row, and the most characters of such a piece.
+BLOCK, ROW, LONGEST = 1 << 25, 512, 48
 
 #: Per plane: length in bytes and crc32.
 _INDEX = struct.Struct(f"<{2 * PLANES}I")
 _BLANKS = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_CUT = re.compile("(?=[ \n])")
+#: A space and letters, all of them letters in every reading of the splitting pattern.
+_LATIN = "^ [A-Za-zÀ-ÖØ-öø-ɏ]+$"
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -63,38 +70,80 @@ def unpack(index: bytes, payload: bytes, n: int) -> np.ndarray:
 
 
 class Coder:
-    """Ids of texts by a byte-level tokenizer, with the ids of short pieces kept.
+    """Ids of texts by a byte-level tokenizer, each different piece of them encoded once.
 
     A text is cut before a space or line end that follows a visible character. Splitting
     into words ends there whatever follows, so the ids of the pieces are those of the
     text. A text with any other order of white space goes to the tokenizer whole.
+
+    Arrow finds the different pieces. They are put in rows for the tokenizer, each after
+    its space or line end; a token that begins with one begins a piece, and no other does.
+    Pieces of Latin letters are one word each, so their rows need only be split at spaces,
+    which the library does faster than by its pattern. Long pieces and those that are
+    blank alone stand in no row. Nothing is kept from one call to the next.
     """
 
     def __init__(self, model: str):
-        self.model, self.kept = Tokenizer.from_str(model), {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            plain = not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text
-                         or any(c in text for c in _BLANKS))
-            split.append(text.replace("\n", " \n").split(" ") if plain else None)
-        # A piece stands for " " and itself, save the first of a text and one that begins a line.
-        new = {p for pieces in split if pieces for p in pieces[1:] if p not in self.kept}
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept = {}
-            new = {p for pieces in split if pieces for p in pieces[1:]}
-        fresh = sorted(new)
-        own = dict(zip(fresh, self._whole([p if p[:1] == "\n" else " " + p for p in fresh])))
-        long = {k: v for k, v in own.items() if len(k) > KEPT_LENGTH}
-        self.kept.update((k, v) for k, v in own.items() if k not in long)
-        kept = self.kept
-        known = (lambda p: long.get(p) or kept[p]) if long else kept.__getitem__
-        firsts = self._whole([pieces[0] if pieces else text for pieces, text in zip(split, texts)])
-        return [first + b"".join(map(known, pieces[1:])) if pieces else first for pieces, first in zip(split, firsts)]
+        described = json.loads(model)
+        splitter = described["pre_tokenizer"] or {}
+        if (described["normalizer"] or splitter.get("type") != "ByteLevel" or splitter["add_prefix_space"]
+                or not splitter.get("use_regex", True)):
+            raise ValueError("not a byte-level tokenizer that splits text by the usual pattern alone")
+        self.model, self.spaced = Tokenizer.from_str(model), Tokenizer.from_str(model)
+        self.spaced.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            pre_tokenizers.Split("Ġ", "merged_with_next")])
+        vocabulary = self.model.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token[0] in "ĠĊ"]] = True
+
+    @staticmethod
+    def _whole(model: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts encoded one by one, number of ids of each)."""
+        ids = [np.array(e.ids, "<u4") for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _rows(self, model: Tokenizer, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of pieces encoded in rows, number of ids of each)."""
+        rows = pa.ListArray.from_arrays(pa.array([*range(0, len(pieces), ROW), len(pieces)], pa.int32()), pieces)
+        flat, _ = self._whole(model, pc.binary_join(rows, pa.scalar("", pieces.type)).to_pylist())
+        places = np.flatnonzero(self.begins[flat])
+        if len(places) != len(pieces):
+            raise ValueError("a token that begins with a blank is not the first of its piece")
+        return flat, np.diff(places, append=len(flat))
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the texts, number of ids of each)."""
+        plain = [not ("  " in t or "\n " in t or " \n" in t or "\n\n" in t or any(c in t for c in _BLANKS))
+                 for t in texts]
+        # What stands before the first cut, or the whole text where there is none to make.
+        firsts = [_CUT.split(t, maxsplit=1)[0] if p else t for t, p in zip(texts, plain)]
+        rests = pa.array([t[len(f):] for t, f in zip(texts, firsts)], pa.large_string())
+        # A cut is marked by a blank that stands in no plain text; nothing stands before the first.
+        marked = pc.replace_substring(pc.replace_substring(rests, " ", "\t "), "\n", "\t\n")
+        split = pc.split_pattern(marked, "\t")
+        offsets, words = np.asarray(split.offsets), split.flatten().dictionary_encode()
+        pieces = words.dictionary
+        sizes = np.asarray(pc.utf8_length(pieces))
+        in_row = (sizes > 1) & (sizes <= LONGEST)
+        latin = in_row & np.asarray(pc.match_substring_regex(pieces, _LATIN))
+        groups = [latin, in_row & ~latin, ~in_row]
+        held = [pieces.filter(pa.array(g)) for g in groups]
+        parts = [self._rows(self.spaced, held[0]), self._rows(self.model, held[1]),
+                 self._whole(self.model, held[2].to_pylist()), self._whole(self.model, firsts)]
+        # The place of each piece among the groups; the firsts follow.
+        place = np.empty(len(pieces), np.int32)
+        place[np.concatenate([np.flatnonzero(g) for g in groups])] = np.arange(len(pieces))
+        codes = place[np.asarray(words.indices)]
+        codes[offsets[:-1]] = len(pieces) + np.arange(len(texts))
+        counts = np.concatenate([n for _, n in parts])
+        flat = np.concatenate([x for x, _ in parts])
+        # Every piece's ids in turn: a piece's first place, less where it goes, plus where each id goes.
+        lengths = counts[codes]
+        ends = np.cumsum(lengths)
+        at = np.repeat((np.cumsum(counts) - counts)[codes] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        return flat[at], np.diff(np.concatenate([[0], ends])[offsets])
 
 
 @lru_cache(maxsize=2)
@@ -119,7 +168,6 @@ def write(documents: DataFrame, tokenizer_json: str, path: str, id_col: str = "d
         coder, shard = coder_of(model.value), TaskContext.get().partitionId()
         tail, start, chunk = np.empty(0, "<u4"), 0, 0
         waiting: list[dict] = []
-        stop = np.array([end], "<u4").tobytes()
 
         def rows(kind: list, **columns: list) -> pa.RecordBatch:
             n = len(kind)
@@ -133,23 +181,24 @@ def write(documents: DataFrame, tokenizer_json: str, path: str, id_col: str = "d
             while len(tail) >= CHUNK or last and len(tail):
                 index, payload = pack(tail[:CHUNK])
                 n, stops = min(len(tail), CHUNK), (chunk + 1) * CHUNK
-                held = [d for d in waiting if d["first"] < stops]
+                # Documents follow one another: those that begin in a chunk come first, those that end later last.
+                held = waiting[:bisect_left(waiting, stops, key=lambda d: d["first"])]
                 yield rows([0], shard=[shard], chunk=[chunk], first=[chunk * CHUNK], n_ids=[n], index=[index],
                            payload=[payload], docs=[held])
-                waiting = [d for d in waiting if d["first"] + d["n_ids"] > stops]
+                waiting = waiting[bisect_right(waiting, stops, key=lambda d: d["first"] + d["n_ids"]):]
                 tail, chunk = tail[CHUNK:], chunk + 1
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                texts = [t or "" for t in batch.column("text")[lo:lo + 512].to_pylist()]
-                ids = [x + stop for x in coder.ids(texts)]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            for lo, hi in _blocks(batch.column("text")):
+                texts = [t or "" for t in batch.column("text")[lo:hi].to_pylist()]
+                flat, sizes = coder.ids(texts)
+                flat, sizes = np.insert(flat, np.cumsum(sizes), np.uint32(end)), sizes + 1
                 begins = start + np.cumsum(sizes) - sizes
-                yield rows(ids, doc_id=batch.column("doc_id")[lo:lo + 512], shard=[shard] * len(ids),
+                yield rows([None] * len(texts), doc_id=batch.column("doc_id")[lo:hi], shard=[shard] * len(texts),
                            first=begins, n_ids=sizes)
                 waiting += [{"first": int(f), "n_ids": int(n)} for f, n in zip(begins, sizes)]
-                start += int(sizes.sum())
-                yield from chunks(np.frombuffer(b"".join(ids), "<u4"), False)
+                start += len(flat)
+                yield from chunks(flat, False)
         yield from chunks(np.empty(0, "<u4"), True)
 
     source = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -159,6 +208,18 @@ def write(documents: DataFrame, tokenizer_json: str, path: str, id_col: str = "d
      .write.mode("overwrite").partitionBy("kind").parquet(path))
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most BLOCK bytes, or one longer text."""
+    lo, total = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > lo and total + size > BLOCK:
+            yield lo, i
+            lo, total = i, 0
+        total += size
+    if len(texts):
+        yield lo, len(texts)
+
+
 _STORE = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()),
                     ("n_ids", pa.int64()), ("index", pa.binary()), ("payload", pa.binary()),
                     ("docs", pa.list_(pa.struct([("first", pa.int64()), ("n_ids", pa.int64())])))])

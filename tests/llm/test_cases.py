@@ -171,6 +171,26 @@ def test_byte_planes(spark, odd, none, tmp_path):
         planes.unpack(index, payload[:-1] + b"\x00", 20)
 
 
+def test_byte_plane_ids_of_any_order_of_blanks():
+    from tokenizers import Tokenizer
+    path, draw = public_tokenizers.path("byte_bpe_50k.json"), random.Random(8)
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    parts = ["a", "Bc", " ", " ", "\n", "!", "é", "ÿǅ", "日", "'s", "1", "<|endoftext|>", "\u180e", "\u0085", "Ġ", "x" * 60]
+    texts = ["", " ", "\n", "a ", "a\n", " \n", "\na b"] + [
+        "".join(draw.choice(parts) for _ in range(draw.randrange(40))) for _ in range(2000)]
+    flat, sizes = planes.Coder(text).ids(texts)
+    want = [e.ids for e in Tokenizer.from_str(text).encode_batch(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in want]
+    assert flat.tolist() == [i for x in want for i in x]
+    for texts in ([""], ["a"], ["  "]):
+        flat, sizes = planes.Coder(text).ids(texts)
+        assert flat.tolist() == Tokenizer.from_str(text).encode(texts[0], add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        planes.Coder(text.replace('"add_prefix_space":false', '"add_prefix_space":true')
+                     .replace('"add_prefix_space": false', '"add_prefix_space": true'))
+
+
 def test_edits_against_whole_encoding(coder):
     draw = random.Random(4)
     bits = ["", " ", "  ", "\n", "'s", "abc", " word", "123", "!?", "\t x", "é", "\x1c", "日本"]
