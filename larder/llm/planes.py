@@ -37,7 +37,9 @@ PLANES = 4
 LEVEL = 3
 END = 2
 #: Bytes of text that are encoded at once, pieces in a row, and the most characters of such a piece.
-BLOCK, ROW, LONGEST = 1 << 25, 512, 48
+BLOCK, ROW, LONGEST = 1 << 23, 512, 48
+#: Pieces whose ids are put in place at once.
+STEP = 1 << 16
 
 #: Per plane: length in bytes and crc32.
 _INDEX = struct.Struct(f"<{2 * PLANES}I")
@@ -100,7 +102,8 @@ class Coder:
     @staticmethod
     def _whole(model: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of texts encoded one by one, number of ids of each)."""
-        ids = [np.array(e.ids, "<u4") for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        # One text in a call: what the library holds for a token is many times its text.
+        ids = [np.array(e.ids, "<u4") for t in texts for e in model.encode_batch_fast([t], add_special_tokens=False)]
         return np.concatenate([np.empty(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
 
     def _rows(self, model: Tokenizer, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,9 +123,10 @@ class Coder:
         firsts = [_CUT.split(t, maxsplit=1)[0] if p else t for t, p in zip(texts, plain)]
         rests = pa.array([t[len(f):] for t, f in zip(texts, firsts)], pa.large_string())
         # A cut is marked by a blank that stands in no plain text; nothing stands before the first.
-        marked = pc.replace_substring(pc.replace_substring(rests, " ", "\t "), "\n", "\t\n")
-        split = pc.split_pattern(marked, "\t")
-        offsets, words = np.asarray(split.offsets), split.flatten().dictionary_encode()
+        rests = pc.replace_substring(pc.replace_substring(rests, " ", "\t "), "\n", "\t\n")
+        rests = pc.split_pattern(rests, "\t")
+        offsets, words = np.array(rests.offsets), rests.flatten().dictionary_encode()
+        del rests
         pieces = words.dictionary
         sizes = np.asarray(pc.utf8_length(pieces))
         in_row = (sizes > 1) & (sizes <= LONGEST)
@@ -138,12 +142,15 @@ class Coder:
         codes[offsets[:-1]] = len(pieces) + np.arange(len(texts))
         counts = np.concatenate([n for _, n in parts])
         flat = np.concatenate([x for x, _ in parts])
-        # Every piece's ids in turn: a piece's first place, less where it goes, plus where each id goes.
         lengths = counts[codes]
-        ends = np.cumsum(lengths)
-        at = np.repeat((np.cumsum(counts) - counts)[codes] - ends + lengths, lengths)
-        at += np.arange(len(at))
-        return flat[at], np.diff(np.concatenate([[0], ends])[offsets])
+        begins, ends = np.cumsum(counts) - counts, np.cumsum(lengths)
+        whole = np.empty(ends[-1], "<u4")
+        for lo in range(0, len(codes), STEP):
+            # Every piece's ids in turn: where they begin, less where they go, plus where each id goes.
+            some, to = lengths[lo:lo + STEP], ends[lo:lo + STEP]
+            first, last = to[0] - some[0], to[-1]
+            whole[first:last] = flat[np.repeat(begins[codes[lo:lo + STEP]] - to + some, some) + np.arange(first, last)]
+        return whole, np.diff(np.concatenate([[0], ends])[offsets])
 
 
 @lru_cache(maxsize=2)
