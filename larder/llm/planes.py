@@ -272,17 +272,17 @@ def _pieces(spark: SparkSession, path: str, sums: bool) -> tuple[DataFrame, Data
                 ids = unpack(row["index"], row["payload"], row["n"])
                 found = [(w["first"], w["n_ids"]) for w in row["docs"]]
                 cut = [ids[max(f - row["base"], 0):f - row["base"] + n] for f, n in found]
-                value = pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))
                 crc = [zlib.crc32(x.tobytes()) if len(x) == n else None for x, (_, n) in zip(cut, found)]
                 if sums:
-                    value = pa.array([None if c is not None else x.astype(np.int32) for c, x in zip(crc, cut)],
-                                     pa.list_(pa.int32()))
+                    value = pa.array([None if c is not None else x.tobytes() for c, x in zip(crc, cut)], pa.binary())
+                else:
+                    value = pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["shard"]] * len(cut), pa.int32()), pa.array([f for f, _ in found], pa.int64()),
                      pa.array([row["chunk"]] * len(cut), pa.int32()), pa.array(crc, pa.int64()), value],
                     ["shard", "first", "chunk", "crc", "piece"])
 
-    pieces = chunks.mapInArrow(run, "shard int, first long, chunk int, crc long, piece array<int>")
+    pieces = chunks.mapInArrow(run, f"shard int, first long, chunk int, crc long, piece {'binary' if sums else 'array<int>'}")
     if not sums:
         return placed, pieces.select("shard", "first", "chunk", "piece")
 
@@ -292,7 +292,7 @@ def _pieces(spark: SparkSession, path: str, sums: bool) -> tuple[DataFrame, Data
             for parts in batch.column("parts"):
                 value = 0
                 for part in parts.as_py():
-                    value = zlib.crc32(np.array(part["piece"], "<u4").tobytes(), value)
+                    value = zlib.crc32(part["piece"], value)
                 crc.append(value)
             yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("first"), pa.array(crc, pa.int64())],
                                              ["shard", "first", "ids_crc32"])
