@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larder.llm import codes, lexical, pii, queries, trees
 from tests.llm import brute
@@ -270,3 +271,31 @@ def test_personal_data_of_odd_rows(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
     cut = {r.doc_id: r.text for r in pii.redacted(docs.filter("doc_id < 4")).collect()}
     assert cut == {1: "[EMAIL] and [IP]", 2: None, 3: ""}
+
+
+def test_trees_are_fitted_on_every_different_text(spark):
+    texts = spark.createDataFrame(planted(6000, 3, False), "doc_id long, text string")
+    want = Counter()
+    for text, seed in texts.select("text", F.xxhash64("text")).collect():
+        for features, label in pii._examples(text, seed & 0xFFFF):
+            want[label, seed % 4 == 0] += 1
+    got = pii._cells(texts.unionByName(texts), "text").groupBy("label", "held").agg(F.sum("n").alias("n"))
+    assert {(r.label, r.held): r.n for r in got.collect()} == dict(want)
+    assert sum(want.values()) > 40_000
+
+
+def test_sums_over_parts_grow_the_same_trees():
+    draw = np.random.default_rng(7)
+    cells, n = draw.integers(0, 8, (900, 3)).astype(np.uint8), draw.integers(1, 5, 900)
+    y = (cells[:, 0] > 3) ^ (cells[:, 1] > 5)
+
+    def of(at, n=n):
+        return lambda grown, tree, level, start: trees.sums(
+            cells[at], y[at], n[at], trees.advanced(cells[at], np.full(len(y[at]), start), grown), tree, level, 8)
+
+    parts = [of(slice(lo, lo + 300)) for lo in (0, 300, 600)]
+    whole = trees.grow(of(slice(None)), 8, 0.5, rounds=8)
+    split = trees.grow(lambda *a: sum(part(*a) for part in parts), 8, 0.5, rounds=8)
+    assert all(np.array_equal(a, b) for s, t in zip(whole[0], split[0]) for a, b in zip(s, t))
+    copied = trees.grow(of(np.repeat(np.arange(900), n), np.ones(900)), 8, 0.5, rounds=8)
+    assert all(np.array_equal(a, b) for s, t in zip(whole[0], copied[0]) for a, b in zip(s, t))
