@@ -180,3 +180,15 @@ def test_gram_ranks_equal_an_fts5_index(spark, built):
     match = " OR ".join(f'"{text[i:i + 3]}"' for i in range(len(text) - 2))
     want = {i: round(x, 9) for i, x in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (match,)).fetchall()}
     assert {i: round(x, 9) for i, x in hits(spark, built, text, fuzzy=True)} == want and want
+
+
+def test_an_index_is_built_in_as_many_tasks_as_its_words_need(spark, monkeypatch):
+    docs = spark.range(600).coalesce(1).selectExpr("id", "concat('word', id % 50, ' a', id, ' b', id % 7) AS body")
+    asked = spark.createDataFrame([(1, "word3 b"), (2, "a1")], "query_id long, text string")
+    whole = search.build_index(docs, "id", ("body",)), search.build_gram_index(docs, "id", "body")
+    monkeypatch.setattr(search, "TASK_ROWS", 100)
+    cut = search.build_index(docs, "id", ("body",)), search.build_gram_index(docs, "id", "body")
+    assert len(cut[0].postings.inputFiles()) > 10 and len(cut[1].postings.inputFiles()) > 20
+    for find, a, b in zip((search.prefix_hits, search.gram_hits), whole, cut):
+        want, got = ({(r.query_id, r.item_id, round(r.rank, 9)) for r in find(asked, i).collect()} for i in (a, b))
+        assert got == want and got
