@@ -73,18 +73,22 @@ def _met(rows: DataFrame, partners: DataFrame) -> DataFrame:
     """(food_id, n_food, pair_food_id, n_pair, n): recipes in which a food meets a partner.
 
     Each recipe is cut into as many parts as its pairs need tasks; a part is a hash of
-    the food, so the same path serves recipes of every size.
+    the food, so the same path serves recipes of every size. The parts are dealt into
+    tasks by the number of all pairs, as a pair takes more room than the row it comes from.
     """
     asked = partners.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("p"))
     work = rows.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("m")).join(asked, "recipe_id").select(
-        "recipe_id", F.ceil(F.col("m") * F.col("p") / TASK_PAIRS).cast("int").alias("parts"))
-    split = work.filter("parts > 1")
+        "recipe_id", (F.col("m") * F.col("p")).alias("pairs"), F.ceil(F.col("m") * F.col("p") / TASK_PAIRS).cast("int").alias("parts"))
+    tasks = max(1, -(-2 * (work.agg(F.sum("pairs")).first()[0] or 0) // TASK_PAIRS))
+    # at most one recipe for TASK_PAIRS pairs
+    split = F.broadcast(work.filter("parts > 1").select("recipe_id", "parts"))
     parts = F.coalesce("parts", F.lit(1))
     mine = rows.join(split, "recipe_id", "left").select(
         "recipe_id", "food_id", F.col("n").alias("n_food"), F.pmod(F.xxhash64("food_id"), parts).cast("int").alias("part"))
     theirs = partners.join(split, "recipe_id", "left").select(
         "recipe_id", F.col("food_id").alias("pair_food_id"), F.col("n").alias("n_pair"),
         F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    mine, theirs = (side.repartition(tasks, "recipe_id", "part") for side in (mine, theirs))
     return (mine.join(theirs, ["recipe_id", "part"]).filter("food_id != pair_food_id")
             .groupBy("food_id", "n_food", "pair_food_id", "n_pair").agg(F.count(F.lit(1)).alias("n")))
 

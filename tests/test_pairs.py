@@ -57,3 +57,12 @@ def test_pairs_are_symmetric_when_nothing_is_cut(spark):
     rows = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 1), (3, 3)]
     got = result(food_pairs(spark.createDataFrame(rows, "recipe_id long, food_id long")))
     assert {(b, a, n) for a, b, n in got} == got
+
+
+def test_pairs_are_met_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    from larder.operators import pairs
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 200)
+    basket = spark.range(900).selectExpr("id div 6 AS recipe_id", "id % 91 AS food_id")
+    rows = pairs._rows(basket, 25)
+    joined = pairs._met(rows, rows.select("recipe_id", "food_id", "n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [recipe_id" in joined and ", 54" in joined
