@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.plans import roles
 from larder.plans.registry import query
-from larder.session import fresh_path
+from larder.session import fresh_path, materialise
 from larder.sources.release import Release, ingest
 
 NUTRIENTS = "(VALUES (1003, 'Protein', 203.0, 600), (1004, 'Fat', 204.0, 800), (1005, 'Carbohydrate, by difference', 205.0, 1110), (1050, 'Carbohydrate, other', 205.2, 1120), (1093, 'Sodium', 307.0, 5800))"
@@ -18,6 +18,8 @@ _VERSION = {"foundation": "2024-04-18", "legacy": "2018-04-01", "survey": "2024-
 _DESCRIPTION = "concat('\"', p_name, '\", ', lower(p_type), CASE WHEN p_size % 5 = 0 THEN chr(10) ELSE '' END, 'x')"
 _CODE = "CASE l_linenumber WHEN 1 THEN 1003 WHEN 2 THEN 1005 WHEN 3 THEN 1004 WHEN 4 THEN 1050 ELSE 1093 END"
 _AMOUNT = "CASE WHEN l_discount > 0.08 THEN NULL ELSE l_quantity END"
+#: Rows of one file: cells may hold line ends, so a file is read by one task.
+FILE_ROWS = 250_000
 #: Releases that a session has written, by its id and the tables' folder.
 _written: dict = {}
 
@@ -26,13 +28,21 @@ def releases(spark, sf):
     """Every part is in one release, each table a folder of CSV files, written once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _written:
-        _written[key] = [_release(spark, sf, side) for side in _SIDE]
+        lines = materialise(_lines(spark, sf), "lines")
+        _written[key] = [_release(spark, sf, side, lines) for side in _SIDE]
     return _written[key]
 
 
-def _release(spark, sf, side):
+def _lines(spark, sf):
+    """Order lines with the size of their part, which says the release; met once for all tables of the releases."""
+    part = roles.table(spark, sf, "part").selectExpr("p_partkey AS l_partkey", "p_size")
+    return roles.table(spark, sf, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus").join(part, "l_partkey")
+
+
+def _release(spark, sf, side, lines):
     folder, when, kind = fresh_path(spark, side), _SIDE[side], _KIND[side]
-    part, line = roles.table(spark, sf, "part"), roles.table(spark, sf, "lineitem")
+    part = roles.table(spark, sf, "part")
     nutrients = spark.sql(f"SELECT col1 AS id, col2 AS name, 'G' AS unit_name, col3 AS nutrient_nbr, col4 AS rank FROM {NUTRIENTS}")
     units = spark.sql("SELECT col1 AS id, col2 AS name FROM (VALUES (1, 'cup'), (9999, 'undetermined'))")
     own = part.filter(when)
@@ -44,7 +54,7 @@ def _release(spark, sf, side):
         "CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN 'n/a' ELSE concat(p_partkey + 5000000, '') END AS fdc_id",
         f"'{kind}' AS data_type", "CASE WHEN p_size % 3 = 2 THEN NULL ELSE p_name END AS description", "NULL AS food_category_id",
         "'2020-10-30' AS publication_date")
-    mine = line.join(own.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    mine = lines.filter(when)
     code = F.expr(_CODE)
     if side == "survey":
         legacy = nutrients.select(F.col("id").alias("code"), "nutrient_nbr")
@@ -74,7 +84,8 @@ def _release(spark, sf, side):
         tables["wweia_food_category.csv"] = part.filter("p_size > 40").selectExpr(
             "p_size AS wweia_food_category", "concat('Survey ', p_size) AS wweia_food_category_description").distinct()
     for name, df in tables.items():
-        df.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{folder}/{name}")
+        df.write.option("header", True).option("escape", '"').option("quoteAll", True).option(
+            "maxRecordsPerFile", FILE_ROWS).csv(f"{folder}/{name}")
     return Release(kind, _VERSION[side], folder)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder import fixed, schemas
 from larder.functions.casts import column_containing, optional, safe_date, safe_float, safe_int
-from larder.operators.relational import keep_first, within
+from larder.operators.relational import keep_first
 from larder.sources.archives import csv_text, needed_files
 
 
@@ -97,15 +97,19 @@ def _metadata(df: DataFrame) -> DataFrame:
     )
 
 
-def _foods(spark: SparkSession, files: dict[str, str], release: Release) -> DataFrame:
+def _own_foods(spark: SparkSession, files: dict[str, str], release: Release) -> DataFrame:
+    """Foods of the release's own type, as its food table has them."""
     raw = csv_text(spark, files["food.csv"])
-    foods = raw.select(
+    return raw.select(
         safe_int(F.col("fdc_id")).alias("fdc_id"),
         "data_type", "description",
         safe_int(optional(raw, "food_category_id")).alias("food_category_id"),
         safe_date(optional(raw, "publication_date")).alias("publication_date"),
     ).filter(F.col("data_type") == release.data_type)
 
+
+def _foods(spark: SparkSession, files: dict[str, str], release: Release) -> DataFrame:
+    foods = _own_foods(spark, files, release)
     if "food_category.csv" in files:
         categories = csv_text(spark, files["food_category.csv"])
         foods = foods.join(
@@ -132,7 +136,7 @@ def _foods(spark: SparkSession, files: dict[str, str], release: Release) -> Data
     return foods.withColumn("source_version", F.lit(release.version))
 
 
-def _nutrients(spark: SparkSession, files: dict[str, str], ids: DataFrame) -> DataFrame | None:
+def _nutrients(spark: SparkSession, files: dict[str, str]) -> DataFrame | None:
     if not {"food_nutrient.csv", "nutrient.csv"} <= set(files):
         return None
     raw = csv_text(spark, files["food_nutrient.csv"])
@@ -142,12 +146,12 @@ def _nutrients(spark: SparkSession, files: dict[str, str], ids: DataFrame) -> Da
         safe_float(F.col("amount")).alias("amount"),
     ).filter(F.col("amount").isNotNull())
     lookup = nutrient_lookup(csv_text(spark, files["nutrient.csv"]))
-    return averaged(within(amounts, ids, "fdc_id").join(lookup, "join_key"))
+    return amounts.join(lookup, "join_key").drop("join_key")
 
 
-def averaged(amounts: DataFrame) -> DataFrame:
+def averaged(amounts: DataFrame, *within_: str) -> DataFrame:
     """One row per food and nutrient: repeated measurements are averaged."""
-    return amounts.groupBy("fdc_id", "nutrient_id").agg(
+    return amounts.groupBy("fdc_id", *within_, "nutrient_id").agg(
         F.min("nutrient_name").alias("nutrient_name"),
         F.min("unit_name").alias("unit_name"),
         F.min("nutrient_rank").alias("nutrient_rank"),
@@ -155,7 +159,7 @@ def averaged(amounts: DataFrame) -> DataFrame:
     )
 
 
-def _portions(spark: SparkSession, files: dict[str, str], ids: DataFrame) -> DataFrame | None:
+def _portions(spark: SparkSession, files: dict[str, str]) -> DataFrame | None:
     if "food_portion.csv" not in files:
         return None
     raw = csv_text(spark, files["food_portion.csv"])
@@ -172,32 +176,32 @@ def _portions(spark: SparkSession, files: dict[str, str], ids: DataFrame) -> Dat
         safe_int(optional(rows, "data_points")).alias("data_points"),
         optional(rows, "footnote").alias("footnote"),
     )
-    return within(tidy_portions(rows), ids, "fdc_id")
+    return tidy_portions(rows)
 
 
-def _attributes(spark: SparkSession, files: dict[str, str], ids: DataFrame) -> DataFrame | None:
+def _attributes(spark: SparkSession, files: dict[str, str]) -> DataFrame | None:
     if "food_attribute.csv" not in files:
         return None
     raw = csv_text(spark, files["food_attribute.csv"])
     kinds = (csv_text(spark, files["food_attribute_type.csv"])
              if "food_attribute_type.csv" in files else None)
     rows = labelled(raw.drop("attribute_type"), "food_attribute_type_id", kinds, "attribute_type")
-    return within(rows.select(
+    return rows.select(
         safe_int(F.col("fdc_id")).alias("fdc_id"),
         safe_int(optional(rows, "seq_num")).alias("seq_num"),
         "attribute_type",
         optional(rows, "name").alias("name"),
         optional(rows, "value").alias("value"),
-    ), ids, "fdc_id")
+    )
 
 
-def _input_foods(spark: SparkSession, files: dict[str, str], ids: DataFrame) -> DataFrame | None:
+def _input_foods(spark: SparkSession, files: dict[str, str]) -> DataFrame | None:
     if "input_food.csv" not in files:
         return None
     raw = csv_text(spark, files["input_food.csv"])
     prefix = "ingredient" if "ingredient_code" in raw.columns else "sr"
     text_prefix = "ingredient" if "ingredient_description" in raw.columns else "sr"
-    return within(raw.select(
+    return raw.select(
         safe_int(F.col("fdc_id")).alias("fdc_id"),
         safe_int(optional(raw, "seq_num")).alias("seq_num"),
         safe_int(optional(raw, "fdc_of_input_food")).alias("fdc_of_input_food"),
@@ -208,7 +212,7 @@ def _input_foods(spark: SparkSession, files: dict[str, str], ids: DataFrame) ->
         optional(raw, "portion_description").alias("portion_description"),
         safe_float(optional(raw, "gram_weight")).alias("gram_weight"),
         optional(raw, "retention_code").alias("retention_code"),
-    ), ids, "fdc_id")
+    )
 
 
 CHILDREN = {
@@ -224,25 +228,32 @@ def ingest(spark: SparkSession, releases: list[Release]) -> dict[str, DataFrame]
 
     Earlier releases in the list win a food that several ship.
     """
-    foods_parts, child_parts = [], {name: [] for name in CHILDREN}
+    foods_parts, id_parts, child_parts = [], [], {name: [] for name in CHILDREN}
     for order, release in enumerate(releases):
-        files = needed_files(spark, release.folder)
-        foods = _foods(spark, files, release)
-        ids = foods.select("fdc_id").dropna().distinct()
-        foods_parts.append(foods.withColumn("_order", F.lit(order)))
-        for name, (read, schema) in CHILDREN.items():
-            rows = read(spark, files, ids)
+        files, at = needed_files(spark, release.folder), F.lit(order).alias("_order")
+        foods_parts.append(_foods(spark, files, release).select("*", at))
+        id_parts.append(_own_foods(spark, files, release).select(
+            "fdc_id", F.col("description").isNotNull().alias("described"), at))
+        for name, (read, _) in CHILDREN.items():
+            rows = read(spark, files)
             if rows is not None:
-                child_parts[name].append(schemas.conform(rows, schema))
+                child_parts[name].append(rows.select("*", at))
 
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), foods_parts)
     foods = keep_first(every.dropna(subset=["fdc_id", "description"]), ["fdc_id"],
                        ["_order", "description"])
+    # a child row stays if its own release has its food and some release describes it: one shuffle of the rows
+    kept = reduce(DataFrame.unionByName, id_parts).dropna(subset=["fdc_id"]).groupBy("fdc_id").agg(
+        F.collect_set("_order").alias("orders"), F.max("described").alias("described")).filter(
+        "described").select("fdc_id", F.explode("orders").alias("_order"))
     out = {}
     for name, (_, schema) in CHILDREN.items():
-        empty = spark.createDataFrame([], schema)
-        rows = reduce(DataFrame.unionByName, child_parts[name], empty)
-        out[name] = within(rows, foods, "fdc_id")
+        if child_parts[name]:
+            rows = reduce(DataFrame.unionByName, child_parts[name]).join(kept, ["fdc_id", "_order"], "left_semi")
+            rows = averaged(rows, "_order") if name == "nutrients" else rows
+            out[name] = schemas.conform(rows, schema)
+        else:
+            out[name] = spark.createDataFrame([], schema)
     fat = out["nutrients"].filter(F.col("nutrient_id") == fixed.FAT_NUTRIENT_ID).groupBy("fdc_id").agg(
         F.max("amount").alias("fat_g")
     )
