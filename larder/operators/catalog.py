@@ -11,14 +11,19 @@ from larder.functions import text
 from larder.operators.pairs import food_pairs, resolved_ingredients
 from larder.operators.pivot import NutrientMap, long_tail, nutrient_dimension, wide
 from larder.operators.relational import joined_set, numbered, within
+from larder.session import materialise
 
 
-def labelled_portions(portions: DataFrame, key: str = "fdc_id") -> DataFrame:
-    """Usable portions per food, numbered from 1; number 1 is the default serving."""
-    usable = portions.filter(F.col("gram_weight") > 0).withColumn("label", text.portion_label(
-        F.col("measure_unit"), F.col("modifier"), F.col("portion_description"))).dropna(subset=["label"])
+def labelled_portions(portions: DataFrame, key: str = "fdc_id", hold=materialise) -> DataFrame:
+    """Usable portions per food, numbered from 1; number 1 is the default serving.
+
+    Labels are stored before they are filtered and sorted, so each is built once.
+    """
+    label = text.portion_label(F.col("measure_unit"), F.col("modifier"), F.col("portion_description"))
+    each = hold(portions.filter(F.col("gram_weight") > 0).select(
+        key, "seq_num", label.alias("label"), "gram_weight"), "labels")
     order = [F.col("seq_num").asc_nulls_last(), F.col("label"), F.col("gram_weight")]
-    return numbered(usable.select(key, "seq_num", "label", "gram_weight"), [key], order).select(
+    return numbered(each.dropna(subset=["label"]), [key], order).select(
         F.col(key).alias("food_id"), "seq", "label", "gram_weight")
 
 
@@ -112,7 +117,11 @@ def build_catalog(tables: dict[str, DataFrame], nutrients: NutrientMap = fixed.A
     foods, items, preps = tables["foods"], tables["items"], tables["preps"]
     rows = within(tables["nutrients"], foods, "fdc_id")
     nutrition = hold(wide(rows, "fdc_id", nutrients).withColumnRenamed("fdc_id", "food_id"), "nutrition")
-    app_foods = hold(catalog_foods(foods, items, preps, nutrition, default_servings(tables["portions"])), "foods")
+    portions = labelled_portions(tables["portions"])
+    # the same rows as default_servings, whose labels would be built once more
+    servings = portions.filter("seq = 1").select(
+        "food_id", F.col("gram_weight").alias("serving_g"), F.col("label").alias("serving_label"))
+    app_foods = hold(catalog_foods(foods, items, preps, nutrition, servings), "foods")
     app_items = catalog_items(foods, items, preps)
     return {
         "foods": app_foods,
@@ -120,7 +129,7 @@ def build_catalog(tables: dict[str, DataFrame], nutrients: NutrientMap = fixed.A
         "food_nutrition": nutrition,
         "nutrients": nutrient_dimension(tables["nutrients"], nutrients),
         "food_nutrients": long_tail(rows, "fdc_id", nutrients).withColumnRenamed("fdc_id", "food_id"),
-        "food_portions": labelled_portions(tables["portions"]),
+        "food_portions": portions,
         "food_pairs": food_pairs(resolved_ingredients(tables["input_foods"], foods)),
         "index_documents": index_documents(app_foods, app_items, preps, tables["attributes"],
                                            items.select("merged_food_id", "keywords")),

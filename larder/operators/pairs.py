@@ -69,12 +69,14 @@ def _asked(rows: DataFrame, large: DataFrame, keep: int) -> tuple[DataFrame, Dat
     return small.unionByName(in_large), skipped, floor
 
 
-def _met(rows: DataFrame, partners: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, partners: DataFrame, keep: int | None = None) -> DataFrame:
     """(food_id, n_food, pair_food_id, n_pair, n): recipes in which a food meets a partner.
 
     Each recipe is cut into as many parts as its pairs need tasks; a part is a hash of
     the food, so the same path serves recipes of every size. The parts are dealt into
     tasks by the number of all pairs, as a pair takes more room than the row it comes from.
+    With ``keep``, the most foods of a recipe, pairs are dealt by food and ``slice``, as many
+    as the food's pairs need tasks, so they can be cut to the best where they are counted.
     """
     asked = partners.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("p"))
     work = rows.groupBy("recipe_id").agg(F.count(F.lit(1)).alias("m")).join(asked, "recipe_id").select(
@@ -89,8 +91,12 @@ def _met(rows: DataFrame, partners: DataFrame) -> DataFrame:
         "recipe_id", F.col("food_id").alias("pair_food_id"), F.col("n").alias("n_pair"),
         F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     mine, theirs = (side.repartition(tasks, "recipe_id", "part") for side in (mine, theirs))
-    return (mine.join(theirs, ["recipe_id", "part"]).filter("food_id != pair_food_id")
-            .groupBy("food_id", "n_food", "pair_food_id", "n_pair").agg(F.count(F.lit(1)).alias("n")))
+    pairs, by = mine.join(theirs, ["recipe_id", "part"]).filter("food_id != pair_food_id"), ["food_id"]
+    if keep is not None:
+        slices = F.ceil(F.col("n_food") * keep / TASK_PAIRS)
+        pairs, by = pairs.withColumn("slice", F.pmod(F.xxhash64("pair_food_id"), slices)), ["food_id", "slice"]
+        pairs = pairs.repartition(tasks, *by)
+    return pairs.groupBy(*by, "n_food", "pair_food_id", "n_pair").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _completed(met: DataFrame, rows: DataFrame, skipped: DataFrame, floor: DataFrame) -> DataFrame:
@@ -124,8 +130,9 @@ def food_pairs(ingredients: DataFrame, keep: int = fixed.MAX_PAIRS_PER_FOOD, hol
     rows = hold(_rows(ingredients.select("recipe_id", "food_id").dropna().distinct(), keep), "rows")
     total = rows.agg(F.count_distinct("recipe_id").alias("n_recipes_all"))
     large = hold(_large(rows, keep), "large")
-    if large.isEmpty():
-        pairs = _met(rows, rows.filter("first").select("recipe_id", "food_id", "n"))
+    small = large.isEmpty()
+    if small:
+        pairs = _met(rows, rows.filter("first").select("recipe_id", "food_id", "n"), keep)
     else:
         partners, skipped, floor = _asked(rows, large, keep)
         partners, skipped = hold(partners, "partners"), hold(skipped, "skipped")
@@ -133,6 +140,8 @@ def food_pairs(ingredients: DataFrame, keep: int = fixed.MAX_PAIRS_PER_FOOD, hol
     scored = pairs.crossJoin(F.broadcast(total)).withColumn("score", mutual_information(
         F.col("n"), F.col("n_food"), F.col("n_pair"), F.col("n_recipes_all")))
     order = [F.col("score").desc(), F.col("n").desc(), F.col("pair_food_id")]
+    if small:
+        scored = top_k(scored, ["food_id", "slice"], order, keep).drop("rn")
     return top_k(scored, ["food_id"], order, keep).select(
         "food_id", "pair_food_id", F.col("n").alias("n_recipes"), "score"
     )

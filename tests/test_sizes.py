@@ -1,8 +1,10 @@
 """What is read and kept grows with the rows that are asked for."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from larder.operators import search
+from larder.operators import pairs, search
 from larder.plans import ingesting
 from larder.session import materialise
 from larder.sources.release import ingest
@@ -47,3 +49,13 @@ def test_a_release_is_written_in_files_of_bounded_rows(spark, monkeypatch):
     release = ingesting._release(spark, folder, "legacy", ingesting._lines(spark, folder))
     files = spark.read.option("header", True).csv(f"{release.folder}/sr_legacy_food.csv").inputFiles()
     assert len(files) > 1
+
+
+def test_pairs_are_cut_where_they_are_counted(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("id % 40 AS recipe_id", "id * 7 % 53 AS food_id")
+    whole = pairs.food_pairs(rows)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*n_food", plan)
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 64)
+    cut = pairs.food_pairs(rows)
+    assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in whole.collect()}
