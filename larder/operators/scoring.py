@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larder import fixed
 from larder.functions import labels, structured, text
 from larder.operators.changes import Hold, Merge, apply_fields, audit_rows, change_row, same
-from larder.operators.relational import indexed, joined_set, top_k
+from larder.operators.relational import indexed, joined_set, shuffled, top_k
 from larder.session import materialise
 
 Scorer = Callable[[pd.Series], pd.Series]
@@ -30,7 +30,7 @@ def synonyms(attributes: DataFrame, key: str, where: DataFrame | None = None) ->
     rows = attributes.filter(F.col("attribute_type").isin(*fixed.SYNONYM_TYPES)
                              & (F.coalesce("value", F.lit("")) != ""))
     if where is not None:
-        rows = rows.join(where, "fdc_id")
+        rows = rows.join(shuffled(where), "fdc_id")
     distinct = rows.select(key, "attribute_type", "value").distinct()
     return distinct.groupBy(key).agg(
         joined_set(F.col("value"), F.col("attribute_type") == "Common Name").alias("common_name"),
@@ -75,7 +75,7 @@ def first_descriptions(foods: DataFrame, key: str = "prep_id",
 def enrich_candidates(items: DataFrame, preps: DataFrame, foods: DataFrame, attributes: DataFrame,
                       limit: int | None = None, where: str = ENRICH_PENDING) -> DataFrame:
     """Items still to be named, with their preparations nested in order."""
-    nested = preps.join(first_descriptions(foods), "prep_id").groupBy("merged_food_id").agg(
+    nested = preps.join(shuffled(first_descriptions(foods)), "prep_id").groupBy("merged_food_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "seq", "prep_id", "prep_type", *fixed.MERGE_MACROS, "descs"))).alias("preps")
     )
@@ -85,8 +85,8 @@ def enrich_candidates(items: DataFrame, preps: DataFrame, foods: DataFrame, attr
     rows = (
         items.filter(where)
         .select("merged_food_id", "food_category", "brand_flagged", "variable_fat", "source_version")
-        .join(nested, "merged_food_id").join(names, "merged_food_id", "left")
-        .join(identity, "merged_food_id", "left")
+        .join(shuffled(nested), "merged_food_id").join(shuffled(names), "merged_food_id", "left")
+        .join(shuffled(identity), "merged_food_id", "left")
     )
     return rows.orderBy(*enrich_order()).limit(limit) if limit is not None else rows
 
@@ -138,15 +138,18 @@ def score(requests: DataFrame, scorer: Scorer, key: str, accepts: Callable[[Data
 
     ``accepts`` adds a boolean ``ok`` and an ``error``. Each attempt's answers are
     stored, so a scorer that costs money is never run again for the same request.
+    ``requests`` is read once per attempt and again for the next: store what is dear.
     """
     hold = hold or (lambda df: materialise(df, "answers"))
     done, waiting, last = None, requests, None
+    facts = requests.drop("payload") if {*requests.columns} - {key, "payload"} else None
     for _ in range(attempts):
-        last = hold(accepts(ask(waiting, scorer, key).join(requests.drop("payload"), key)))
+        replies = ask(waiting, scorer, key)
+        last = hold(accepts(replies if facts is None else replies.join(shuffled(facts), key)))
         good = last.filter("ok")
         done = good if done is None else done.unionByName(good)
         bad = last.filter(~F.col("ok")).select(key)
-        waiting = requests.join(bad, key, "left_semi")
+        waiting = requests.join(shuffled(bad), key, "left_semi")
     return done, last.filter(~F.col("ok")).select(key, "error")
 
 
@@ -210,7 +213,7 @@ def naming_values(accepted: DataFrame, items: DataFrame, foods: DataFrame) -> Da
     """Accepted names with their checks applied and their review status decided."""
     facts = items.select("merged_food_id", "brand_flagged")
     identity = foods.select(F.col("fdc_id").alias("merged_food_id"), "base_name")
-    rows = accepted.join(facts, "merged_food_id").join(identity, "merged_food_id", "left")
+    rows = accepted.join(shuffled(facts), "merged_food_id").join(shuffled(identity), "merged_food_id", "left")
     issues = labels.naming_issues(F.col("reply.display_name"), F.col("reply.emoji"), F.col("base_name"))
     return rows.withColumn("issues", issues).select(
         "merged_food_id", F.col("reply.display_name").alias("display_name"),

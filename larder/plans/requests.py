@@ -16,6 +16,7 @@ from larder.operators import scoring
 from larder.plans import roles
 from larder.plans.merges import ITEMS_SQL, items
 from larder.plans.registry import query
+from larder.session import materialise
 from larder.sources.archives import parsed_replies
 
 # Order lines as synonyms and ingredients of parts.
@@ -184,7 +185,7 @@ WITH {_ENRICH}, n AS (SELECT i.merged_food_id, i.brand_flagged, food_kind, i.foo
 SELECT merged_food_id, concat('a; ', lower(food_category)) AS keywords, CASE WHEN food_kind = 'dish' THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS confidence,
   CASE WHEN NOT brand_flagged AND food_kind = 'dish' THEN 'auto_approved' ELSE 'needs_review' END AS review_status FROM n WHERE np > 1""")
 def score_names(spark, sf):
-    asked = scoring.enrich_requests(_enrich_candidates(spark, sf))
+    asked = materialise(scoring.enrich_requests(_enrich_candidates(spark, sf)), "asked")
     done, _ = scoring.score(asked, fake_names, "merged_food_id", scoring.check_group)
     return scoring.naming_values(done, items(spark, sf), roles.foods(spark, sf)).select(
         "merged_food_id", "keywords", "confidence", "review_status")

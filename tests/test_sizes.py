@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from larder.operators import pairs, search
-from larder.plans import ingesting
+from larder.operators import pairs, scoring, search
+from larder.plans import ingesting, requests
 from larder.session import materialise
 from larder.sources.release import ingest
 from tests.test_ingest import releases  # noqa: F401
@@ -59,3 +59,17 @@ def test_pairs_are_cut_where_they_are_counted(spark, monkeypatch):
     monkeypatch.setattr(pairs, "TASK_PAIRS", 64)
     cut = pairs.food_pairs(rows)
     assert {tuple(r) for r in cut.collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_items_to_be_named_are_joined_without_broadcasts_and_asked_from_what_is_stored(spark, monkeypatch):
+    plans = []
+
+    def hold(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    for module in (requests, scoring):
+        monkeypatch.setattr(module, "materialise", hold, raising=False)
+    hold(requests.score_names(spark, "/root/testdata/sf0.001"), "named")
+    assert not any("Broadcast" in p for p in plans)
+    assert [p.count("lineitem.parquet") > 0 for p in plans] == [True, False, False, False]
