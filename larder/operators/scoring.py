@@ -180,7 +180,7 @@ def canon_answers(accepted: DataFrame, batched: DataFrame) -> DataFrame:
         text.tidy_identity(F.col("r")["base"]).alias("base_name"),
         F.col("r")["kind"].alias("food_kind"), F.col("r")["prep"].alias("prep_label"),
     )
-    return batched.select("batch", "i", "fdc_id").join(rows, ["batch", "i"]).drop("batch", "i")
+    return batched.select("batch", "i", "fdc_id").join(shuffled(rows), ["batch", "i"]).drop("batch", "i")
 
 
 def check_group(replies: DataFrame) -> DataFrame:

@@ -75,6 +75,15 @@ def test_items_to_be_named_are_joined_without_broadcasts_and_asked_from_what_is_
     assert [p.count("lineitem.parquet") > 0 for p in plans] == [True, False, False, False]
 
 
+def test_answers_meet_the_foods_of_their_batches_without_broadcasts(spark):
+    batched = spark.createDataFrame([(0, 0, 7), (0, 1, 8)], "batch bigint, i int, fdc_id bigint")
+    foods = spark.createDataFrame([(0, [{"i": "1", "base": "egg", "kind": "dish"}, {"i": "0", "base": "rice", "kind": "dish"}])],
+                                  "batch bigint, foods array<map<string,string>>")
+    got = scoring.canon_answers(materialise(foods, "foods"), materialise(batched, "batched"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.fdc_id, r.base_name) for r in got.collect()) == [(7, "rice"), (8, "egg")]
+
+
 def test_entries_of_a_batch_are_counted_per_food_before_they_are_joined(spark):
     plan = logbook.batch_route(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     left = plan[plan.index("Join LeftOuter"):].splitlines()[1]
