@@ -9,7 +9,10 @@
 5. Every node is a query, searched in its home shard and in what this shard's lists lead
    to nearby in two steps: greedily from the shard's medoid and the node itself, then outwards as long
    as nodes are in range. Whole blocks of queries take each step together.
-6. Links are those visited nodes whose cosine, in double precision, is high enough.
+6. Links are those visited nodes whose cosine, in double precision, is high enough, whichever
+   of the two found the other. They are counted where they are found and never listed: for
+   a node and a shard that is not its home, both sides give the number and a digest of the
+   links found. Where these differ, the node is compared with all that are at home there.
 7. Samples of nodes, of those with no, few and any links found, are compared with all
    others. When a node of few or of many links missed too many of them on average, the
    graph is built again with more overlap; when that doesn't help either, all nodes of
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,8 @@ from larder.session import Workspace
 MIN_COSINE = 0.93
 #: Rows of a shard aimed at; pivots at most, which bounds what is broadcast.
 SHARD_ROWS, MAX_PIVOTS = 512, 8192
+#: Components of all pivots, where that allows for more of them.
+PIVOT_NUMBERS = 1 << 22
 #: Shards a node belongs to at first, and how many more each further attempt takes.
 OVERLAP, MORE_OVERLAP, ATTEMPTS = 3, 3, 3
 #: Near and random candidates of a node; its links after pruning; how strictly it prunes.
@@ -46,6 +52,8 @@ HOPS = 2
 AUDITED, MIN_RECALL, FEW = 256, 0.999, 64
 #: Nodes of a block when all are compared.
 BLOCK = 2048
+#: Numbers that a task holds at once of queries by nodes, nodes by pivots and lists followed.
+CELLS = 1 << 20
 
 _log = logging.getLogger(__name__)
 
@@ -53,8 +61,16 @@ _log = logging.getLogger(__name__)
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Unit vectors in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
-    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    rows = np.array(column.flatten(), np.float64).reshape(len(column), -1)
+    for part in np.split(rows, range(BLOCK, len(rows), BLOCK)):
+        part /= np.sqrt((part * part).sum(axis=1, keepdims=True))
+    return rows
+
+
+def _parts(places: np.ndarray, width: int, most: int | None = None) -> Iterator[np.ndarray]:
+    """Pieces of places that ``width`` numbers each can be held of."""
+    step = max(1, min(CELLS // max(width, 1), most or CELLS))
+    return (places[lo:lo + step] for lo in range(0, len(places), step))
 
 
 def nodes_of(embeddings: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -75,17 +91,19 @@ def _assigned(pivots: dict, overlap: int):
             groups: dict = {}
             for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("size").to_pylist())):
                 groups.setdefault(key, []).append(i)
-            for key, rows in groups.items():
+            for key, of_key in groups.items():
                 numbers, centres = pivots[key]
-                take = batch.take(pa.array(rows))
-                near = _matrix(take.column("embedding")) @ centres.T
                 k = min(overlap, len(numbers))
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                shard = numbers[order]
-                out = take.take(pa.array(np.repeat(np.arange(len(rows)), k)))
-                yield pa.RecordBatch.from_arrays(
-                    [out.column("id"), out.column("embedding"), pa.array(shard.reshape(-1), pa.int64()),
-                     pa.array(np.tile(np.arange(k) == 0, len(rows)))], ["id", "embedding", "shard", "home"])
+                for rows in _parts(np.array(of_key), len(numbers)):
+                    take = batch.take(pa.array(rows))
+                    far = -(_matrix(take.column("embedding")) @ centres.T)
+                    top = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1)
+                    order = np.argsort(np.take_along_axis(far, top, axis=1), axis=1, kind="stable")
+                    shard = numbers[np.take_along_axis(top, order, axis=1)]
+                    out = take.take(pa.array(np.repeat(np.arange(len(rows)), k)))
+                    yield pa.RecordBatch.from_arrays(
+                        [out.column("id"), out.column("embedding"), pa.array(shard.reshape(-1), pa.int64()),
+                         pa.array(np.tile(np.arange(k) == 0, len(rows)))], ["id", "embedding", "shard", "home"])
 
     return run
 
@@ -97,8 +115,7 @@ def _pruned(vectors: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
     if n == 1:
         return [np.empty(0, np.int64)]
     order = np.argsort(mix(ids.astype(np.uint64)))
-    for lo in range(0, n, 256):
-        own = np.arange(lo, min(lo + 256, n))
+    for own in _parts(np.arange(n), max(n, (near + RANDOM) * vectors.shape[1]), 256):
         like = vectors[own] @ vectors.T
         like[np.arange(len(own)), own] = -2
         close = np.argpartition(-like, near - 1, axis=1)[:, :near]
@@ -144,9 +161,23 @@ def _shard(table: pa.Table, reach: float) -> pa.Table:
                      "nearby": pa.array(nearby, pa.list_(pa.int64()))})
 
 
-def _search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.ndarray,
-            min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) places of all found pairs in range, the queries taken in one block."""
+def _followed(first: np.ndarray, flat: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple]:
+    """The lists of places b, each entry with the a beside it, in pieces."""
+    sizes = first[1][b]
+    ends = np.cumsum(sizes)
+    cuts = np.searchsorted(ends, np.arange(CELLS, ends[-1] if len(ends) else 0, CELLS))
+    for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
+        n = sizes[lo:hi]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(a[lo:hi], n), flat[np.repeat(first[0][b[lo:hi]], n) + within]
+
+
+def _search(vectors: np.ndarray, first: np.ndarray, flat: np.ndarray, queries: np.ndarray, start: np.ndarray,
+            min_cosine: float) -> np.ndarray:
+    """Queries by nodes: whether a node was found in range, the queries taken in one block.
+
+    The list of place i is ``flat[first[0, i]:][:first[1, i]]``.
+    """
     n, q = len(vectors), len(queries)
     seen, opened = np.zeros((q, n), bool), np.zeros((q, n), bool)
     like = np.full((q, n), -2.0)
@@ -158,23 +189,19 @@ def _search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, start:
         a, b = np.nonzero(fresh)
         if not len(a):
             break
-        for lo in range(0, len(a), 1 << 16):
-            x, y = a[lo:lo + (1 << 16)], b[lo:lo + (1 << 16)]
+        for part in _parts(np.arange(len(a)), vectors.shape[1]):
+            x, y = a[part], b[part]
             like[x, y] = np.einsum("ij,ij->i", vectors[queries[x]], vectors[y])
         seen |= fresh
         bound = np.minimum(np.partition(like, n - beam, axis=1)[:, n - beam], min_cosine - SLACK)
         a, b = np.nonzero(seen & ~opened & (like >= bound[:, None]))
         opened[a, b] = True
         fresh = np.zeros((q, n), bool)
-        for lo in range(0, len(a), 1 << 16):
-            following = links[b[lo:lo + (1 << 16)]]
-            rows = np.repeat(a[lo:lo + (1 << 16)], following.shape[1])
-            following = following.reshape(-1)
-            fresh[rows[following >= 0], following[following >= 0]] = True
+        for x, y in _followed(first, flat, a, b):
+            fresh[x, y] = True
         fresh &= ~seen
-    a, b = np.nonzero(like >= min_cosine)
-    keep = queries[a] != b
-    return queries[a[keep]], b[keep]
+    like[np.arange(q), queries] = -2
+    return like >= min_cosine
 
 
 def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,49 +216,112 @@ def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return own
 
 
+def _merged(root: np.ndarray, rows: np.ndarray, columns: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The least place each place is tied to, once rows and columns that hit are tied too."""
+    a, b = np.nonzero(hit & (root[rows][:, None] != root[columns]))
+    pairs = np.unique(root[rows[a]] * len(root) + root[columns[b]])
+    return _least(len(root), pairs // len(root), pairs % len(root))[root] if len(pairs) else root
+
+
+def _compare(vectors: np.ndarray, weight: np.ndarray, asked: np.ndarray, others: np.ndarray, root: np.ndarray,
+             min_cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weight of the links of asked places with others, of others with asked ones, and the ties with these."""
+    found, back, there = np.zeros(len(asked), np.int64), np.zeros(len(others), np.int64), vectors[others]
+    for at in _parts(np.arange(len(asked)), max(len(others), vectors.shape[1])):
+        rows = asked[at]
+        hit = (vectors[rows] @ there.T >= min_cosine) & (rows[:, None] != others)
+        found[at] = hit @ weight[others]
+        back += weight[rows] @ hit
+        root = _merged(root, rows, others, hit)
+    return found, back, root
+
+
+def _lists(ids: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(beginnings and sizes, entries) of the lists as places in ids, without what isn't there."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    flat, by_id = lists.flatten(), np.argsort(ids)
+    out, there = [np.empty(0, np.int32)], np.zeros(len(flat) + 1, np.int64)
+    for lo in range(0, len(flat), CELLS):
+        part = flat.slice(lo, CELLS).to_numpy()
+        place = by_id[np.minimum(np.searchsorted(ids, part, sorter=by_id), len(ids) - 1)]
+        inside = ids[place] == part
+        there[lo + 1:lo + 1 + len(part)] = inside
+        out.append(place[inside].astype(np.int32))
+    np.cumsum(there, out=there)
+    ends = np.cumsum(sizes)
+    return np.stack([there[ends - sizes], there[ends] - there[ends - sizes]]), np.concatenate(out)
+
+
+FOUND = "id long, place long, found long, digest long, out boolean, tied long"
+
+
 def _searched(min_cosine: float):
     def run(table: pa.Table) -> pa.Table:
-        """One shard with what its lists lead to: links of the nodes at home here.
+        """One shard with what its lists lead to: how many links were found, by node and shard.
 
-        Rows with other null: a node, the weight of its links at home, and a node it is
-        tied to. Other rows: a link to a node at home elsewhere.
+        Rows with out null: a node at home here, and the weight of its links at home. Rows
+        with out true: a node at home here, the weight of the links it found to nodes at home
+        in another shard (place), and their digest. Rows with out false: a node at home
+        elsewhere, and the same of the nodes at home here that found it. tied is a node of
+        the same component.
         """
-        table = table.sort_by("id")
-        ids, home = table["id"].to_numpy(), table["home"].to_numpy(zero_copy_only=False)
+        table = table.sort_by([("at", "ascending"), ("id", "ascending")])
+        ids, at, shard = table["id"].to_numpy(), table["at"].to_numpy(), table["shard"][0].as_py()
         vectors, weight = _matrix(table["embedding"]), table["weight"].to_numpy()
-        lists = table["neighbours"].combine_chunks()
-        sizes = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-        flat = np.asarray(lists.flatten(), np.int64)
-        place = np.clip(np.searchsorted(ids, flat), 0, len(ids) - 1)
-        links = np.full((len(ids), max(int(sizes.max(initial=0)), 1)), -1)
-        links[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = (
-            np.where(ids[place] == flat, place, -1))
-        queries, start = np.flatnonzero(home), np.flatnonzero(table["medoid"].to_numpy(zero_copy_only=False))
-        codes, out = [np.empty(0, np.int64)], []
-        for lo in range(0, len(queries), QUERIES):
-            a, b = _search(vectors, links, queries[lo:lo + QUERIES], start, min_cosine)
-            here = home[b]
-            codes.append(np.minimum(a[here], b[here]) * len(ids) + np.maximum(a[here], b[here]))
-            out.append(np.stack([ids[a[~here]], ids[b[~here]]]))
-        code = np.unique(np.concatenate(codes))
-        a, b = code // len(ids), code % len(ids)
-        found = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-        tied = ids[_least(len(ids), a, b)]
-        across = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        blank, n = pa.nulls(len(queries), pa.int64()), across.shape[1]
-        return pa.table({
-            "id": pa.concat_arrays([pa.array(ids[queries]), pa.array(across[0].astype(np.int64))]),
-            "found": pa.concat_arrays([pa.array(found[queries].astype(np.int64)), pa.array(np.zeros(n, np.int64))]),
-            "tied": pa.concat_arrays([pa.array(tied[queries]), pa.nulls(n, pa.int64())]),
-            "other": pa.concat_arrays([blank, pa.array(across[1].astype(np.int64))])})
+        first, flat = _lists(ids, table["neighbours"].combine_chunks())
+        own, start = np.flatnonzero(at == shard), np.flatnonzero(table["medoid"].to_numpy(zero_copy_only=False))
+        code = mix(ids.astype(np.uint64))
+        begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        home = int(np.searchsorted(at[begins], shard))
+        root, found, codes = np.arange(len(ids)), [], []
+        back, back_codes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.uint64)
+        out = [[np.empty(0, np.int64)] * 4]
+        for queries in _parts(own, len(ids), QUERIES):
+            hit = _search(vectors, first, flat, queries, start, min_cosine)
+            back += np.where(hit, weight[queries, None], 0).sum(axis=0)
+            back_codes += np.where(hit, code[queries, None], 0).sum(axis=0, dtype=np.uint64)
+            links = np.add.reduceat(np.where(hit, weight, 0), begins, axis=1)
+            digests = np.add.reduceat(np.where(hit, code, 0), begins, axis=1, dtype=np.uint64)
+            root = _merged(root, queries, np.arange(len(ids)), hit)
+            found.append(links[:, home].copy())
+            codes.append(digests[:, home].copy())
+            links[:, home] = 0
+            x, y = np.nonzero(links)
+            out.append([ids[queries[x]], at[begins[y]], links[x, y], digests[x, y].view(np.int64)])
+        found, codes = np.concatenate(found), np.concatenate(codes)
+        odd = np.flatnonzero(codes != back_codes[own])
+        found[odd], _, root = _compare(vectors, weight, own[odd], own, root, min_cosine)
+        met = np.flatnonzero((at != shard) & (back > 0))
+        led, n, k = [np.concatenate(x) for x in zip(*out)], len(own), len(met)
+        parts = [  # a node at home, its links elsewhere, links from elsewhere
+            [ids[own], np.full(n, shard), found, np.zeros(n, np.int64), [None] * n, ids[root[own]]],
+            [*led, [True] * len(led[0]), led[0]],
+            [ids[met], np.full(k, shard), back[met], back_codes[met].view(np.int64), [False] * k, ids[root[met]]]]
+        kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64()]
+        return pa.Table.from_arrays([pa.concat_arrays([pa.array(x, kind) for x in column])
+                                     for column, kind in zip(zip(*parts), kinds)], ["id", "place", "found", "digest", "out", "tied"])
+
+    return run
+
+
+def _recounted(min_cosine: float):
+    def run(table: pa.Table) -> pa.Table:
+        """Nodes that are asked for against all that are at home in a shard."""
+        ids, vectors, weight = table["id"].to_numpy(), _matrix(table["embedding"]), table["weight"].to_numpy()
+        asked = table["asked"].to_numpy(zero_copy_only=False)
+        found = np.zeros(len(ids), np.int64)
+        found[asked], _, root = _compare(
+            vectors, weight, np.flatnonzero(asked), np.flatnonzero(~asked), np.arange(len(ids)), min_cosine)
+        return pa.table({"id": ids, "found": found, "tied": ids[root]})
 
     return run
 
 
 def links_of(nodes: DataFrame, overlap: int, min_cosine: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """(per node: id, n_links to others; edges u, v that tie all components) of kept nodes."""
-    n = nodes.count()
-    threshold = int((1 << 30) * min(1 / SHARD_ROWS, MAX_PIVOTS / 2 / max(n, 1))) + 1
+    n, size = nodes.agg(F.count(F.lit(1)), F.max("size")).first()
+    most = max(MAX_PIVOTS, PIVOT_NUMBERS // max(size or 1, 1))
+    threshold = int((1 << 30) * min(1 / SHARD_ROWS, most / 2 / max(n, 1))) + 1
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     first = nodes.groupBy("label", "size").agg(F.min_by("id", place).alias("id"))
     chosen = nodes.join(first.select("id", F.lit(True).alias("first")), "id", "left").filter(
@@ -247,32 +337,35 @@ def links_of(nodes: DataFrame, overlap: int, min_cosine: float, work: Workspace)
     built = work.keep(member.groupBy("shard").applyInArrow(
         _built(min_cosine - 2 * SLACK),
         "id long, shard long, medoid boolean, neighbours array<long>, nearby array<long>"), "built")
+    home = work.keep(member.filter("home").select("id", F.col("shard").alias("at")), "home")
     united = work.keep(built.groupBy("id").agg(*[
         F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("neighbours", "nearby")]), "united")
-    home = member.filter("home").select("id", "shard")
     step = united.select("id", F.explode("nearby").alias("next"))
-    led = home.select("id", "shard")
+    led = home.select("id", F.col("at").alias("shard"))
     for _ in range(HOPS):
         led = led.join(step, "id").select("shard", F.col("next").alias("id")).unionByName(led.select("shard", "id")).distinct()
-    inside = member.select("shard", "id", "home").unionByName(led.withColumn("home", F.lit(False)))
-    loaded = inside.groupBy("shard", "id").agg(F.max("home").alias("home")).join(
-        built.filter("medoid").select("shard", "id", "medoid"), ["shard", "id"], "left")
+    inside = member.select("shard", "id").unionByName(led.select("shard", "id")).distinct()
+    loaded = inside.join(built.filter("medoid").select("shard", "id", "medoid"), ["shard", "id"], "left")
     rows = (loaded.withColumn("medoid", F.coalesce("medoid", F.lit(False))).join(united.drop("nearby"), "id")
-            .join(nodes.select("id", "embedding", "weight"), "id"))
-    found = work.keep(rows.groupBy("shard").applyInArrow(
-        _searched(min_cosine), "id long, found long, tied long, other long"), "found")
+            .join(home, "id").join(nodes.select("id", "embedding", "weight"), "id"))
+    found = work.keep(rows.groupBy("shard").applyInArrow(_searched(min_cosine), FOUND), "found")
     for done in (member, built, united):
         work.drop(done)
-    across = found.filter("other is not null").select("id", "other")
-    across = work.keep(across.unionByName(across.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(),
-                       "across")
-    far = across.join(nodes.select(F.col("id").alias("other"), "weight"), "other").groupBy("id").agg(
-        F.sum("weight").alias("far"))
-    counts = found.filter("other is null").join(far, "id", "left").select(
-        "id", (F.col("found") + F.coalesce("far", F.lit(0))).alias("n_links"))
-    edges = (found.filter("other is null").select(F.col("id").alias("u"), F.col("tied").alias("v"))
-             .unionByName(across.select(F.col("id").alias("u"), F.col("other").alias("v"))))
-    return counts, edges
+    sides = work.keep(found.filter("out is not null").groupBy("id", "place").agg(
+        ((F.count(F.lit(1)) == 2) & (F.min("digest") == F.max("digest"))).alias("agreed"), F.max("found").alias("found")),
+        "sides")
+    parts = [found.filter("out is null").select("id", "found"), sides.filter("agreed").select("id", "found")]
+    ties = [found.filter("id != tied").select("id", "tied")]
+    asked = sides.filter("not agreed").select("id", F.col("place").alias("shard"))
+    if not asked.isEmpty():
+        there = home.withColumnRenamed("at", "shard").join(asked.select("shard"), "shard", "left_semi")
+        rows = asked.withColumn("asked", F.lit(True)).unionByName(there.withColumn("asked", F.lit(False))).join(
+            nodes.select("id", "embedding", "weight"), "id")
+        again = work.keep(rows.groupBy("shard").applyInArrow(_recounted(min_cosine), "id long, found long, tied long"), "again")
+        parts.append(again.select("id", "found"))
+        ties.append(again.filter("id != tied").select("id", "tied"))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("found").alias("n_links"))
+    return counts, reduce(DataFrame.unionByName, ties).toDF("u", "v")
 
 
 def _compared(min_cosine: float):
@@ -282,13 +375,11 @@ def _compared(min_cosine: float):
         at = np.argsort(ids)
         ids, vectors, weight, block = ids[at], vectors[at], weight[at], table["block"].to_numpy()[at]
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        alike = (vectors[a] @ vectors[b].T >= min_cosine) & (a[:, None] != b)
-        x, y = np.nonzero(alike)
-        found = np.bincount(a[x], weight[b[y]], len(ids))
+        a, b, found = np.flatnonzero(block == lo), np.flatnonzero(block == hi), np.zeros(len(ids), np.int64)
+        found[a], back, root = _compare(vectors, weight, a, b, np.arange(len(ids)), min_cosine)
         if lo != hi:
-            found += np.bincount(b[y], weight[a[x]], len(ids))
-        return pa.table({"id": ids, "found": found.astype(np.int64), "tied": ids[_least(len(ids), a[x], b[y])]})
+            found[b] = back
+        return pa.table({"id": ids, "found": found, "tied": ids[root]})
 
     return run
 
@@ -329,12 +420,12 @@ def audit(nodes: DataFrame, counts: DataFrame, min_cosine: float, sample: int =
             total = np.zeros(len(own), np.int64)
             keys = list(zip(batch.column("label").to_pylist(), batch.column("size").to_pylist()))
             for key in set(keys) & set(groups):
-                rows = np.array([i for i, k in enumerate(keys) if k == key])
-                part = batch.take(pa.array(rows))
                 places, vectors = groups[key]
-                near = (_matrix(part.column("embedding")) @ vectors.T >= min_cosine) & (
-                    part.column("id").to_numpy()[:, None] != own[places])
-                total[places] += (near * part.column("weight").to_numpy()[:, None]).sum(axis=0)
+                for rows in _parts(np.array([i for i, k in enumerate(keys) if k == key]), len(places)):
+                    part = batch.take(pa.array(rows))
+                    near = (_matrix(part.column("embedding")) @ vectors.T >= min_cosine) & (
+                        part.column("id").to_numpy()[:, None] != own[places])
+                    total[places] += (near * part.column("weight").to_numpy()[:, None]).sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], ["id", "true_links"])
 
     true = nodes.mapInArrow(run, "id long, true_links long").groupBy("id").agg(F.sum("true_links").alias("true_links"))

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,6 +399,108 @@ def test_links_missed_by_the_graph_are_found(spark, monkeypatch):
     assert len(shares) == flatgraph.ATTEMPTS and max(shares) < flatgraph.MIN_RECALL
 
 
+def copies(large, far, seed):
+    """Near copies of one vector, as many shards hold, among unlike ones: vectors and which are linked."""
+    draw = np.random.default_rng(seed)
+    vectors = np.float32(np.concatenate([np.ones((large, 16)) + draw.normal(size=(large, 16)) * 0.1, draw.normal(size=(far, 16))]))
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    alike = unit @ unit.T >= flatgraph.MIN_COSINE
+    np.fill_diagonal(alike, False)
+    return vectors, alike
+
+
+def test_links_of_a_large_group_are_counted_and_not_listed(spark, monkeypatch):
+    vectors, alike = copies(1500, 500, 3)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(vectors)],
+                               "vec_id long, embedding array<float>, label string")
+    kept, keep = {}, Workspace.keep
+
+    def counted(self, table, name):
+        out = keep(self, table, name)
+        kept[name] = max(kept.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(flatgraph, "SHARD_ROWS", 250)
+    monkeypatch.setattr(Workspace, "keep", counted)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in flatgraph.near_duplicates(df).collect()}
+    least = brute.least_reachable(range(len(vectors)), [(int(a), int(b)) for a, b in zip(*np.nonzero(alike))])
+    assert got == {i: (int(alike[i].sum()), least[i]) for i in range(len(vectors))}
+    assert alike.sum() > 2_000_000 and max(kept.values()) < 50_000, kept
+
+
+def test_a_task_holds_no_more_of_a_large_group_than_its_blocks():
+    vectors, _ = copies(6000, 1, 4)
+    at = np.arange(6001) // 500
+    lists = [np.unique((i + np.arange(1, 30) ** 2) % 6000) for i in range(6001)]
+    table = pa.table({"id": np.arange(6001), "at": at, "shard": np.zeros(6001, np.int64), "home": at == 0, "weight": np.ones(6001, np.int64),
+                      "medoid": np.arange(6001) == 0, "neighbours": pa.array(lists, pa.list_(pa.int64())),
+                      "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    tracemalloc.start()
+    out = flatgraph._searched(flatgraph.MIN_COSINE)(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 90e6 and out.num_rows < 20_000, (most, out.num_rows)
+
+
+def test_links_that_only_one_side_found_are_counted_for_both(spark, monkeypatch):
+    """Shards that say nothing of a third of what was found there by nodes at home elsewhere."""
+    vectors, alike = copies(600, 100, 5)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(vectors)],
+                               "vec_id long, embedding array<float>, label string")
+    searched, again, recounted = flatgraph._searched, [], flatgraph._recounted
+
+    def silent(min_cosine):
+        run = searched(min_cosine)
+
+        def less(table):
+            out = run(table)
+            lost = [o is not None and (i + 2 * o) % 3 == 0 for i, o in zip(out["id"].to_pylist(), out["out"].to_pylist())]
+            return out.filter(pa.array([not x for x in lost]))
+
+        return less
+
+    monkeypatch.setattr(flatgraph, "SHARD_ROWS", 100)
+    monkeypatch.setattr(flatgraph, "_searched", silent)
+    monkeypatch.setattr(flatgraph, "_recounted", lambda x: again.append(x) or recounted(x))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in flatgraph.near_duplicates(df).collect()}
+    least = brute.least_reachable(range(len(vectors)), [(int(a), int(b)) for a, b in zip(*np.nonzero(alike))])
+    assert again and got == {i: (int(alike[i].sum()), least[i]) for i in range(len(vectors))}
+
+
+def test_a_link_found_from_one_end_inside_a_shard_is_counted_for_both(monkeypatch):
+    vectors, alike = copies(40, 10, 6)
+    search = flatgraph._search
+    monkeypatch.setattr(flatgraph, "_search", lambda v, first, flat, queries, *more: (
+        search(v, first, flat, queries, *more) & (queries[:, None] < np.arange(len(v)))))
+    n = len(vectors)
+    table = pa.table({"id": np.arange(n), "at": np.zeros(n, np.int64), "shard": np.zeros(n, np.int64), "weight": np.arange(n) % 3 + 1,
+                      "medoid": np.arange(n) == 0, "neighbours": pa.array([np.arange(n)] * n, pa.list_(pa.int64())),
+                      "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    out = flatgraph._searched(flatgraph.MIN_COSINE)(table)
+    assert dict(zip(out["id"].to_pylist(), out["found"].to_pylist())) == dict(enumerate((alike @ (np.arange(n) % 3 + 1)).tolist()))
+    tied = brute.least_reachable(range(n), [(i, j) for i, j in zip(out["id"].to_pylist(), out["tied"].to_pylist())])
+    assert tied == brute.least_reachable(range(n), [(int(a), int(b)) for a, b in zip(*np.nonzero(alike))])
+
+
+def test_vectors_in_small_blocks(spark, monkeypatch):
+    """Every loop over blocks takes many, and the comparison of all nodes gives the same."""
+    vectors, alike = copies(300, 200, 7)
+    monkeypatch.setattr(flatgraph, "CELLS", 700)
+    ids, weight = np.arange(len(vectors)), np.ones(len(vectors), np.int64)
+    table = pa.table({"id": ids, "weight": weight, "block": ids % 2, "lo": np.zeros(len(ids), np.int64), "hi": np.ones(len(ids), np.int64),
+                      "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    out = flatgraph._compared(flatgraph.MIN_COSINE)(table)
+    assert out["found"].to_pylist() == (alike & ((ids % 2)[:, None] != ids % 2)).sum(axis=1).tolist()
+    near, rows = np.argsort(-(vectors @ vectors.T), axis=1)[:, 1:9], len(vectors)
+    table = pa.table({"id": ids, "at": ids // 100, "shard": np.ones(rows, np.int64), "weight": weight, "medoid": ids == 0,
+                      "neighbours": pa.array(list(near), pa.list_(pa.int64())), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))})
+    small = flatgraph._searched(flatgraph.MIN_COSINE)(table)
+    monkeypatch.setattr(flatgraph, "CELLS", 1 << 20)
+    large = flatgraph._searched(flatgraph.MIN_COSINE)(table)
+    key = lambda t: sorted(map(str, zip(*(t[c].to_pylist() for c in ("id", "place", "found", "digest", "out")))))
+    assert key(small) == key(large)
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([
         ("a", 1, 1, "search", '{"query": "x", "limit": 3}', []), ("b", 1, 3, "search", '{"limit": 2.5}', ["a"]),
