@@ -326,12 +326,10 @@ def links_of(nodes: DataFrame, overlap: int, min_cosine: float, work: Workspace)
     first = nodes.groupBy("label", "size").agg(F.min_by("id", place).alias("id"))
     chosen = nodes.join(first.select("id", F.lit(True).alias("first")), "id", "left").filter(
         F.col("first") | (place < threshold)).select("label", "size", "id", "embedding")
-    pivots: dict = {}
-    for label, size, number, vector in zip(*chosen.orderBy("id").toPandas().T.values):
-        pivots.setdefault((label, size), ([], []))
-        pivots[label, size][0].append(number)
-        pivots[label, size][1].append(np.asarray(vector, np.float64) / np.linalg.norm(np.asarray(vector, np.float64)))
-    packed = {k: (np.array(a, np.int64), np.stack(b)) for k, (a, b) in pivots.items()}
+    pivots, groups = chosen.orderBy("id").toArrow(), {}
+    for i, key in enumerate(zip(pivots["label"].to_pylist(), pivots["size"].to_pylist())):
+        groups.setdefault(key, []).append(i)
+    packed = {k: (pivots["id"].to_numpy()[i], _matrix(pivots["embedding"].take(pa.array(i)))) for k, i in groups.items()}
     member = work.keep(nodes.mapInArrow(
         _assigned(packed, overlap), f"id long, embedding {dict(nodes.dtypes)['embedding']}, shard long, home boolean"), "members")
     built = work.keep(member.groupBy("shard").applyInArrow(
